@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("mixing", "quality_rules")
+MODULES = ("mixing", "packing", "quality_rules")
 
 
 def registered() -> tuple[dict, dict]:
