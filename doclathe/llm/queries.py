@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("mixing", "packing", "quality_rules")
+MODULES = ("chat_format", "mixing", "packing", "quality_rules", "url_filter")
 
 
 def registered() -> tuple[dict, dict]:
