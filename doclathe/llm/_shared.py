@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,3 +101,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written as Parquet to the checkpoint folder and read again.
+
+    For wide or long intermediate tables: smaller on disk than a checkpoint, and read by column.
+    """
+    sc = df.sparkSession.sparkContext
+    cut(df.sparkSession.range(1)) if sc.getCheckpointDir() is None else None
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
