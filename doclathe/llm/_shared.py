@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, *replaced: str) -> Column:
+    """All columns as one struct `row`, so that no name clashes; a column to be replaced goes."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in replaced]).alias("row")
+
+
 def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most so many rows; counts no further than that."""
     return df.limit(most + 1).count() <= most

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, attach, cut, ranked, table
+from ._shared import WORD, attach, cut, packed, ranked, table
 
 #: Two levels of so many bins each stand between a source's rows and the rows that are ordered.
 BINS = 4096
@@ -42,8 +42,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
     return listed.select("source", "source_size", F.least(F.lit(level) * F.col("_w"), cap.cast("double")).alias("target"))
 
 
+def _due(share: Column, most: int) -> Column:
+    return F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * share, F.lit(float(most)))).otherwise(0.0)
+
+
+def _odds_rank(due: Column, u: Column) -> Column:
+    """Order in (0, 1) of Q = u / (1-u) over p / (1-p), as Q / (1 + Q); null without a fraction p."""
+    p = due - F.floor(due)
+    q = u / (1 - u) * (1 - p) / p
+    return F.when(p > 0, F.least(q / (1 + q), F.lit(1 - 1e-12)))
+
+
 def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.0, most: int = 3, seed: int = 20, share: Column | None = None) -> DataFrame:
-    """How many copies of each document (doc_id, text, source) a mix takes.
+    """Adds to each document the column `mix`: size, source_size, target, copies, taken.
 
     A document of a source is due target / source_size copies, times `share` if given (a
     positive number by which documents of one source are preferred, of mean 1 weighted by
@@ -52,47 +63,47 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
     number in (0, 1) made of seed, doc_id and text, and taken in this order while the words
     taken stay within half a document of the source's words still due.
 
-    Returns doc_id, source, size, source_size, target, copies, taken for each input row.
-    Null text has size 0; null sources are a source; rows alike in id and text have the same
-    u and are ordered by it together. Never more than `most` copies. Reruns agree.
+    Null text has size 0; null sources are a source; rows alike in id and text share their u
+    and are taken together or not at all. Never more than `most` copies. Reruns agree. All
+    columns of the input stay, but for one named mix.
     """
+    share = share if share is not None else F.lit(1.0)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12) + 0.5) / float(1 << 52)
-    sized = cut(docs.select("doc_id", "source", words("text").alias("size"), u.alias("_u"), (share if share is not None else F.lit(1.0)).alias("_share")))
-    due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * F.col("_share"), F.lit(float(most)))).otherwise(0.0)
-    rows = attach(sized, source_targets(sized, weights, budget, most), ["source"]).withColumn("_due", due)
-    p = F.col("_due") - F.floor("_due")
-    odds = F.col("_u") / (1 - F.col("_u")) * (1 - p) / p
-    rows = rows.withColumn("_whole", F.floor("_due")).withColumn("_v", F.when(p > 0, F.least(odds / (1 + odds), F.lit(1 - 1e-12))))
-    rows = rows.withColumn("_b1", F.floor(F.col("_v") * BINS)).withColumn("_b2", F.floor(F.col("_v") * BINS * BINS))
-    left = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("size"))).alias("_left"))
+    sized = cut(docs.select("source", words("text").alias("size"), u.alias("u"), share.alias("share")))
+    targets = cut(source_targets(sized, weights, budget, most))
+    rows = attach(sized, targets, ["source"]).withColumn("due", _due(F.col("share"), most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
+    left = targets.join(rows.groupBy("source").agg(F.sum(F.floor("due") * F.col("size")).alias("sure")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("sure")).alias("left"))
+    left = cut(left)
+    rows = rows.where("v is not null").select("source", "size", "v", F.floor(F.col("v") * BINS).alias("b1"), F.floor(F.col("v") * BINS * BINS).alias("b2"))
 
     # Where the ordered sizes cross what is left: first among BINS sums of a source, then among
     # the BINS parts of that bin, then among the few rows of one part. No task orders a source.
-    def crossing(bins: DataFrame, name: str) -> DataFrame:
+    def crossing(sums: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("source").orderBy(name)
-        run = bins.withColumn("_to", F.sum("_s").over(w)).withColumn("_before", F.col("_to") - F.col("_s"))
-        return attach(run, left, ["source"]).where("_before <= _left").groupBy("source").agg(F.max(name).alias(f"{name}x"), F.max("_before").alias("_done"))
-
-    one = rows.where("_v is not null").groupBy("source", "_b1").agg(F.sum("size").alias("_s"))
-    first = cut(crossing(one, "_b1").select("source", "_b1x", F.col("_done").alias("_done1")))
-    inner = attach(rows.where("_v is not null"), first, ["source"], "inner").where("_b1 = _b1x")
-    two = inner.groupBy("source", "_b2").agg(F.sum("size").alias("_s"), F.first("_done1").alias("_done1"))
-    w2 = Window.partitionBy("source").orderBy("_b2")
-    two = two.withColumn("_before", F.sum("_s").over(w2) - F.col("_s") + F.col("_done1"))
-    last = attach(two, left, ["source"]).where("_before <= _left").groupBy("source").agg(F.max("_b2").alias("_b2x"), F.max("_before").alias("_done"))
-    bound = cut(attach(attach(left, first, ["source"]), last, ["source"]))
-    rows = attach(rows, bound, ["source"])
-    part = rows.where("_b2 = _b2x")
-    w3 = Window.partitionBy("source").orderBy("_v", "doc_id", "size")
-    part = part.withColumn("_mid", F.sum("size").over(w3.rowsBetween(Window.unboundedPreceding, -1)))
-    part = part.withColumn("_extra", (F.coalesce("_mid", F.lit(0)) + F.col("_done") + F.col("size") / 2 <= F.col("_left")).cast("int"))
-    rest = rows.where("_b2 is null or _b2x is null or _b2 <> _b2x").withColumn("_extra", F.when(F.col("_b2") < F.col("_b2x"), 1).otherwise(0))
-    copies = (F.col("_whole") + F.col("_extra")).cast("long")
-    return rest.unionByName(part.drop("_mid")).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        run = sums.withColumn("before", F.sum("s").over(w) - F.col("s") + F.col("done"))
+        return attach(run, left, ["source"]).where("before <= left").groupBy("source").agg(F.max(name).alias(f"{name}x"), F.max("before").alias("done"))
+
+    zero = F.lit(0).cast("long")
+    one = cut(crossing(rows.groupBy("source", "b1").agg(F.sum("size").alias("s")).withColumn("done", zero), "b1"))
+    inner = attach(rows, one, ["source"], "inner").where("b1 = b1x")
+    two = cut(crossing(inner.groupBy("source", "b2").agg(F.sum("size").alias("s"), F.first("done").alias("done")), "b2"))
+    part = attach(attach(rows, two, ["source"], "inner").where("b2 = b2x"), left, ["source"])
+    ties = part.groupBy("source", "v", "done", "left").agg(F.sum("size").alias("s"))
+    run = ties.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("v")) - F.col("s") + F.col("done"))
+    last = run.where(F.col("before") + F.col("s") / 2 <= F.col("left")).groupBy("source").agg(F.max("v").alias("_last"))
+    bounds = attach(targets, two.select("source", (F.col("b2x") / float(BINS * BINS)).alias("_below")), ["source"])
+    bounds = cut(attach(bounds, last, ["source"]))
+
+    out = attach(docs.select(packed(docs, "mix"), "source", words("text").alias("size"), u.alias("u"), share.alias("share")), bounds, ["source"])
+    out = out.withColumn("due", _due(F.col("share"), most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
+    extra = F.coalesce((F.col("v") < F.col("_below")) | (F.col("v") <= F.coalesce("_last", F.lit(-1.0))), F.lit(False)).cast("long")
+    out = out.withColumn("copies", F.floor("due") + extra)
+    return out.select("row.*", F.struct("size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken")).alias("mix"))
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pareto_mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
 
 
 QUERIES = {"op10_pareto_mix": op10_pareto_mix}

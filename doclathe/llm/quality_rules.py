@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, small_batches, table
+from ._shared import attach, packed, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -84,8 +84,7 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass their own rule and whose host isn't rejected, with all their columns."""
-    row = F.struct(*docs.columns).alias("row")
-    rows = docs.select(row, F.col(host).alias("host"), text_features("text").alias("f")).withColumn("failed", failed("f"))
+    rows = docs.select(packed(docs), F.col(host).alias("host"), text_features("text").alias("f")).withColumn("failed", failed("f"))
     bad = host_verdicts(rows.select("host", "failed"), limit).where("host_rejected").select("host", F.lit(True).alias("bad"))
     return attach(rows.where("not failed"), bad, ["host"]).where("bad is null").select("row.*")
 

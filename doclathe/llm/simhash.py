@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import attach, components, cut, small_batches, table
+from ._shared import attach, components, cut, packed, small_batches, stored, table
 
 SEED = 42
 FAN = 16
@@ -211,6 +212,117 @@ def link_fingerprints(rows: DataFrame, bits: int = 2) -> DataFrame:
     return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bands and rows of the supplementary sketch.
+BANDS, ROWS = 24, 4
+_A = np.random.default_rng(24).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Least value of the hashes under BANDS * ROWS orders, 32 bits each."""
+    out = np.full(len(_A), ~np.uint32(0), np.uint32)
+    for i in range(0, len(hashes), 1024):
+        part = (hashes[i : i + 1024, None] * _A) >> np.uint64(32)
+        out = np.minimum(out, part.min(axis=0).astype(np.uint32))
+    return out
+
+
+def _features(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, kind, fp, sketch, bands): kind is a hash of the lower-cased words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, fps, sketches, bands = [], [], [], []
+            for t in b.column("text").to_pylist():
+                kinds.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
+                h = shingle_hashes(t, k)
+                fps.append(simhash(h))
+                s = _sketch(h)
+                sketches.append(s.tobytes())
+                bands.append([xxhash.xxh64_intdigest(s[ROWS * i : ROWS * (i + 1)].tobytes(), i) - (1 << 63) for i in range(BANDS)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kinds, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "kind", "fp", "sketch", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind binary, fp long, sketch binary, bands array<long>")
+
+
+@F.pandas_udf(T.DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal places of two sketches."""
+    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, len(_A)) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1))
+
+
+def _shingle_sets(k: int):
+    @F.pandas_udf("array<int>")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, k).astype(np.uint32).view(np.int32)) for t in text])
+
+    return run
+
+
+def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Kinds of texts (doc_id, kind), and links (a, b) between kinds of Jaccard likeness `similarity` or more.
+
+    Candidates are kinds whose SimHash fingerprints the Gray-ordered index links, and, since
+    fingerprints of 64 bits miss most pairs between 0.8 and 0.95, kinds that share a band of
+    a min-wise sketch. A band's kinds are compared with two of them: the one that meets most
+    others over all its bands, and the one of least hash, which changes from band to band.
+    Pairs whose sketches differ in over 0.2 more places than asked for go; of the rest the
+    shingle sets are compared, as 32-bit hashes.
+    """
+    rows = stored(_features(docs, k), "features")
+    kinds = stored(rows.drop("doc_id").dropDuplicates(["kind"]), "kinds")
+    banded = kinds.select("kind", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    banded = stored(banded.join(sizes, "band"), "bands")
+    centre = banded.groupBy("kind").agg(F.sum("n").alias("met"))
+    banded = banded.join(centre, "kind")
+    hubs = banded.groupBy("band").agg(F.max_by("kind", F.struct("met", "kind")).alias("h1"), F.min_by("kind", F.xxhash64("kind", "band")).alias("h2"))
+    met = banded.join(hubs, "band").select("kind", F.explode(F.array("h1", "h2")).alias("hub")).where("kind <> hub")
+    by_fp = kinds.groupBy("fp").agg(F.min("kind").alias("kind"))
+    links = fingerprint_links(by_fp.select("fp"), bits)
+    named = by_fp.select(F.col("fp").alias("a"), F.col("kind").alias("kind")).join(links, "a").join(by_fp.select(F.col("fp").alias("b"), F.col("kind").alias("hub")), "b").select("kind", "hub")
+    same_fp = kinds.join(by_fp.select("fp", F.col("kind").alias("hub")), "fp").where("kind <> hub").select("kind", "hub")
+    pairs = met.unionByName(named).unionByName(same_fp).select(F.least("kind", "hub").alias("a"), F.greatest("kind", "hub").alias("b")).distinct()
+    sketch = kinds.select("kind", "sketch")
+    pairs = pairs.join(sketch.select(F.col("kind").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("kind").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = stored(pairs.where(_alike("sa", "sb") >= similarity - 0.2).select("a", "b"), "pairs")
+    # whole texts of the kinds in question, one of each
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct(), "asked")
+    one = stored(attach(rows.select("doc_id", "kind"), asked.withColumn("ask", F.lit(1)), ["kind"], "inner").groupBy("kind").agg(F.min("doc_id").alias("doc_id")), "one")
+    texts = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one.select("doc_id", F.lit(1).alias("ask")).distinct(), ["doc_id"], "inner")
+    sets = texts.select(_kind("text").alias("kind"), _shingle_sets(k)("text").alias("own")).join(asked, "kind", "left_semi").dropDuplicates(["kind"])
+    sets = stored(sets, "sets")
+    both = pairs.join(sets.select(F.col("kind").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("kind").alias("b"), F.col("own").alias("ob")), "b")
+    shared = F.size(F.array_intersect("oa", "ob"))
+    links = both.where(shared >= similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b")
+    return rows.select("doc_id", "kind"), stored(links, "links")
+
+
+@F.pandas_udf(T.BinaryType())
+def _kind(text: pd.Series) -> pd.Series:
+    return pd.Series([xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in text])
+
+
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, with all its columns: that of least doc_id.
+
+    Texts of equal words (A-Z lower-cased) are copies; groups are what links of near_links
+    reach. Null and blank texts are one group. A null doc_id counts as greater than others;
+    of rows alike in doc_id and words one stays.
+    """
+    rows, links = near_links(docs, k, similarity)
+    roots = components(links)
+    least = rows.groupBy("kind").agg(F.min("doc_id").alias("doc_id"))
+    grouped = least.join(roots, least.kind == roots.node, "left").select("kind", "doc_id", F.coalesce("root", "kind").alias("root"))
+    stay = grouped.groupBy("root").agg(F.min_by("kind", F.struct(F.col("doc_id").isNull(), "doc_id", "kind")).alias("kind"))
+    kept = stay.join(least, "kind").select("kind", "doc_id")
+    again = rows.groupBy("kind", "doc_id").count().where("count > 1").select("kind", "doc_id", F.lit(True).alias("again"))
+    kept = stored(attach(kept, stored(again, "again"), ["kind", "doc_id"]), "kept")
+    named = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), _kind("text").alias("kind"))
+    out = attach(named, kept.withColumnRenamed("doc_id", "id"), ["kind", "id"], "inner")
+    return out.where("again is null").select("row.*").unionByName(out.where("again").dropDuplicates(["kind"]).select("row.*"))
+
+
 def op2_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprint("text").alias("fp"))

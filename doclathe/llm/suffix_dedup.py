@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, is_small, small_batches, stored, table
+from ._shared import attach, is_small, packed, small_batches, stored, table
 
 LENGTH = 400
 #: Most anchors that are sent to every executor: one long each.
@@ -243,11 +243,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     document, the same one included; all copies go. Texts are taken as UTF-8 bytes, null as
     empty. kept_sha256 is of the bytes left; kept_text drops what is left of a character that
     was cut in two. Documents alike are copies of each other: from `length` bytes on they go
-    whole. All columns of the input stay, whatever their names.
+    whole. All columns of the input stay, but for one named cut.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(row, text.alias("text")).withColumn("digest", digest(F.col("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    rows = docs.select(packed(docs, "cut"), text.alias("text")).withColumn("digest", digest(F.col("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
     copies = stored(rows.where(F.col("n_bytes") >= length).groupBy("digest").count().where("count > 1").select("digest", F.lit(1).alias("kind")), "copies")
     spans = stored(repeated_spans(rows.select("digest", "text"), length), "spans")
     spans = attach(spans, copies, ["digest"]).where("kind is null").drop("kind")
