@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .operators import store_queries, text_queries
+
+_PARTS = (store_queries, text_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
