@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import classify, extract, store_queries, tables, text_queries
+from .operators import classify, extract, store_queries, summary, tables, text_queries
 
-_PARTS = (store_queries, text_queries, classify, extract, tables)
+_PARTS = (store_queries, text_queries, classify, extract, tables, summary)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
