@@ -33,7 +33,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     closed = lambda x, i: (i + k <= F.size(h)) & (F.least(x, at(i, k - 1)) <= inner(i))
     run = lambda x, i: F.struct(i.alias("pos"), low(F.xxhash64(x, *[at(i, d) for d in range(1, k)])).alias("hash"))
     found = F.filter(F.transform(h, lambda x, i: F.when(closed(x, i), run(x, i))), lambda a: a.isNotNull())
-    short = F.transform(F.array(F.lit(0)), lambda i: F.struct(i.alias("pos"), low(F.aggregate(h, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x))).alias("hash")))
+    short = F.transform(F.array(F.lit(0)), lambda i: F.struct(i.alias("pos"), low(F.xxhash64(h)).alias("hash")))
     return df.withColumn(out, F.when(F.size(h) >= k, found).when(F.size(h) > 0, short).otherwise(found)).drop(ws, h)
 
 
