@@ -2,122 +2,247 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import attach, cut, small_batches, table
+from ._shared import attach, cut, is_small, small_batches, stored, table
 
-#: Symbols: 0 the start, 1 white space and controls, 2 to 96 printable ASCII, 97 to 127 the rest.
-BITS = 7
-SYMBOLS = 1 << BITS
+#: Bits of a code point: three of them make a trigram's number.
+BITS = 21
+ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Code points there are: what no text has shows shares the last of the probability.
+POINTS = 0x110000
+#: Code points that are looked up at a time.
+SLICE = 1 << 20
+#: Most rows of a model that is sent to every executor, 20 bytes each; larger ones are joined.
+MODEL_ROWS = 2_000_000
+#: Kinds of a model's rows: the order of an n-gram with its probability, and WEIGHT + order
+#: of a context with its weight of the lower order.
+WEIGHT = 10
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """The symbol of each code point. Others than ASCII fall into 31 classes, so the model's size is bounded."""
-    cp = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(cp > 0x7E, 97 + cp % 31, np.where(cp < 0x21, 1, cp - 0x1F))
+def slices(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which text, trigram) of each code point of the texts, some SLICE at a time.
 
-
-def trigrams(text: str | None) -> np.ndarray:
-    """Numbers x * 2**14 + y * 2**7 + z of each symbol z after x and y; two starts come first."""
-    s = np.concatenate(([0, 0], symbols(text)))
-    return (s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:]
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """Rows (gram, n): how often each trigram stands in all texts; counted by task, then by shards of the trigrams."""
+    A trigram is a code point z after x and y, as x * 2**42 + y * 2**21 + z; two zeros stand
+    before a text. Texts of any length are taken whole, in stretches.
+    """
+    own: list[tuple[int, str]] = []
+    held = 0
+    for i, t in enumerate(texts):
+        t = "\0\0" + t
+        for lo in range(2, len(t), SLICE):
+            own.append((i, t[lo - 2 : lo + SLICE]))
+            held += len(own[-1][1])
+            if held >= SLICE:
+                yield _joined(own)
+                own, held = [], 0
+    if own:
+        yield _joined(own)
+
+
+def _joined(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer("".join(t for _, t in own).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for _, t in own])
+    whose = np.repeat([i for i, _ in own], sizes)
+    real = np.ones(len(codes), bool)
+    begin = np.cumsum(sizes) - sizes
+    real[begin] = real[begin + 1] = False
+    grams = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
+    return whose[2:][real[2:]], grams[real[2:]]
+
+
+def fold_of(text: Column) -> Column:
+    """1 or 2 by the text, so that copies fall together."""
+    return (F.pmod(F.xxhash64(text), F.lit(2)) + 1).cast("int")
+
+
+def count_trigrams(rows: DataFrame) -> DataFrame:
+    """Rows (fold, gram, n): how often each trigram stands in all texts of (text, fold), counted by batch, then by shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                g, n = np.unique(trigrams(t), return_counts=True)
-                total[g] += n
-        g = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g])], names=["gram", "n"])
+            folds, texts = b.column("fold").to_pylist(), b.column("text").to_pylist()
+            for f in (1, 2):
+                for _, grams in slices([t for t, k in zip(texts, folds) if k == f and t]):
+                    g, n = np.unique(grams, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(g), pa.array(n)], names=["fold", "gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return rows.select("text", "fold").mapInArrow(run, "fold int, gram long, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
 
 
-def _level(rows: DataFrame) -> DataFrame:
-    """Interpolated probability p of rows (context, gram, n, low), with the context's weight of low.
+def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Interpolated p of rows (model, context, gram, n, low), and each context's weight of low.
 
-    Discounts for counts of 1, 2 and more come from how many grams have counts 1 to 4; where
-    these are too few, 0.5 is taken off.
+    Discounts for counts of 1, 2 and more come from how many grams of a model have counts 1 to
+    4; where these are too few, 0.5 is taken off.
     """
-    n = [float(x or 0) for x in rows.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()]
-    if min(n) > 0:
-        y = n[0] / (n[0] + 2 * n[1])
-        off = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
-    else:
-        off = [0.5, 0.5, 0.5]
-    d = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
-    sums = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(d) / F.sum("n")).alias("weight"))
-    return rows.join(sums, "context").select("context", "gram", "weight", ((F.col("n") - d) / F.col("total") + F.col("weight") * F.col("low")).alias("p"))
-
-
-def fit(trusted: DataFrame) -> np.ndarray:
-    """Log probabilities of all trigrams, shaped (SYMBOLS,) * 3, from all texts given.
-
-    Counts and probabilities are joined as tables, sharded by context; at most SYMBOLS**3
-    rows, whatever the texts, reach the driver. Without texts all symbols are equally likely.
+    per = rows.groupBy("model").agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    off = [F.greatest(F.least(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(float(k))), F.lit(0.0)) for k in (1, 2, 3)]
+    off = F.when(F.least("n1", "n2", "n3", "n4") > 0, F.array(*off)).otherwise(F.array(*[F.lit(0.5)] * 3))
+    # one row for each of three models
+    rows = rows.join(F.broadcast(per.select("model", off.alias("off"))), "model").withColumn("d", F.element_at("off", F.least("n", F.lit(3)).cast("int")))
+    sums = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+    p = (F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")
+    return cut(rows.join(F.broadcast(sums) if few_contexts else sums, ["model", "context"]).select("model", "gram", p.alias("p"))), sums.select("model", "context", "weight")
+
+
+def fit(trusted: DataFrame) -> DataFrame:
+    """Models of all texts given, as rows (model, kind, key, value), value being a logarithm.
+
+    Model 0 is of all texts, model 1 of those of fold 2 and model 2 of those of fold 1. Counts,
+    continuation counts, discounts and probabilities are tables, joined by shards of the
+    n-grams; they grow with the texts and none is collected. Without texts: no rows.
     """
-    c3 = cut(count_trigrams(trusted))
-    last = lambda c, n: F.col(c).bitwiseAND((1 << n * BITS) - 1)
-    c2 = c3.groupBy(last("gram", 2).alias("gram")).agg(F.count("*").alias("n"))
-    c1 = c2.groupBy(last("gram", 1).alias("gram")).agg(F.count("*").alias("n"))
-    one = F.lit(1.0 / SYMBOLS)
-    p1 = cut(_level(c1.select(F.lit(0).alias("context"), "gram", "n", one.alias("low"))))
-    low = p1.select(F.col("gram").alias("z"), F.col("p").alias("low"))
-    p2 = cut(_level(c2.join(low, last("gram", 1) == low.z).select(F.shiftright("gram", BITS).alias("context"), "gram", "n", "low")))
-    low = p2.select(F.col("gram").alias("yz"), F.col("p").alias("low"))
-    p3 = cut(_level(c3.join(low, last("gram", 2) == low.yz).select(F.shiftright("gram", BITS).alias("context"), "gram", "n", "low")))
-
-    def dense(rows: DataFrame, below: np.ndarray, contexts: int) -> np.ndarray:
-        got = rows.select("context", "gram", "weight", "p").toPandas()
-        weight = np.ones(contexts)
-        weight[got.context] = got.weight
-        p = weight[:, None] * np.tile(below, (contexts // max(1, below.size // SYMBOLS), 1)).reshape(contexts, SYMBOLS)
-        p.reshape(-1)[got.gram] = got.p
+    counts = cut(count_trigrams(trusted.select("text", fold_of(F.col("text")).alias("fold"))))
+    c3 = counts.select(F.explode(F.array(F.lit(0), F.lit(3) - F.col("fold"))).alias("model"), "gram", "n")
+    c3 = cut(c3.groupBy("model", "gram").agg(F.sum("n").alias("n")))
+    c2 = c3.groupBy("model", F.col("gram").bitwiseAND(TWO).alias("gram")).agg(F.count("*").alias("n"))
+    c1 = c2.groupBy("model", F.col("gram").bitwiseAND(ONE).alias("gram")).agg(F.count("*").alias("n"))
+    context = F.shiftright("gram", BITS)
+    levels = [_level(c1.select("model", F.lit(0).cast("long").alias("context"), "gram", "n", F.lit(1.0 / POINTS).alias("low")), True)]
+    for c, last in ((c2, ONE), (c3, TWO)):
+        low = levels[-1][0].select("model", F.col("gram").alias("last"), F.col("p").alias("low"))
+        levels.append(_level(c.withColumn("last", F.col("gram").bitwiseAND(last)).join(low, ["model", "last"]).select("model", context.alias("context"), "gram", "n", "low")))
+    out = None
+    for k, (p, w) in enumerate(levels, 1):
+        for kind, rows, key, value in ((k, p, "gram", "p"), (WEIGHT + k, w, "context", "weight")):
+            rows = rows.select(F.col("model").cast("int").alias("model"), F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(F.greatest(value, F.lit(1e-12))).alias("value"))
+            out = rows if out is None else out.unionByName(rows)
+    return stored(out, "model")
+
+
+class Known:
+    """The rows of one model, or those of them that some texts need, sorted to be looked up."""
+
+    def __init__(self, kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> None:
+        self.parts = {}
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(key[own])]
+            self.parts[k] = key[own], value[own]
+
+    def look(self, kind: int, keys: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        if kind not in self.parts:
+            return np.broadcast_to(np.asarray(other, float), keys.shape)
+        own, value = self.parts[kind]
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return np.where(own[at] == keys, value[at], other)
+
+    def log_p(self, grams: np.ndarray) -> np.ndarray:
+        """Of each trigram: its own probability, or what its contexts leave to the lower orders."""
+        p = np.zeros(len(grams)) - np.log(POINTS)
+        for k, keys in ((1, grams & ONE), (2, grams & TWO), (3, grams)):
+            context = keys >> BITS if k > 1 else np.zeros_like(keys)
+            p = self.look(k, keys, p + self.look(WEIGHT + k, context, 0.0))
         return p
 
-    a = dense(p1, np.full((1, SYMBOLS), 1.0 / SYMBOLS), 1)
-    b = dense(p2, a, SYMBOLS)
-    return np.log(dense(p3, b, SYMBOLS**2)).astype(np.float32).reshape(-1)
 
+def _asked(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, keys) of all rows that log_p may look up."""
+    yield WEIGHT + 1, np.zeros(1, np.int64)
+    for k, keys in ((1, grams & ONE), (2, grams & TWO), (3, grams)):
+        yield k, np.unique(keys)
+        if k > 1:
+            yield WEIGHT + k, np.unique(keys >> BITS)
+
+
+def known(models: pd.DataFrame) -> dict[int, Known]:
+    return {int(m): Known(x.kind.to_numpy(), x.key.to_numpy(), x.value.to_numpy()) for m, x in models.groupby("model")}
+
+
+def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: Sequence[int]) -> pd.DataFrame:
+    """perplexity under model 0, and held_out under the model of a text's fold; NaN for empty texts, fold 0 and absent models."""
+    texts, folds = [t or "" for t in texts], np.asarray(folds, np.int64)
+    total, apart = np.zeros(len(texts)), np.zeros(len(texts))
+    whole = models.get(0) or Known(np.empty(0), np.empty(0), np.empty(0))
+    for whose, grams in slices(texts):
+        u, at = np.unique(grams, return_inverse=True)
+        total += np.bincount(whose, whole.log_p(u)[at], len(texts))
+        for f in (1, 2):
+            if f in models and (own := folds[whose] == f).any():
+                apart += np.bincount(whose[own], models[f].log_p(u)[at[own]], len(texts))
+    n = np.array([len(t) or np.nan for t in texts])
+    there = np.isin(folds, [f for f in (1, 2) if f in models])
+    return pd.DataFrame({"perplexity": np.exp(-total / n), "held_out": np.where(there, np.exp(-apart / n), np.nan)})
+
+
+_SCORES = T.StructType([T.StructField("perplexity", T.DoubleType()), T.StructField("held_out", T.DoubleType())])
+
+
+def score(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """Adds the struct `score` to rows with text and fold: perplexities by code point of each whole text.
+
+    A model of at most MODEL_ROWS rows is sent to the executors. A larger one is joined with
+    what blocks of texts ask of it, with the same results.
+    """
+    if not is_small(models, MODEL_ROWS):
+        return _by_block(docs, models)
+    held = docs.sparkSession.sparkContext.broadcast(known(models.toPandas()))
+
+    @F.pandas_udf(_SCORES)
+    def run(text: pd.Series, fold: pd.Series) -> pd.DataFrame:
+        return perplexities(held.value, text.tolist(), fold.tolist())
+
+    return docs.withColumn("score", run("text", "fold"))
+
+
+def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """score by sharded joins: 256 texts that stand together ask for each row of the model once."""
+    placed = stored(docs.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), 8)), "blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pd.DataFrame({"block": b.column("_block").to_pylist(), "fold": b.column("fold").to_pylist(), "text": b.column("text").to_pylist()})
+            for block, own in rows.groupby("block"):
+                for _, grams in slices([t or "" for t in own.text]):
+                    for m in {0, *own.fold.tolist()}:
+                        for kind, keys in _asked(np.unique(grams)):
+                            n = len(keys)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(keys)], names=["block", "model", "kind", "key"])
 
-def score(docs: DataFrame, model: np.ndarray, name: str = "perplexity") -> DataFrame:
-    """Adds the perplexity by symbol of each whole text; null for null and empty texts."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS**3 numbers
+    asked = placed.select("_block", "fold", "text").mapInArrow(ask, "block long, model int, kind int, key long").distinct()
+    found = asked.join(models, ["model", "kind", "key"])
+    present = {r[0] for r in models.select("model").distinct().collect()}  # three at most
 
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([float(np.exp(-held.value[trigrams(t)].mean(dtype=np.float64))) if t else None for t in text], dtype="float64")
+    def answer(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        own = known(got)
+        own |= {m: Known(np.empty(0), np.empty(0), np.empty(0)) for m in present if m not in own}
+        rows = rows.reset_index(drop=True)
+        return rows.drop(columns="_block").join(perplexities(own, rows.text.tolist(), rows.fold.tolist()))
 
-    return docs.withColumn(name, run("text"))
+    schema = T.StructType([*docs.schema.fields, *_SCORES.fields])
+    out = placed.groupBy("_block").cogroup(found.groupBy("block")).applyInPandas(answer, schema)
+    return out.select(*docs.columns, F.struct(*_SCORES.names).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
     """Perplexity and verdict of each document (doc_id, text, lang).
 
     Trusted texts are those labelled of quality 1 and not toxic; all of them train the model.
-    A document is kept if its perplexity is at most the `quantile` of the trusted ones in its
-    language (approximate to 1 in 10,000 ranks); languages without trusted texts, null
-    included, take that of all trusted ones. Without trusted texts, and for empty texts,
-    nothing is kept. Returns doc_id, lang, perplexity, threshold, kept.
+    The threshold of a language is the `quantile` of its trusted texts' perplexities, each
+    under a model of the other half of the trusted texts, since a text that trained a model
+    has a lower one than texts as good that didn't (approximate to 1 in 10,000 ranks).
+    Languages without trusted texts, null included, take that of all trusted ones. A document
+    is kept if its perplexity is at most the threshold. Without trusted texts, and for empty
+    texts, nothing is kept. Returns doc_id, lang, perplexity, threshold, kept.
     """
-    good = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1").select("doc_id", F.lit(True).alias("trusted"))
-    good = cut(good)
-    marked = attach(docs.select("doc_id", "text", "lang"), good, ["doc_id"])
-    rows = cut(score(marked, fit(marked.where("trusted"))).select("doc_id", "lang", "perplexity", "trusted"))
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold")
-    by_lang = rows.where("trusted").groupBy("lang").agg(at)
-    everyone = rows.where("trusted").agg(at).first()[0]
+    good = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1").select("doc_id", F.lit(1).alias("trusted"))
+    marked = attach(docs.select("doc_id", "text", "lang"), cut(good), ["doc_id"])
+    marked = marked.withColumn("fold", F.when(F.col("trusted") == 1, fold_of(F.col("text"))).otherwise(0))
+    scored = score(marked.select("doc_id", "text", "lang", "fold"), fit(marked.where("trusted = 1")))
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = cut(scored.select("doc_id", "lang", "fold", real("score.perplexity").alias("perplexity"), F.coalesce(real("score.held_out"), real("score.perplexity")).alias("held_out")))
+    at = F.percentile_approx("held_out", F.lit(quantile), F.lit(10_000)).alias("threshold")
+    by_lang = rows.where("fold > 0").groupBy("lang").agg(at)
+    everyone = rows.where("fold > 0").agg(at).first()[0]
     out = attach(rows, by_lang, ["lang"]).withColumn("threshold", F.coalesce("threshold", F.lit(everyone).cast("double")))
     return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 

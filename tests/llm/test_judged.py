@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -115,17 +114,22 @@ def test_each_template_saves_most_on_itself():
 # op4
 
 
-def test_probabilities_sum_to_one_and_match_dense_counts(spark):
+def test_probabilities_sum_to_one_and_match_plain_counts(spark):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abc d.") for _ in range(rng.randint(1, 80))) for _ in range(200)] + [None, ""]
-    model = perplexity.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    n = perplexity.SYMBOLS
-    p = np.exp(model.astype(float)).reshape(n, n, n)
-    assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
-
-    c3 = Counter(int(g) for t in texts for g in perplexity.trigrams(t))
-    c2 = Counter(g % n**2 for g in c3)
-    c1 = Counter(g % n for g in c2)
+    texts = ["".join(rng.choice("abc d.é") for _ in range(rng.randint(1, 80))) for _ in range(200)] + [None, ""]
+    model = perplexity.known(perplexity.fit(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas())[0]
+    p = lambda *grams: np.exp(model.log_p(np.array(grams, np.int64)))
+    bits, two = perplexity.BITS, perplexity.TWO
+    for context in (0, ord("a"), ord("a") << bits | ord("b"), ord("é") << bits | ord("x")):
+        seen = [context << bits | ord(c) for c in "abc d.é"]
+        assert p(*seen).sum() + (perplexity.POINTS - len(seen)) * p(context << bits | ord("q"))[0] == pytest.approx(1, abs=1e-6)
+
+    c3 = Counter()
+    for t in texts:
+        padded = "\0\0" + (t or "")
+        c3.update(ord(x) << 2 * bits | ord(y) << bits | ord(z) for x, y, z in zip(padded, padded[1:], padded[2:]))
+    c2 = Counter(g & two for g in c3)
+    c1 = Counter(g & perplexity.ONE for g in c2)
 
     def off(counts):
         k = [sum(v == i for v in counts.values()) for i in (1, 2, 3, 4)]
@@ -135,7 +139,7 @@ def test_probabilities_sum_to_one_and_match_dense_counts(spark):
         return [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0), i) for i in (1, 2, 3)]
 
     def prob(counts, context, gram, d, low):
-        own = {g: v for g, v in counts.items() if context is None or g // n == context}
+        own = {g: v for g, v in counts.items() if context is None or g >> bits == context}
         if not own:
             return low
         total = sum(own.values())
@@ -144,10 +148,30 @@ def test_probabilities_sum_to_one_and_match_dense_counts(spark):
         return (v - take(v)) / total + sum(map(take, own.values())) / total * low
 
     d1, d2, d3 = off(c1), off(c2), off(c3)
-    for g in [*list(c3)[:20], 5, 70 * n * n + 67 * n + 68]:
-        low1 = prob(c1, None, g % n, d1, 1 / n)
-        low2 = prob(c2, g % n**2 // n, g % n**2, d2, low1)
-        assert math.exp(model[g]) == pytest.approx(prob(c3, g // n, g, d3, low2), rel=1e-3)
+    for g in [*list(c3)[:20], 5, 70 << 2 * bits | 67 << bits | 68]:
+        low1 = prob(c1, None, g & perplexity.ONE, d1, 1 / perplexity.POINTS)
+        low2 = prob(c2, (g & two) >> bits, g & two, d2, low1)
+        assert p(g)[0] == pytest.approx(prob(c3, g >> bits, g, d3, low2), rel=1e-9)
+
+
+def test_long_texts_are_taken_whole_in_stretches(monkeypatch):
+    texts = ["abcdefghij" * 30, "", "xy", "é" * 101]
+    want = {i: g.tolist() for i, t in enumerate(texts) for _, g in perplexity.slices([t])}
+    monkeypatch.setattr(perplexity, "SLICE", 7)
+    got: dict = {}
+    for whose, grams in perplexity.slices(texts):
+        for i, g in zip(whose.tolist(), grams.tolist()):
+            got.setdefault(i, []).append(g)
+    assert got == want and [len(got.get(i, [])) for i in range(4)] == [300, 0, 2, 101]
+
+
+def test_a_large_model_is_joined_with_the_same_results(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(docs_of(spark, ODD).select("doc_id", "text"), allowMissingColumns=True)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = lambda: sorted(((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 9), r.threshold and round(r.threshold, 9), r.kept) for r in perplexity.judge(docs, labels).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(perplexity, "MODEL_ROWS", 10)
+    assert rows() == want and len(want) == docs.count()
 
 
 def test_junk_is_told_from_trusted_text(spark):
