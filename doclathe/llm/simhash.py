@@ -244,6 +244,88 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind binary, fp long, sketch binary, bands array<long>")
 
 
+#: Most kinds of a block, whose pairs one task compares; larger groups are dealt over more blocks.
+BLOCK = 512
+
+
+def _exhausted(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of tasks (task, at, side, kind, root, sketch), each task's together: those in a pair that may be alike.
+
+    Pairs are of sides 0 and 1, or within side 2; of different roots; and their first common
+    band is the one at place `at`. With the shingle sets (own) the pairs are decided, and
+    links (a, b) are returned that connect all that are alike.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def groups() -> Iterator[pa.Table]:
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            for lo, hi in zip(ends := [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist()], [*ends[1:], len(task)]):
+                if held and lo < hi and held[-1].column("task")[0].as_py() != task[lo]:
+                    yield pa.Table.from_batches(held)
+                    held.clear()
+                if lo < hi:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    for rows in groups():
+        kinds, names = rows.column("kind").to_pylist(), rows.column("root").to_pylist()
+        side, band = rows.column("side").to_numpy(), rows.column("at")[0].as_py()
+        number = {r: i for i, r in enumerate(dict.fromkeys(names))}
+        root = np.array([number[r] for r in names])
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(len(kinds), -1)
+        decide = "own" in rows.column_names
+        if decide:
+            own = rows.column("own").combine_chunks()
+            at = own.offsets.to_numpy() - own.offsets[0].as_py()
+            values, tokens = np.unique(own.flatten().to_numpy(), return_inverse=True)
+            mark, size = np.zeros(len(values), bool), np.diff(at)
+        asked, links = np.zeros(len(kinds), bool), []
+        for i in range(len(kinds)):
+            others = np.flatnonzero((side == 1 if side[i] == 0 else (side == 2) & (np.arange(len(side)) > i)) & (root != root[i])) if side[i] != 1 else ()
+            if not len(others):
+                continue
+            equal = sketch[others] == sketch[i]
+            common = equal.reshape(-1, BANDS, ROWS).all(axis=2)
+            others = others[(equal.mean(axis=1) >= similarity - 0.2) & common.any(axis=1) & (common.argmax(axis=1) == band)]
+            if not decide:
+                asked[others] = True
+                asked[i] |= len(others) > 0
+                continue
+            mark[tokens[at[i] : at[i + 1]]] = True
+            for j in others.tolist():
+                if root[i] != root[j] and min(size[i], size[j]) >= similarity * max(size[i], size[j]):
+                    shared = np.count_nonzero(mark[tokens[at[j] : at[j + 1]]])
+                    if shared >= similarity * (size[i] + size[j] - shared):
+                        links.append((kinds[i], kinds[j]))
+                        root[root == root[j]] = root[i]
+            mark[tokens[at[i] : at[i + 1]]] = False
+        if decide:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"])
+        elif asked.any():
+            yield from rows.filter(pa.array(asked)).combine_chunks().to_batches()
+
+
+def _dealt(rest: DataFrame, block: int) -> DataFrame:
+    """Rows (kind, root, band, at) as rows (task, at, side, kind, root) whose tasks meet all pairs of different roots in a band.
+
+    A band's kinds are dealt into blocks of some `block`: those of a root with more of them by
+    themselves, the others together. Each two blocks are a task, except two of one root.
+    """
+    per = stored(rest.groupBy("band", "root").agg(F.count("*").alias("n")), "roots")
+    per = per.join(per.groupBy("band").agg(F.count("*").alias("roots")).where("roots > 1").select("band"), "band", "left_semi")
+    own = F.when(F.col("n") > block, F.col("root")).otherwise(F.lit(b""))
+    per = per.select("band", "root", "n", own.alias("own"))
+    sizes = stored(per.groupBy("band", "own").agg(F.ceil(F.sum("n") / block).cast("long").alias("salts")), "sizes")
+    blocks = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("band", F.struct("own", "salt").alias("x"))
+    two = blocks.join(blocks.withColumnRenamed("x", "y"), "band").where((F.col("x") <= F.col("y")) & ((F.col("x.own") != F.col("y.own")) | (F.length("x.own") == 0)))
+    ends = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(2).alias("side"), F.col("x").alias("x")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("x")), F.struct(F.lit(1).alias("side"), F.col("y").alias("x"))))
+    tasks = two.select("band", F.xxhash64("band", "x", "y").alias("task"), F.explode(ends).alias("e")).select("band", "task", "e.side", "e.x.own", "e.x.salt")
+    salted = rest.join(per.select("band", "root", "own"), ["band", "root"]).join(sizes, ["band", "own"]).withColumn("salt", F.pmod(F.xxhash64("kind"), F.col("salts")))
+    return salted.join(tasks, ["band", "own", "salt"]).select("task", "at", "side", "kind", "root")
+
+
 @F.pandas_udf(T.DoubleType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal places of two sketches."""
@@ -259,19 +341,21 @@ def _shingle_sets(k: int):
     return run
 
 
-def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Kinds of texts (doc_id, kind), and links (a, b) between kinds of Jaccard likeness `similarity` or more.
 
     Candidates are kinds whose SimHash fingerprints the Gray-ordered index links, and, since
     fingerprints of 64 bits miss most pairs between 0.8 and 0.95, kinds that share a band of
-    a min-wise sketch. A band's kinds are compared with two of them: the one that meets most
-    others over all its bands, and the one of least hash, which changes from band to band.
-    Pairs whose sketches differ in over 0.2 more places than asked for go; of the rest the
-    shingle sets are compared, as 32-bit hashes.
+    a min-wise sketch. A band's kinds are first compared with two of them: the one that meets
+    most others over all its bands, and the one of least hash, which changes from band to
+    band. Then each two kinds of a band that no links connect yet are compared as well, block
+    by block, so that each pair that shares a band is linked, connected or refuted. Pairs
+    whose sketches differ in over 0.2 more places than asked for go; of the rest the shingle
+    sets are compared, as 32-bit hashes.
     """
     rows = stored(_features(docs, k), "features")
     kinds = stored(rows.drop("doc_id").dropDuplicates(["kind"]), "kinds")
-    banded = kinds.select("kind", F.explode("bands").alias("band"))
+    banded = kinds.select("kind", F.posexplode("bands").alias("at", "band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     banded = stored(banded.join(sizes, "band"), "bands")
     centre = banded.groupBy("kind").agg(F.sum("n").alias("met"))
@@ -286,16 +370,32 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int =
     sketch = kinds.select("kind", "sketch")
     pairs = pairs.join(sketch.select(F.col("kind").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("kind").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = stored(pairs.where(_alike("sa", "sb") >= similarity - 0.2).select("a", "b"), "pairs")
-    # whole texts of the kinds in question, one of each
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct(), "asked")
-    one = stored(attach(rows.select("doc_id", "kind"), asked.withColumn("ask", F.lit(1)), ["kind"], "inner").groupBy("kind").agg(F.min("doc_id").alias("doc_id")), "one")
-    texts = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one.select("doc_id", F.lit(1).alias("ask")).distinct(), ["doc_id"], "inner")
-    sets = texts.select(_kind("text").alias("kind"), _shingle_sets(k)("text").alias("own")).join(asked, "kind", "left_semi").dropDuplicates(["kind"])
-    sets = stored(sets, "sets")
+    named = rows.select("doc_id", "kind")
+    sets = _sets(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("kind")), k)
     both = pairs.join(sets.select(F.col("kind").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("kind").alias("b"), F.col("own").alias("ob")), "b")
     shared = F.size(F.array_intersect("oa", "ob"))
-    links = both.where(shared >= similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b")
-    return rows.select("doc_id", "kind"), stored(links, "links")
+    links = stored(both.where(shared >= similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b"), "links")
+    # the hubs have met their whole band; the others of it, by what is connected so far
+    roots = components(links)
+    rest = banded.join(hubs, "band").where("kind <> h1 and kind <> h2").select("kind", "band", "at")
+    rest = stored(rest.join(roots, rest.kind == roots.node, "left").select("kind", "band", "at", F.coalesce("root", "kind").alias("root")), "rest")
+    shape = "task long, at int, side int, kind binary, root binary, sketch binary"
+    open_ = _dealt(rest, block).join(sketch, "kind").select("task", "at", "side", "kind", "root", "sketch")
+    open_ = stored(open_.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _exhausted(b, similarity), shape), "open")
+    if open_.isEmpty():
+        return named, links
+    sets = _sets(docs, named, open_.select("kind"), k)
+    more = open_.join(sets, "kind").repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _exhausted(b, similarity), "a binary, b binary")
+    return named, links.unionByName(stored(more, "links"))
+
+
+def _sets(docs: DataFrame, rows: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """The shingle sets (kind, own) of the kinds asked for, from whole texts, one of each."""
+    asked = stored(kinds.distinct(), "asked")
+    one = stored(attach(rows, asked.withColumn("ask", F.lit(1)), ["kind"], "inner").groupBy("kind").agg(F.min("doc_id").alias("doc_id")), "one")
+    texts = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one.select("doc_id", F.lit(1).alias("ask")).distinct(), ["doc_id"], "inner")
+    sets = texts.select(_kind("text").alias("kind"), _shingle_sets(k)("text").alias("own")).join(asked, "kind", "left_semi").dropDuplicates(["kind"])
+    return stored(sets, "sets")
 
 
 @F.pandas_udf(T.BinaryType())

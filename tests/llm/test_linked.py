@@ -130,6 +130,26 @@ def test_near_copies_by_brute_force(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(top.values()))
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_edits_without_their_original(spark, block):
+    """A family whose mean likeness is a little under 0.8: alike pairs are mostly not those of hubs."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(400)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for at in rng.sample(range(400), 6):
+            w[at] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    top = near_groups(texts)
+    rows, links = simhash.near_links(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), block=block)
+    ids = {r.kind: r.doc_id for r in rows.collect()}
+    got = roots(range(300), [(ids[a], ids[b]) for a, b in links.collect()])
+    assert got == top
+    assert 1 < len(set(top.values())) < 300
+
+
 @pytest.mark.parametrize(("rows", "n"), [([], 0), (ODD, 5)])
 def test_near_dedup_of_odd_rows(spark, rows, n):
     assert simhash.near_dedup(docs_of(spark, rows)).count() == n
