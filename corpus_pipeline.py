@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from doclathe.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from doclathe.llm._shared import small_batches, stored
 
-#: A passage of over 50 words has some 300 bytes and more; the shortest words make 250.
+#: A passage has over 50 words, however short; strings of so many bytes go as well, whatever
+#: their words, so that text without spaces is covered.
+PASSAGE_WORDS = 51
 PASSAGE_BYTES = 250
 
 
@@ -31,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut out; documents of which no word is left go."""
     small_batches(spark)
-    out = suffix_dedup.dedup(docs, PASSAGE_BYTES)
+    out = suffix_dedup.dedup(docs, PASSAGE_BYTES, PASSAGE_WORDS)
     text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("cut.n_removed") > 0, F.length("cut.kept_text").cast("long")).otherwise(F.col("n_chars"))
     left = (F.col("cut.n_removed") == 0) | F.col("cut.kept_text").rlike(r"[^\x20\x09-\x0D]")

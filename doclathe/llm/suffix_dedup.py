@@ -192,16 +192,60 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     some = texts.where(F.octet_length("text") >= length)
     if is_small(names):
         some = some.join(F.broadcast(names), "digest", "left_semi")
-    suffixes = _suffixes(some.join(wanted, "digest"), length)
+    hits = _repeated(_suffixes(some.join(wanted, "digest"), length))
+    starts = hits.groupBy("doc").agg(F.collect_set(F.shiftright("at", 1).cast("int")).alias("starts"))
+    starts = starts.join(wanted.select("doc", "digest"), "doc").select("digest", "starts")
+    return starts.join(whole, "digest", "full_outer").select("digest", "starts", "runs")
+
+
+def _short_windows(texts: DataFrame, length: int, words: int) -> DataFrame:
+    """Rows (t0, t1, doc, at, digest): each run of `words` words of under `length` bytes, as two tokens.
+
+    at is twice (place * length + bytes), plus 1. Each row of texts is a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, digest, text in zip(*(b.column(c).to_pylist() for c in ("doc", "digest", "text"))):
+                data = text.encode()
+                codes = np.frombuffer(data, np.uint8)
+                inner = np.concatenate(([False], (codes != 0x20) & ((codes < 0x09) | (codes > 0x0D)), [False]))
+                start, end = (np.flatnonzero(x) for x in (inner[1:] & ~inner[:-1], inner[:-1] & ~inner[1:]))
+                start, end = start[: max(0, len(start) - words + 1)], end[words - 1 :]
+                short = end - start < length
+                start, end = start[short], end[short]
+                if not len(start):
+                    continue
+                sums, half = _prefixes(data), (start + end) // 2
+                t0, t1 = _hashes(sums, start, half), _hashes(sums, half, end)
+                for i in range(0, len(start), 1 << 16):
+                    own = slice(i, i + (1 << 16))
+                    n = len(start[own])
+                    yield pa.RecordBatch.from_arrays([pa.array(t0[own].view(np.int64)), pa.array(t1[own].view(np.int64)), pa.array(np.full(n, doc)), pa.array(2 * (start[own] * length + end[own] - start[own]) + 1), pa.array([digest] * n, pa.binary())], names=["t0", "t1", "doc", "at", "digest"])
+
+    return texts.withColumn("doc", F.monotonically_increasing_id()).select("doc", "digest", "text").mapInArrow(run, "t0 long, t1 long, doc long, at long, digest binary")
+
+
+def repeated_windows(texts: DataFrame, length: int, words: int) -> DataFrame:
+    """Where runs of `words` words of under `length` bytes repeat: digest, short (start, n), with n as in runs.
+
+    n is negative, since a run (start, n) covers n - 1 + length bytes.
+    """
+    windows = stored(_short_windows(texts, length, words), "windows")
+    hits = _repeated(windows.select("t0", "t1", "doc", "at"))
+    place = F.shiftright("at", 1)
+    span = F.struct(F.floor(place / length).cast("int").alias("start"), (place % length - length + 1).cast("int").alias("n"))
+    return hits.join(windows.select("doc", "digest").distinct(), "doc").groupBy("digest").agg(F.collect_set(span).alias("short"))
+
+
+def _repeated(suffixes: DataFrame) -> DataFrame:
+    """Rows (doc, at) of the wanted ones of suffixes (t0, t1, doc, at) that equal another, by ranges of sampled splitters."""
     order = ("t0", "t1", "doc", "at")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "t0 long, t1 long, doc long, at long, edge boolean"), "found")
     edges = found.where("edge")
     across = edges.groupBy("t0", "t1").agg(F.min(F.struct("doc", "at")).alias("a"), F.max(F.struct("doc", "at")).alias("b")).where("a <> b").select("t0", "t1")
-    hits = found.where("not edge").select("doc", "at").unionByName(edges.join(across, ["t0", "t1"], "left_semi").where("at % 2 = 1").select("doc", "at"))
-    starts = hits.groupBy("doc").agg(F.collect_set(F.shiftright("at", 1).cast("int")).alias("starts"))
-    starts = starts.join(wanted.select("doc", "digest"), "doc").select("digest", "starts")
-    return starts.join(whole, "digest", "full_outer").select("digest", "starts", "runs")
+    return found.where("not edge").select("doc", "at").unionByName(edges.join(across, ["t0", "t1"], "left_semi").where("at % 2 = 1").select("doc", "at"))
 
 
 def _spans(starts, runs, length: int) -> list[tuple[int, int]]:
@@ -236,12 +280,13 @@ def _cut_out(length: int):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """Adds to each document the column `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A byte is removed if a string of `length` bytes over it also starts anywhere else in any
     document, the same one included; all copies go. Texts are taken as UTF-8 bytes, null as
-    empty. kept_sha256 is of the bytes left; kept_text drops what is left of a character that
+    empty. With `words`, a byte also goes if so many words over it, from the first one's start
+    to the last one's end, stand anywhere else, however short. kept_sha256 is of the bytes left; kept_text drops what is left of a character that
     was cut in two. Documents alike are copies of each other: from `length` bytes on they go
     whole. All columns of the input stay, but for one named cut.
     """
@@ -249,6 +294,11 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(packed(docs, "cut"), text.alias("text")).withColumn("digest", digest(F.col("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
     copies = stored(rows.where(F.col("n_bytes") >= length).groupBy("digest").count().where("count > 1").select("digest", F.lit(1).alias("kind")), "copies")
     spans = stored(repeated_spans(rows.select("digest", "text"), length), "spans")
+    if words is not None:
+        # runs of words of `length` bytes or more are found as strings
+        short = stored(repeated_windows(rows.select("digest", "text"), length, words), "short")
+        none = F.array().cast(short.schema["short"].dataType)
+        spans = stored(spans.join(short, "digest", "full_outer").select("digest", "starts", F.concat(F.coalesce("runs", none), F.coalesce("short", none)).alias("runs")), "spans")
     spans = attach(spans, copies, ["digest"]).where("kind is null").drop("kind")
     kinds = stored(copies.unionByName(spans.select("digest", F.lit(2).alias("kind"))), "kinds")
     marked = attach(rows, kinds, ["digest"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -187,6 +188,32 @@ def test_cut_by_brute_force(spark, length):
     assert got == dict(enumerate(slow_cut(texts, length)))
 
 
+@pytest.mark.parametrize("length", [60, 250])
+def test_passages_of_short_words_by_brute_force(spark, length):
+    """51 words may have 101 bytes."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 3)))
+    prose = lambda n: "".join(word() + rng.choice("     \n") for _ in range(n))
+    parts = [prose(n) for n in (50, 51, 52, 60, 61, 80, 120)]
+    texts = ["".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(parts), prose(rng.randint(1, 9)))) for _ in range(40)]
+    texts += [None, "", "a " * 51, "b " * 50, "c " * 60, parts[1], parts[1], parts[0]]
+    data = [(t or "").encode() for t in texts]
+    where: dict = {}
+    for i, x in enumerate(data):
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)]
+        spans = [(at[j][0], at[j + 50][1]) for j in range(len(at) - 50)] + [(p, p + length) for p in range(len(x) - length + 1)]
+        for a, b in set(spans):
+            where.setdefault(x[a:b], []).append((i, a, b))
+    gone = [bytearray(len(x)) for x in data]
+    for found in where.values():
+        if len(found) > 1:
+            for i, a, b in found:
+                gone[i][a:b] = b"\1" * (b - a)
+    want = {i: hashlib.sha256(bytes(c for c, z in zip(x, g) if not z)).hexdigest() for i, (x, g) in enumerate(zip(data, gone))}
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.cut.kept_sha256 for r in suffix_dedup.dedup(df, length, 51).collect()} == want
+
+
 def test_cut_of_nothing_and_of_repeated_rows(spark):
     assert suffix_dedup.dedup(docs_of(spark, []), 50).count() == 0
     got = suffix_dedup.dedup(docs_of(spark, ODD), 50).collect()
