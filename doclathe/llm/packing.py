@@ -139,16 +139,14 @@ def least_bins(counts: dict[int, int], size: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], size: int = 2048, width: int = 3, nodes: int = 1_500, tries: int = 60) -> list[tuple[Filling, int]]:
-    """Sequences as (pieces by length, how often), from how many pieces there are of each length.
+def _search(left: Counter, bins: int, size: int, width: int, nodes: int, tries: int) -> list[tuple[Filling, int]] | None:
+    """The best solution of fewer than `bins` sequences that bin completion finds in `nodes` branches.
 
-    Bin completion: the longest piece left opens a sequence, its undominated fillings are the
-    branches, and each is used as often as its pieces last. Depth first; a branch goes if its
-    waste so far excludes fewer sequences than the best solution, the first of which is
-    best-fit. It ends at the lower bound or after `nodes` branches. Its input has at most
-    `size` rows, so its work doesn't grow with the documents.
+    The longest piece left opens a sequence and its undominated fillings are the branches, each
+    used as often as its pieces last, then half as often and once. Depth first; a branch goes
+    if its waste so far excludes fewer sequences than the best solution.
     """
-    left = Counter({x: n for x, n in counts.items() if n})
+    left = Counter(left)
     order, total = sorted(left, reverse=True), sum(x * n for x, n in left.items())
     bound = least_bins(left, size)
 
@@ -156,32 +154,14 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, nodes: int =
         for x, n in filling:
             left[x] -= n * times
 
-    def often(filling: Filling) -> int:
-        return min(left[x] // n for x, n in filling)
-
-    def longest(i: int) -> int:
-        while i < len(order) and not left[order[i]]:
-            i += 1
-        return i
-
-    best: list[tuple[Filling, int]] = []
-    i = longest(0)
-    while i < len(order):  # best-fit
-        f = _best_fit(left, order[i:], size)
-        best.append((f, often(f)))
-        use(*best[-1])
-        i = longest(i)
-    for step in best:
-        use(step[0], -step[1])
-    bins = sum(n for _, n in best)
-
+    best: list[tuple[Filling, int]] | None = None
     path: list[tuple[Filling, int]] = []
-    branches: list[list[Filling]] = []
+    branches: list[list[tuple[Filling, int]]] = []
     starts: list[int] = []
     wasted, i, down = 0, 0, True
     while bins > bound:
         if down:
-            i = longest(i)
+            i = _longest(left, order, i)
             if i == len(order):
                 if (n := sum(t for _, t in path)) < bins:
                     best, bins = list(path), n
@@ -191,7 +171,10 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, nodes: int =
             left[x] -= 1
             options = fillings(left, order[i:], size - x, width, tries)
             left[x] += 1
-            branches.append([tuple(sorted({**dict(f), x: dict(f).get(x, 0) + 1}.items(), reverse=True)) for f in reversed(options)])
+            whole = [tuple(sorted({**dict(f), x: dict(f).get(x, 0) + 1}.items(), reverse=True)) for f in options]
+            often = [_often(left, f) for f in whole]
+            once = dict.fromkeys([*zip(whole, often), *((f, n) for f, t in zip(whole, often) for n in (t // 2, 1) if n)])
+            branches.append(list(reversed(once)))
             starts.append(i)
         if not branches:
             break
@@ -204,8 +187,7 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, nodes: int =
             branches.pop()
             starts.pop()
             continue
-        f = branches[-1].pop()
-        t = often(f)
+        f, t = branches[-1].pop()
         waste = t * (size - sum(x * n for x, n in f))
         if total + wasted + waste > (bins - 1) * size:
             continue
@@ -217,6 +199,59 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, nodes: int =
     return best
 
 
+def _often(left: Counter, filling: Filling) -> int:
+    return min(left[x] // n for x, n in filling)
+
+
+def _longest(left: Counter, order: list[int], i: int) -> int:
+    while i < len(order) and not left[order[i]]:
+        i += 1
+    return i
+
+
+def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int = 4, tries: int = 60) -> list[tuple[Filling, int]]:
+    """Sequences as (pieces by length, how often), from how many pieces there are of each length.
+
+    The first solution is best-fit. Then its sequences are opened again and packed by bin
+    completion: some of the last or of the most wasteful ones, then more, in the end all.
+    Each search may take several times the branches that one solution needs, so that it
+    always goes on after a first one. It ends at the lower bound, or when nothing is gained.
+    Its input has at most `size` rows, so its work doesn't grow with the documents.
+    """
+    left = Counter({x: n for x, n in counts.items() if n})
+    order = sorted(left, reverse=True)
+    bound = least_bins(left, size)
+    best: list[tuple[Filling, int]] = []
+    i = _longest(left, order, 0)
+    while i < len(order):  # best-fit
+        f = _best_fit(left, order[i:], size)
+        best.append((f, _often(left, f)))
+        for x, n in f:
+            left[x] -= n * best[-1][1]
+        i = _longest(left, order, i)
+    waste = lambda step: size - sum(x * n for x, n in step[0])
+    k, bins = 8, sum(t for _, t in best)
+    while bins > bound:
+        gained = False
+        for places in (range(len(best))[-k:], sorted(range(len(best)), key=lambda j: waste(best[j]))[-k:]):
+            gone = set(places)
+            chosen, own = [best[j] for j in places], Counter()
+            for f, t in chosen:
+                own.update({x: n * t for x, n in f})
+            before = sum(t for _, t in chosen)
+            found = _search(own, before, size, width, descents * (len(own) + len(chosen)) + 200, tries)
+            if found:
+                best = [step for j, step in enumerate(best) if j not in gone] + found
+                bins = sum(t for _, t in best)
+                gained = True
+                break
+        if not gained:
+            if k >= len(best):
+                break
+            k *= 4
+    return best
+
+
 def pack(rows: DataFrame, size: int = 2048) -> DataFrame:
     """Rows of pieces (length from 1 to `size`) with sequence_id and offset added.
 
@@ -243,7 +278,7 @@ def pack(rows: DataFrame, size: int = 2048) -> DataFrame:
             taken[x] += n * times
             offset += n * x
         sequence += times
-    # at most `size` steps of the plan, of at most 63 different lengths each
+    # some steps for each length of the plan, of at most 63 different lengths each
     at = rows.sparkSession.createDataFrame(places, "_length long, _from long, _to long, _each long, _sequence long, _offset long")
     nth = F.col("_rank") - F.col("_from")
     return numbered.join(F.broadcast(at), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(

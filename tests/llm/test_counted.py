@@ -76,6 +76,25 @@ def test_plan_is_least_on_small_inputs():
         assert sum(t for _, t in packing.plan(Counter(items), 20)) <= least(items, ()) + 1
 
 
+def test_plan_goes_on_after_best_fit_on_many_lengths():
+    rng = random.Random(9)
+    counts = Counter(min(2048, int(rng.gauss(1000, 350))) for _ in range(20_000))
+    counts = Counter({x: n for x, n in counts.items() if x >= 350})
+    left, first = Counter(counts), 0
+    for x in sorted(counts, reverse=True):
+        while left[x]:
+            f = packing._best_fit(left, sorted(+left, reverse=True), 2048)
+            times = min(left[y] // n for y, n in f)
+            left.subtract({y: n * times for y, n in f})
+            first += times
+    steps = packing.plan(counts)
+    used = Counter()
+    for f, times in steps:
+        used.update({x: n * times for x, n in f})
+    assert used == counts
+    assert packing.least_bins(counts, 2048) <= sum(t for _, t in steps) < first
+
+
 def test_pack_is_gapless(spark):
     got = packing.pack(packing.pieces(with_clashes(docs_of(spark, ODD)), packing.word_tokenizer(), 64), 64).toPandas()
     tok = packing._tokenizer(packing.word_tokenizer())
