@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,29 +16,75 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most rows of a table that is sent to every executor; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
+#: Most bytes of a batch that goes to a Python worker, whatever its texts' lengths.
+BATCH_BYTES = 4 << 20
+
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be very long: fewer rows at a time bound what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be very long: batches are bounded by bytes, which bounds what a Python worker holds.
 
+    The session keeps the setting, since frames run after the call that made them; batches of
+    numbers are as large as before.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, stored by checkpoint() in the folder that spark.checkpoint.dir names.
 
-    The session's own setting wins; a folder is chosen here only where none is set
-    (local runs and tests).
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only on a local master (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="doclathe-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted when the block ends, but for those stored as `lasting`.
+
+    A frame that leaves the block must be built on lasting tables and its inputs alone.
+    Lasting ones belong to the block around, if there is one.
+    """
+    token = _OPEN.set((*_OPEN.get(), []))
+    try:
+        yield
+    finally:
+        paths = _OPEN.get()[-1]
+        _OPEN.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """The frame, written as Parquet to the shared checkpoint folder and read again: it cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    around = _OPEN.get()[:-1] if lasting else _OPEN.get()
+    if around:
+        around[-1].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A small frame with its lineage cut; it lasts beyond a scratch block."""
+    return stored(df, "cut", lasting=True)
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """The name, or one made of it that isn't among those taken, whatever their case."""
+    low = {t.lower() for t in taken}
+    return next(n for n in (name + "_" * i for i in range(len(low) + 1)) if n.lower() not in low)
 
 
 def packed(docs: DataFrame, *replaced: str) -> Column:
@@ -88,33 +137,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     so a hub with very many neighbours is reduced by partial aggregation. Edges stay on the
     executors; the driver sees one number a round.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: larger neighbours are hung on the least node of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours are hung on the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet to the checkpoint folder and read again.
-
-    For wide or long intermediate tables: smaller on disk than a checkpoint, and read by column.
-    """
-    sc = df.sparkSession.sparkContext
-    cut(df.sparkSession.range(1)) if sc.getCheckpointDir() is None else None
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = edges.sparkSession
+    with scratch(spark):
+        now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        before = None
+        for _ in range(rounds):
+            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            # large star: larger neighbours are hung on the least node of the neighbourhood
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # small star: a node and its smaller neighbours are hung on the least of them
+            down = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+            now = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+            state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components did not settle")
+        return stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots", lasting=True)

@@ -11,7 +11,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import small_batches, table
+from ._shared import bounded_batches, table
 
 #: Short forms of public licence notices.
 TEMPLATES = (
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, most
 
 
 def op7_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, small_batches, table
+from ._shared import bounded_batches, packed, stored, table
 
 #: Rows of one length are numbered in shards of about so many.
 SHARD_ROWS = 2048
-#: Token strings that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers before it starts anew.
+REMEMBERED = 1_500_000
+#: Words that are encoded at a time, and the mark between them, a word by itself.
+AT_ONCE, MARK = 128, "\x01"
 #: A mark after a letter or digit, at a word's end: the tokenizer parts them as well.
-END_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
+END_MARK = r"([a-z0-9])([.,])(\s|$)"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,45 +35,103 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def token_bytes(path: str, texts: list[str | None], known: dict[bytes, bytes]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, then id 0.
+class Words:
+    """Ids of the words met so far, one after another in one array."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start, self.size, self.used = np.empty(1 << 16, "<u4"), np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64), 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.number), self.used
+        while len(self.start) < n + len(words):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+        self.size[n : n + len(words)] = sizes
+        self.start[n : n + len(words)] = at + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each of some distinct words; what is new is encoded, many words at a time."""
+        if len(self.number) + len(words) > REMEMBERED and self.number:
+            self.forget()
+        got = list(map(self.number.get, words))
+        fresh = [w for w, g in zip(words, got) if g is None]
+        plain = [w for w in fresh if MARK not in w] if len(self.mark) == 1 else []
+        runs = [plain[i : i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            if len(ends) == len(run):
+                self._add(run, ids[ids != self.mark[0]], np.diff(ends, prepend=-1) - 1)
+        for w in fresh:
+            if w not in self.number:
+                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                self._add([w], np.array(ids, "<u4"), np.array([len(ids)]))
+        return np.array([self.number[w] if g is None else g for w, g in zip(words, got)], np.int64)
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """One for each worker process and tokenizer, so that tasks share what is known."""
+    return Words(path)
+
+
+def token_ids(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each followed by id 0, as one array, and where each text ends in it.
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of
     its words in turn, and each distinct word is encoded once. It lowers letters and parts
     words from marks, so these are lowered and parted before, unless the text may hold a
     special token, whose string counts as it stands.
     """
-    split = [x.split() if b"<|" in x else END_MARK.sub(rb" \1", x.lower()).split() for x in ((t or "").encode() for t in texts)]
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = list({w for words in split for w in words if w not in known})
-    for w, e in zip(fresh, _tokenizer(path).encode_batch([w.decode() for w in fresh], add_special_tokens=False)):
-        known[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-    for words in split:
-        yield b"".join([known[w] for w in words]) + bytes(4)
+    texts = texts.fill_null("")
+    tidy = pc.replace_substring_regex(pc.ascii_lower(texts), END_MARK, r"\1 \2\3")
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, tidy))
+    flat = split.flatten().dictionary_encode()
+    place = words.places(flat.dictionary.to_pylist())
+    of = place[flat.indices.to_numpy(zero_copy_only=False)]
+    # each text ends with a word of its own, of the one id 0, which stands before all others
+    ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+    size, start = np.insert(words.size[of], ends, 1), np.insert(words.start[of] + 1, ends, 0)
+    ids = np.concatenate([np.zeros(1, "<u4"), words.ids[: words.used]])
+    last = np.cumsum(size)
+    out = ids[np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)]
+    return out, last[ends + np.arange(len(ends))]
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
     """Pieces of the documents (doc_id, text): doc_id, piece, start, length, ids_crc32.
 
     A document's ids are its tokens and id 0; null and empty texts have id 0 alone. Documents
-    of over `size` ids are cut into pieces of `size`, the last of which may be shorter.
+    of over `size` ids are cut into pieces of `size`, the last of which may be shorter. Rows
+    alike have their pieces each; no rows have none; other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        words = words_of(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(path, part.column("text").to_pylist(), known)):
-                    for k, at in enumerate(range(0, len(ids), 4 * size)):
-                        own = ids[at : at + 4 * size]
-                        rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, ends = token_ids(words, b.column("text"))
+            begin = np.append(0, ends[:-1]) if len(ends) else ends
+            n = -(-(ends - begin) // size)
+            which = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            lo = begin[which] + piece * size
+            hi = np.minimum(lo + size, ends[which])
+            data = memoryview(ids.view(np.uint8))
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(lo.tolist(), hi.tolist())]
+            cols = [b.column("doc_id").take(pa.array(which)), pa.array(piece, pa.int32()), pa.array(piece * size, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -94,7 +155,7 @@ def _dominated(filling: Filling, waste: int, left: Counter) -> bool:
     return any(left[y] > used.get(y, 0) for s in sums for y in range(s, s + waste + 1))
 
 
-def fillings(left: Counter, lengths: list[int], room: int, width: int, tries: int) -> list[Filling]:
+def fillings(left: Counter, lengths: list[int], room: int, width: float, tries: float, children: float = 8) -> list[Filling]:
     """Up to `width` undominated fillings of the room, least waste first, then fewest pieces."""
     lengths = [x for x in lengths if x <= room and left[x]]
     found: dict[Filling, int] = {_best_fit(left, lengths, room): 0}
@@ -114,7 +175,7 @@ def fillings(left: Counter, lengths: list[int], room: int, width: int, tries: in
             x = lengths[i]
             if x < r and left[x] > used.get(x, 0):
                 deeper.append((i, r - x, tuple(sorted({**used, x: used.get(x, 0) + 1}.items(), reverse=True))))
-                if len(deeper) >= 8:
+                if len(deeper) >= children:
                     break
         if not deeper:
             found.setdefault(got, 0)
@@ -139,9 +200,11 @@ def least_bins(counts: dict[int, int], size: int) -> int:
     return best
 
 
-def _search(left: Counter, bins: int, size: int, width: int, nodes: int, tries: int) -> list[tuple[Filling, int]] | None:
+def _search(left: Counter, bins: int, size: int, width: float, nodes: float, tries: float, children: float = 8) -> list[tuple[Filling, int]] | None:
     """The best solution of fewer than `bins` sequences that bin completion finds in `nodes` branches.
 
+    Without limits (all of them infinite) it is a least one, or none if there is no better.
+
     The longest piece left opens a sequence and its undominated fillings are the branches, each
     used as often as its pieces last, then half as often and once. Depth first; a branch goes
     if its waste so far excludes fewer sequences than the best solution.
@@ -169,7 +232,7 @@ def _search(left: Counter, bins: int, size: int, width: int, nodes: int, tries:
                 continue
             x = order[i]
             left[x] -= 1
-            options = fillings(left, order[i:], size - x, width, tries)
+            options = fillings(left, order[i:], size - x, width, tries, children)
             left[x] += 1
             whole = [tuple(sorted({**dict(f), x: dict(f).get(x, 0) + 1}.items(), reverse=True)) for f in options]
             often = [_often(left, f) for f in whole]
@@ -209,14 +272,15 @@ def _longest(left: Counter, order: list[int], i: int) -> int:
     return i
 
 
-def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int = 4, tries: int = 60) -> list[tuple[Filling, int]]:
+def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int = 4, tries: int = 60, exact: int = 24) -> list[tuple[Filling, int]]:
     """Sequences as (pieces by length, how often), from how many pieces there are of each length.
 
     The first solution is best-fit. Then its sequences are opened again and packed by bin
     completion: some of the last or of the most wasteful ones, then more, in the end all.
     Each search may take several times the branches that one solution needs, so that it
     always goes on after a first one. It ends at the lower bound, or when nothing is gained.
-    Its input has at most `size` rows, so its work doesn't grow with the documents.
+    Up to `exact` pieces are searched without limits, so that the plan is a least one; beyond
+    it may not be. Its input has at most `size` rows, so its work doesn't grow with the documents.
     """
     left = Counter({x: n for x, n in counts.items() if n})
     order = sorted(left, reverse=True)
@@ -231,6 +295,9 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int
         i = _longest(left, order, i)
     waste = lambda step: size - sum(x * n for x, n in step[0])
     k, bins = 8, sum(t for _, t in best)
+    if sum(counts.values()) <= exact and bins > bound:
+        free = float("inf")
+        return _search(Counter(counts), bins, size, free, free, free, free) or best
     while bins > bound:
         gained = False
         for places in (range(len(best))[-k:], sorted(range(len(best)), key=lambda j: waste(best[j]))[-k:]):
@@ -253,23 +320,26 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int
 
 
 def pack(rows: DataFrame, size: int = 2048) -> DataFrame:
-    """Rows of pieces (length from 1 to `size`) with sequence_id and offset added.
+    """Rows of pieces (doc_id, piece, ids_crc32, length from 1 to `size`) with sequence_id and offset added.
 
     Pieces of one length are alike, so the sequences are planned on the number of pieces of
     each length: at most `size` numbers reach the driver. Each piece is then numbered within
     its length, in shards, and takes the place that the plan has for this number. Repeated
-    rows are separate pieces. No rows: no sequences.
+    rows are separate pieces; null ids are ids. No rows: no sequences. Columns of the input
+    stay, whatever their names, but for those named sequence_id and offset.
     """
-    rows = cut(rows)
+    rows = stored(rows, "pieces", lasting=True)
     counts = dict(map(tuple, rows.groupBy("length").count().collect()))
     shards = 1 + sum(counts.values()) // SHARD_ROWS
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
-    w = Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32")
-    local = rows.withColumn("_shard", shard).withColumn("_n", F.row_number().over(w) - 1)
-    sizes = rows.withColumn("_shard", shard).groupBy("length", "_shard").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_shard", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    numbered = local.join(sizes, ["length", "_shard"]).withColumn("_rank", F.col("_base") + F.col("_n"))
+    keys = [F.col(c).alias(c) for c in ("doc_id", "piece", "ids_crc32", "length")]
+    plain = rows.select(packed(rows, "sequence_id", "offset"), *keys, shard.alias("shard"))
+    w = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
+    local = plain.select("row", "length", "shard", (F.row_number().over(w) - 1).alias("n"))
+    sizes = rows.select("length", shard.alias("shard")).groupBy("length", "shard").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "shard", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    numbered = local.join(sizes, ["length", "shard"]).select("row", "length", (F.col("base") + F.col("n")).alias("rank"))
     places, taken, sequence = [], Counter(), 0
     for filling, times in plan(counts, size):
         offset = 0
@@ -279,11 +349,10 @@ def pack(rows: DataFrame, size: int = 2048) -> DataFrame:
             offset += n * x
         sequence += times
     # some steps for each length of the plan, of at most 63 different lengths each
-    at = rows.sparkSession.createDataFrame(places, "_length long, _from long, _to long, _each long, _sequence long, _offset long")
-    nth = F.col("_rank") - F.col("_from")
-    return numbered.join(F.broadcast(at), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(
-        *rows.columns, (F.col("_sequence") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + nth % F.col("_each") * F.col("length")).cast("long").alias("offset")
-    )
+    at = rows.sparkSession.createDataFrame(places, "x long, first long, last long, each long, sequence long, begin long")
+    nth = F.col("rank") - F.col("first")
+    met = numbered.join(F.broadcast(at), (F.col("length") == F.col("x")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    return met.select("row.*", (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("begin") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
 
 
 def word_tokenizer() -> str:
@@ -293,7 +362,8 @@ def word_tokenizer() -> str:
 
 
 def op1_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Pieces of all documents and their places; null texts are empty, no documents give no rows."""
+    bounded_batches(spark)
     return pack(pieces(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, cut, is_small, small_batches, stored, table
+from ._shared import attach, cut, is_small, bounded_batches, stored, table
 
 #: Bits of a code point: three of them make a trigram's number.
 BITS = 21
@@ -248,7 +248,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFra
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

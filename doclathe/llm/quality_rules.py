@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, packed, small_batches, table
+from ._shared import attach, packed, bounded_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -90,7 +90,7 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     return judge(table(spark, sf_dir, "documents")).drop("host")
 
 

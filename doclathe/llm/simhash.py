@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, components, cut, packed, small_batches, stored, table
+from ._shared import attach, components, cut, packed, bounded_batches, stored, table
 
 SEED = 42
 FAN = 16
@@ -424,7 +424,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 
 
 def op2_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprint("text").alias("fp"))
     return link_fingerprints(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

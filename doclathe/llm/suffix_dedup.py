@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, is_small, packed, small_batches, stored, table
+from ._shared import attach, is_small, packed, bounded_batches, stored, table
 
 LENGTH = 400
 #: Most anchors that are sent to every executor: one long each.
@@ -313,7 +313,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> Da
 
 
 def op9_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
 

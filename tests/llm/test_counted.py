@@ -8,13 +8,15 @@ import zlib
 from array import array
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from doclathe.llm import chat_format, mixing, packing, quality_rules
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("row", "mix", "cut", "size", "copies", "f", "host", "failed", "rank", "kind", "digest")
+CLASH = ("shard", "n", "x", "c", "base", "first", "_shard", "_rank", "row", "mix", "cut", "size", "copies", "f", "host", "failed", "rank", "kind", "digest")
 
 
 def docs_of(spark, rows):
@@ -30,15 +32,30 @@ ODD = [(1, None, "a"), (2, "", "a"), (3, "one two  three\n", None), (3, "one two
 
 # op1
 
+MARKED = "a\x01b \x01 c"
+
 
 def test_tokens_equal_the_tokenizer():
     rng = random.Random(1)
-    parts = [*"aZ é'sΣς’dll 0123\n\t\x0b\x1c\x85\xa0́İ!?,.-ß中 ", "<|endoftext|>", "don't", "WORD.", "a1,"]
+    parts = [*"aZ \x01é'sΣς’dll 0123\n\t\x0b\x1c\x85\xa0́İ!?,.-ß中 ", "<|endoftext|>", "don't", "WORD.", "a1,"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     path = packing.word_tokenizer()
     tok = packing._tokenizer(path)
-    for t, got in zip(texts, packing.token_bytes(path, texts, {})):
-        assert got == array("I", tok.encode(t, add_special_tokens=False).ids + [0]).tobytes()
+    for words in (packing.Words(path), packing.words_of(path)):
+        ids, ends = packing.token_ids(words, pa.array([None, *texts, ""]))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in ("", *texts, "")]
+    assert [len(x) for x in packing.token_ids(packing.words_of(path), pa.array([], pa.string()))] == [0, 0]
+
+
+def test_words_are_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    path = packing.word_tokenizer()
+    words, tok = packing.Words(path), packing._tokenizer(path)
+    for k in range(12):
+        texts = [f"w{k}x{i} same {MARKED}" for i in range(30)]
+        ids, ends = packing.token_ids(words, pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert len(words.number) <= 100
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -73,7 +90,7 @@ def test_plan_is_least_on_small_inputs():
     rng = random.Random(3)
     for _ in range(25):
         items = tuple(sorted((rng.randint(1, 20) for _ in range(7)), reverse=True))
-        assert sum(t for _, t in packing.plan(Counter(items), 20)) <= least(items, ()) + 1
+        assert sum(t for _, t in packing.plan(Counter(items), 20)) == least(items, ())
 
 
 def test_plan_goes_on_after_best_fit_on_many_lengths():
@@ -96,7 +113,7 @@ def test_plan_goes_on_after_best_fit_on_many_lengths():
 
 
 def test_pack_is_gapless(spark):
-    got = packing.pack(packing.pieces(with_clashes(docs_of(spark, ODD)), packing.word_tokenizer(), 64), 64).toPandas()
+    got = packing.pack(with_clashes(packing.pieces(with_clashes(docs_of(spark, ODD)), packing.word_tokenizer(), 64)), 64).toPandas()
     tok = packing._tokenizer(packing.word_tokenizer())
     for i, t, _ in ODD:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
