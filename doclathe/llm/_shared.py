@@ -52,7 +52,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored within are deleted when the block ends, but for those stored as `lasting`.
 
     A frame that leaves the block must be built on lasting tables and its inputs alone.
-    Lasting ones belong to the block around, if there is one.
+    Lasting ones, and those of functions that open no block, belong to the block around them;
+    without one they stay, as the frames that are built on them may run at any time.
     """
     token = _OPEN.set((*_OPEN.get(), []))
     try:
@@ -77,8 +78,8 @@ def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A small frame with its lineage cut; it lasts beyond a scratch block."""
-    return stored(df, "cut", lasting=True)
+    """A small frame with its lineage cut."""
+    return stored(df, "cut")
 
 
 def unused(name: str, taken: Iterable[str]) -> str:

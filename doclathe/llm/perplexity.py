@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,18 +26,30 @@ MODEL_ROWS = 2_000_000
 #: Kinds of a model's rows: the order of an n-gram with its probability, and WEIGHT + order
 #: of a context with its weight of the lower order.
 WEIGHT = 10
+#: A word that stands again right after itself is read as one mark.
+AGAIN = "\x01"
+REPEATS = re.compile(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)((?:[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))+)")
+
+
+def marked(text: str) -> str:
+    """The text with a mark for each word that repeats the one before.
+
+    Repeated words look likely to an n-gram model, letter by letter; as marks they are as rare
+    as they are in trusted text.
+    """
+    return REPEATS.sub(lambda m: m[1] + AGAIN * len(m[2].split()), text)
 
 
 def slices(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(which text, trigram) of each code point of the texts, some SLICE at a time.
 
     A trigram is a code point z after x and y, as x * 2**42 + y * 2**21 + z; two zeros stand
-    before a text. Texts of any length are taken whole, in stretches.
+    before a text. Texts of any length are taken whole, in stretches, with repeated words as marks.
     """
     own: list[tuple[int, str]] = []
     held = 0
     for i, t in enumerate(texts):
-        t = "\0\0" + t
+        t = "\0\0" + marked(t)
         for lo in range(2, len(t), SLICE):
             own.append((i, t[lo - 2 : lo + SLICE]))
             held += len(own[-1][1])
@@ -161,15 +174,16 @@ def known(models: pd.DataFrame) -> dict[int, Known]:
 def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: Sequence[int]) -> pd.DataFrame:
     """perplexity under model 0, and held_out under the model of a text's fold; NaN for empty texts, fold 0 and absent models."""
     texts, folds = [t or "" for t in texts], np.asarray(folds, np.int64)
-    total, apart = np.zeros(len(texts)), np.zeros(len(texts))
+    total, apart, n = (np.zeros(len(texts)) for _ in range(3))
     whole = models.get(0) or Known(np.empty(0), np.empty(0), np.empty(0))
     for whose, grams in slices(texts):
         u, at = np.unique(grams, return_inverse=True)
+        n += np.bincount(whose, minlength=len(texts))
         total += np.bincount(whose, whole.log_p(u)[at], len(texts))
         for f in (1, 2):
             if f in models and (own := folds[whose] == f).any():
                 apart += np.bincount(whose[own], models[f].log_p(u)[at[own]], len(texts))
-    n = np.array([len(t) or np.nan for t in texts])
+    n[n == 0] = np.nan
     there = np.isin(folds, [f for f in (1, 2) if f in models])
     return pd.DataFrame({"perplexity": np.exp(-total / n), "held_out": np.where(there, np.exp(-apart / n), np.nan)})
 
@@ -232,7 +246,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFra
     has a lower one than texts as good that didn't (approximate to 1 in 10,000 ranks).
     Languages without trusted texts, null included, take that of all trusted ones. A document
     is kept if its perplexity is at most the threshold. Without trusted texts, and for empty
-    texts, nothing is kept. Returns doc_id, lang, perplexity, threshold, kept.
+    texts, nothing is kept. Rows alike are judged each, and alike. Returns doc_id, lang, perplexity, threshold, kept.
     """
     good = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1").select("doc_id", F.lit(1).alias("trusted"))
     marked = attach(docs.select("doc_id", "text", "lang"), cut(good), ["doc_id"])
@@ -248,6 +262,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFra
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and verdict of each row of `documents`, by the trusted texts of `labels`."""
     bounded_batches(spark)
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, components, cut, packed, bounded_batches, stored, table
+from ._shared import attach, bounded_batches, components, cut, packed, scratch, stored, table
 
 SEED = 42
 FAN = 16
@@ -334,9 +334,9 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _shingle_sets(k: int):
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, k).astype(np.uint32).view(np.int32)) for t in text])
+        return pd.Series([np.unique(shingle_hashes(t, k)).view("<i8") for t in text])
 
     return run
 
@@ -350,8 +350,8 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int =
     most others over all its bands, and the one of least hash, which changes from band to
     band. Then each two kinds of a band that no links connect yet are compared as well, block
     by block, so that each pair that shares a band is linked, connected or refuted. Pairs
-    whose sketches differ in over 0.2 more places than asked for go; of the rest the shingle
-    sets are compared, as 32-bit hashes.
+    whose sketches differ in over 0.2 more places than asked for go (of alike pairs fewer than
+    one in a million); of the rest the shingle sets are compared, as 64-bit hashes.
     """
     rows = stored(_features(docs, k), "features")
     kinds = stored(rows.drop("doc_id").dropDuplicates(["kind"]), "kinds")
@@ -394,7 +394,7 @@ def _sets(docs: DataFrame, rows: DataFrame, kinds: DataFrame, k: int) -> DataFra
     asked = stored(kinds.distinct(), "asked")
     one = stored(attach(rows, asked.withColumn("ask", F.lit(1)), ["kind"], "inner").groupBy("kind").agg(F.min("doc_id").alias("doc_id")), "one")
     texts = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one.select("doc_id", F.lit(1).alias("ask")).distinct(), ["doc_id"], "inner")
-    sets = texts.select(_kind("text").alias("kind"), _shingle_sets(k)("text").alias("own")).join(asked, "kind", "left_semi").dropDuplicates(["kind"])
+    sets = attach(texts.select(_kind("text").alias("kind"), _shingle_sets(k)("text").alias("own")), asked.withColumn("ask", F.lit(1)), ["kind"], "inner").select("kind", "own").dropDuplicates(["kind"])
     return stored(sets, "sets")
 
 
@@ -408,22 +408,26 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 
     Texts of equal words (A-Z lower-cased) are copies; groups are what links of near_links
     reach. Null and blank texts are one group. A null doc_id counts as greater than others;
-    of rows alike in doc_id and words one stays.
+    of rows alike in doc_id and words one stays. No rows give none.
     """
-    rows, links = near_links(docs, k, similarity)
-    roots = components(links)
-    least = rows.groupBy("kind").agg(F.min("doc_id").alias("doc_id"))
-    grouped = least.join(roots, least.kind == roots.node, "left").select("kind", "doc_id", F.coalesce("root", "kind").alias("root"))
-    stay = grouped.groupBy("root").agg(F.min_by("kind", F.struct(F.col("doc_id").isNull(), "doc_id", "kind")).alias("kind"))
-    kept = stay.join(least, "kind").select("kind", "doc_id")
-    again = rows.groupBy("kind", "doc_id").count().where("count > 1").select("kind", "doc_id", F.lit(True).alias("again"))
-    kept = stored(attach(kept, stored(again, "again"), ["kind", "doc_id"]), "kept")
+    with scratch(docs.sparkSession):
+        rows, links = near_links(docs, k, similarity)
+        roots = components(links)
+        least = rows.groupBy("kind").agg(F.min("doc_id").alias("doc_id"))
+        grouped = least.join(roots, least.kind == roots.node, "left").select("kind", "doc_id", F.coalesce("root", "kind").alias("root"))
+        stay = grouped.groupBy("root").agg(F.min_by("kind", F.struct(F.col("doc_id").isNull(), "doc_id", "kind")).alias("kind"))
+        kept = stay.join(least, "kind").select("kind", "doc_id", F.lit(True).alias("stays"))
+        each = rows.groupBy("kind", "doc_id").agg(F.count("*").alias("n"))
+        marks = each.join(kept, each.kind.eqNullSafe(kept.kind) & each.doc_id.eqNullSafe(kept.doc_id), "left").select(each.kind, each.doc_id.alias("id"), "n", F.col("stays").isNotNull().alias("stays"))
+        # only rows that go, or of which some go, are looked up
+        marks = stored(marks.where("not stays or n > 1").select("kind", "id", F.col("stays").alias("again")), "marks", lasting=True)
     named = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), _kind("text").alias("kind"))
-    out = attach(named, kept.withColumnRenamed("doc_id", "id"), ["kind", "id"], "inner")
+    out = attach(named, marks, ["kind", "id"])
     return out.where("again is null").select("row.*").unionByName(out.where("again").dropDuplicates(["kind"]).select("row.*"))
 
 
 def op2_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row of `documents`; null and blank texts have fingerprint 0."""
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprint("text").alias("fp"))
     return link_fingerprints(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -163,6 +163,41 @@ def test_mix_is_near_and_steady(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
 
 
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 1, 1)])
+def test_which_documents_are_taken_by_plain_pareto_sampling(spark, weights):
+    """Order and cut recomputed in Python from the same random numbers."""
+    rng = random.Random(19)
+    rows = [(i, "w " * rng.choice((0, rng.randint(1, 40), rng.randint(100, 900))), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(1500)]
+    df = docs_of(spark, rows)
+    u = {r.doc_id: r.u for r in df.select("doc_id", ((F.shiftrightunsigned(F.xxhash64(F.lit(20), "doc_id", "text"), 12) + 0.5) / float(1 << 52)).alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.pareto_mix(df, weights, prefer=mixing.shorter_first("text", 100)).select("doc_id", "mix.*").collect()}
+    unequal = 0
+    for s in {s for *_, s in rows}:
+        own = [(i, len(t.split())) for i, t, x in rows if x == s]
+        total = sum(n for _, n in own)
+        target = got[own[0][0]].target
+        like = {i: 100 / (100 + n) for i, n in own}
+        mean = sum(like[i] * n for i, n in own) / total
+        ratio = target / total
+        due = {i: min(max(ratio + min(ratio, 3 - ratio) * (like[i] - mean), 0), 3) for i, _ in own}
+        assert sum(due[i] * n for i, n in own) == pytest.approx(target)
+        unequal += len({round(d % 1, 6) for d in due.values()}) > 10
+        left = target - sum(int(due[i]) * n for i, n in own)
+        rank = {i: u[i] / (1 - u[i]) / (due[i] % 1 / (1 - due[i] % 1)) for i, _ in own if due[i] % 1}
+        want, used, on = {i: int(due[i]) for i, _ in own}, 0, True
+        size = dict(own)
+        for i in sorted(rank, key=rank.get):
+            on = on and used + size[i] / 2 <= left
+            if on:
+                want[i] += 1
+                last = i
+            used += size[i]
+        far = [i for i in want if got[i].copies != want[i]]
+        assert len(far) <= 1 and all(size[i] <= max(size.values()) for i in far), (s, far)
+        assert abs(sum(got[i].taken for i, _ in own) - target) <= max(size.values())
+    assert unequal
+
+
 def test_unequal_shares_prefer(spark):
     rows = [(i, "w w w w w", "a" if i % 2 else "b") for i in range(4000)]
     share = F.when(F.col("doc_id") % 4 < 2, 1.6).otherwise(0.4)

@@ -121,12 +121,12 @@ def test_probabilities_sum_to_one_and_match_plain_counts(spark):
     p = lambda *grams: np.exp(model.log_p(np.array(grams, np.int64)))
     bits, two = perplexity.BITS, perplexity.TWO
     for context in (0, ord("a"), ord("a") << bits | ord("b"), ord("é") << bits | ord("x")):
-        seen = [context << bits | ord(c) for c in "abc d.é"]
+        seen = [context << bits | ord(c) for c in "abc d.é" + perplexity.AGAIN]
         assert p(*seen).sum() + (perplexity.POINTS - len(seen)) * p(context << bits | ord("q"))[0] == pytest.approx(1, abs=1e-6)
 
     c3 = Counter()
     for t in texts:
-        padded = "\0\0" + (t or "")
+        padded = "\0\0" + perplexity.marked(t or "")
         c3.update(ord(x) << 2 * bits | ord(y) << bits | ord(z) for x, y, z in zip(padded, padded[1:], padded[2:]))
     c2 = Counter(g & two for g in c3)
     c1 = Counter(g & perplexity.ONE for g in c2)
@@ -154,6 +154,11 @@ def test_probabilities_sum_to_one_and_match_plain_counts(spark):
         assert p(g)[0] == pytest.approx(prob(c3, g >> bits, g, d3, low2), rel=1e-9)
 
 
+def test_repeated_words_are_marked():
+    cases = {"a a b": "a\x01 b", "are. are.\nare. x": "are.\x01\x01 x", "ab abc ab": "ab abc ab", "a b a b": "a b a b", "x  x": "x\x01", "": "", "the the": "the\x01", "aa a": "aa a", "é é é": "é\x01\x01"}
+    assert {t: perplexity.marked(t) for t in cases} == cases
+
+
 def test_long_texts_are_taken_whole_in_stretches(monkeypatch):
     texts = ["abcdefghij" * 30, "", "xy", "é" * 101]
     want = {i: g.tolist() for i, t in enumerate(texts) for _, g in perplexity.slices([t])}

@@ -175,8 +175,18 @@ def slow_cut(texts, length):
         yield len(x), sum(g), sum(1 for j in range(len(g)) if g[j] and (j == 0 or not g[j - 1])), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length", [40, 101])
-def test_cut_by_brute_force(spark, length):
+@pytest.mark.parametrize("few", [1, 7, 5000])
+def test_multikey_order(few):
+    rng = np.random.default_rng(few)
+    keys = [rng.integers(0, m, 3000) for m in (3, 40, 2, 1000)]
+    assert np.array_equal(np.stack([k[suffix_dedup.multikey_order(keys, few)] for k in keys]), np.stack([k[np.lexsort(keys[::-1])] for k in keys]))
+    assert len(suffix_dedup.multikey_order([k[:0] for k in keys])) == 0
+
+
+@pytest.mark.parametrize(("length", "small"), [(40, False), (101, False), (60, True)])
+def test_cut_by_brute_force(spark, length, small, monkeypatch):
+    for name in ("SLICE", "ROWS", "BUCKET") if small else ():
+        monkeypatch.setattr(suffix_dedup, name, 64)
     rng = random.Random(length)
     parts = ["".join(rng.choice("abcdé") for _ in range(rng.randint(20, 250))) for _ in range(20)]
     free = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 60)))
@@ -188,15 +198,18 @@ def test_cut_by_brute_force(spark, length):
     assert got == dict(enumerate(slow_cut(texts, length)))
 
 
-@pytest.mark.parametrize("length", [60, 250])
-def test_passages_of_short_words_by_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "small"), [(60, False), (250, True)])
+def test_passages_of_short_words_by_brute_force(spark, length, small, monkeypatch):
     """51 words may have 101 bytes."""
+    for name in ("SLICE", "ROWS", "BUCKET") if small else ():
+        monkeypatch.setattr(suffix_dedup, name, 97)
     rng = random.Random(length)
     word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 3)))
     prose = lambda n: "".join(word() + rng.choice("     \n") for _ in range(n))
     parts = [prose(n) for n in (50, 51, 52, 60, 61, 80, 120)]
     texts = ["".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(parts), prose(rng.randint(1, 9)))) for _ in range(40)]
-    texts += [None, "", "a " * 51, "b " * 50, "c " * 60, parts[1], parts[1], parts[0]]
+    alone = " ".join(f"{i:x}" for i in range(51))
+    texts += [None, "", "a " * 51, "b " * 50, "c " * 60, parts[1], parts[1], parts[0], alone, alone]
     data = [(t or "").encode() for t in texts]
     where: dict = {}
     for i, x in enumerate(data):
