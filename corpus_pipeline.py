@@ -63,7 +63,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none; columns of any name stay as they are.
     """
     mix = unused("mix", docs.columns)
-    out = mixing.pareto_mix(docs, prefer=mixing.shorter_first("text"), name=mix).where(F.col(f"{mix}.copies") > 0)
+    out = mixing.pareto_mix(docs, prefer=mixing.shorter_first, name=mix).where(F.col(f"{mix}.copies") > 0)
     return out.withColumn(mix, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{mix}.copies")))).select(*docs.columns)
 
 

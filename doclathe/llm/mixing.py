@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,9 +48,9 @@ def _due(most: int) -> Column:
     return F.when(F.col("source_size") > 0, F.least(F.greatest(ratio * F.col("share") + spread, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
 
 
-def shorter_first(text: Column | str, middle: int = 1000) -> Column:
+def shorter_first(size: Column, middle: int = 1000) -> Column:
     """A preference for shorter texts, from 1 down to 0: one half at `middle` words."""
-    return middle / (middle + words(text)).cast("double")
+    return middle / (middle + size).cast("double")
 
 
 def _odds_rank(due: Column, u: Column) -> Column:
@@ -60,12 +60,12 @@ def _odds_rank(due: Column, u: Column) -> Column:
     return F.when(p > 0, F.least(q / (1 + q), F.lit(1 - 1e-12)))
 
 
-def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.0, most: int = 3, seed: int = 20, share: Column | None = None, prefer: Column | None = None, name: str = "mix") -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.0, most: int = 3, seed: int = 20, share: Column | None = None, prefer: Callable[[Column], Column] | None = None, name: str = "mix") -> DataFrame:
     """Adds to each document the column `name`: size, source_size, target, copies, taken.
 
     A document of a source is due target / source_size copies, times `share` if given (a
     positive number by which documents of one source are preferred, of mean 1 weighted by
-    size). With `prefer`, a number from 0 to 1, documents of a source get unequal odds: what is
+    size). With `prefer`, a number from 0 to 1 made of the size, documents of a source get unequal odds: what is
     above the source's mean of it, weighted by size, is due up to as much more, so that the
     source's sum stays and nobody is due under 0 or over `most`. It gets the whole part for certain. The fraction p is its inclusion probability
     for one more copy: documents are ordered by u / (1-u) over p / (1-p), u being a fixed
@@ -76,11 +76,11 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
     and are taken together or not at all. Never more than `most` copies. Reruns agree. All
     columns of the input stay, but for one of that name.
     """
-    share, prefer = share if share is not None else F.lit(1.0), prefer if prefer is not None else F.lit(0.0)
-    prefer = F.coalesce(prefer.cast("double"), F.lit(0.0))
+    share = share if share is not None else F.lit(1.0)
+    liked = prefer(F.col("size")) if prefer is not None else F.lit(0.0)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12) + 0.5) / float(1 << 52)
     with scratch(docs.sparkSession):
-        sized = cut(docs.select("source", words("text").alias("size"), u.alias("u"), share.alias("share"), prefer.alias("prefer")))
+        sized = cut(docs.select("source", words("text").alias("size"), u.alias("u"), share.alias("share")).withColumn("prefer", liked))
         means = sized.groupBy("source").agg(F.try_divide(F.sum(F.col("prefer") * F.col("size")), F.sum("size")).alias("preferred"))
         targets = cut(attach(source_targets(sized, weights, budget, most), means, ["source"]).withColumn("preferred", F.coalesce("preferred", F.lit(0.0))))
         rows = attach(sized, targets, ["source"]).withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
@@ -106,7 +106,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
         bounds = attach(targets, two.select("source", (F.col("b2x") / float(BINS * BINS)).alias("_below")), ["source"])
         bounds = stored(attach(bounds, last, ["source"]), "bounds", lasting=True)
 
-    out = attach(docs.select(packed(docs, name), "source", words("text").alias("size"), u.alias("u"), share.alias("share"), prefer.alias("prefer")), bounds, ["source"])
+    out = attach(docs.select(packed(docs, name), "source", words("text").alias("size"), u.alias("u"), share.alias("share")), bounds, ["source"]).withColumn("prefer", liked)
     out = out.withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
     extra = F.coalesce((F.col("v") < F.col("_below")) | (F.col("v") <= F.coalesce("_last", F.lit(-1.0))), F.lit(False)).cast("long")
     out = out.withColumn("copies", F.floor("due") + extra)
@@ -116,7 +116,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each row of `documents` the mix takes; shorter texts of a source have better odds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pareto_mix(docs, prefer=shorter_first("text")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
+    return pareto_mix(docs, prefer=shorter_first).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
 
 
 QUERIES = {"op10_pareto_mix": op10_pareto_mix}

@@ -19,7 +19,7 @@ from ._shared import bounded_batches, packed, stored, table
 #: Rows of one length are numbered in shards of about so many.
 SHARD_ROWS = 2048
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Words that are encoded at a time, and the mark between them, a word by itself.
 AT_ONCE, MARK = 128, "\x01"
 #: A mark after a letter or digit, at a word's end: the tokenizer parts them as well.
@@ -349,7 +349,8 @@ def pack(rows: DataFrame, size: int = 2048) -> DataFrame:
             offset += n * x
         sequence += times
     # some steps for each length of the plan, of at most 63 different lengths each
-    at = rows.sparkSession.createDataFrame(places, "x long, first long, last long, each long, sequence long, begin long")
+    columns = ("x", "first", "last", "each", "sequence", "begin")
+    at = rows.sparkSession.createDataFrame(pa.table({c: pa.array([p[i] for p in places], pa.int64()) for i, c in enumerate(columns)}))
     nth = F.col("rank") - F.col("first")
     met = numbered.join(F.broadcast(at), (F.col("length") == F.col("x")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     return met.select("row.*", (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("begin") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))

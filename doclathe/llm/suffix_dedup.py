@@ -19,7 +19,7 @@ LENGTH = 400
 #: Most anchors that are sent to every executor: one long each.
 ANCHORS = 1_000_000
 #: Suffixes of a bucket, about; a task sorts one bucket at a time.
-BUCKET = 250_000
+BUCKET = 150_000
 #: Bytes of a text that are looked at in one go, besides an overlap.
 SLICE = 1 << 18
 #: Rows of a batch that a worker returns, about.
@@ -328,7 +328,8 @@ def _cut_out(length: int):
             rows.append((len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         return pd.DataFrame(rows, columns=_CUT.names)
 
-    return run
+    # filters on the result stay behind it; before it, they would run it twice, in two workers a task
+    return run.asNondeterministic()
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, words: int | None = None, name: str = "cut") -> DataFrame:

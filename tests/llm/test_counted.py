@@ -170,7 +170,7 @@ def test_which_documents_are_taken_by_plain_pareto_sampling(spark, weights):
     rows = [(i, "w " * rng.choice((0, rng.randint(1, 40), rng.randint(100, 900))), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(1500)]
     df = docs_of(spark, rows)
     u = {r.doc_id: r.u for r in df.select("doc_id", ((F.shiftrightunsigned(F.xxhash64(F.lit(20), "doc_id", "text"), 12) + 0.5) / float(1 << 52)).alias("u")).collect()}
-    got = {r.doc_id: r for r in mixing.pareto_mix(df, weights, prefer=mixing.shorter_first("text", 100)).select("doc_id", "mix.*").collect()}
+    got = {r.doc_id: r for r in mixing.pareto_mix(df, weights, prefer=lambda size: mixing.shorter_first(size, 100)).select("doc_id", "mix.*").collect()}
     unequal = 0
     for s in {s for *_, s in rows}:
         own = [(i, len(t.split())) for i, t, x in rows if x == s]
