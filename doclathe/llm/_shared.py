@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def begin(owner: str) -> dict:
+    """What a Python worker keeps for the next tasks of one operator; called where its work starts.
+
+    Workers are reused by tasks of all operators, so what one has kept and freed is given back
+    when another starts.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        trim and trim(0)
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def _folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only on a local master (tests)."""
     sc = spark.sparkContext

@@ -43,9 +43,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
 
 
 def _due(most: int) -> Column:
-    ratio = F.col("target") / F.col("source_size")
-    spread = F.least(ratio, most - ratio) * (F.col("prefer") - F.col("preferred"))
-    return F.when(F.col("source_size") > 0, F.least(F.greatest(ratio * F.col("share") + spread, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+    """Copies due, from a source's ratio, spread and preferred."""
+    return F.least(F.greatest(F.col("ratio") * F.col("share") + F.col("spread") * (F.col("prefer") - F.col("preferred")), F.lit(0.0)), F.lit(float(most)))
 
 
 def shorter_first(size: Column, middle: int = 1000) -> Column:
@@ -53,11 +52,9 @@ def shorter_first(size: Column, middle: int = 1000) -> Column:
     return middle / (middle + size).cast("double")
 
 
-def _odds_rank(due: Column, u: Column) -> Column:
+def _odds_rank(p: Column, u: Column) -> Column:
     """Order in (0, 1) of Q = u / (1-u) over p / (1-p), as Q / (1 + Q); null without a fraction p."""
-    p = due - F.floor(due)
-    q = u / (1 - u) * (1 - p) / p
-    return F.when(p > 0, F.least(q / (1 + q), F.lit(1 - 1e-12)))
+    return F.when(p > 0, F.least(u * (1 - p) / (u * (1 - p) + (1 - u) * p), F.lit(1 - 1e-12)))
 
 
 def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.0, most: int = 3, seed: int = 20, share: Column | None = None, prefer: Callable[[Column], Column] | None = None, name: str = "mix") -> DataFrame:
@@ -82,8 +79,10 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
     with scratch(docs.sparkSession):
         sized = cut(docs.select("source", words("text").alias("size"), u.alias("u"), share.alias("share")).withColumn("prefer", liked))
         means = sized.groupBy("source").agg(F.try_divide(F.sum(F.col("prefer") * F.col("size")), F.sum("size")).alias("preferred"))
-        targets = cut(attach(source_targets(sized, weights, budget, most), means, ["source"]).withColumn("preferred", F.coalesce("preferred", F.lit(0.0))))
-        rows = attach(sized, targets, ["source"]).withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
+        ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+        targets = attach(source_targets(sized, weights, budget, most), means, ["source"]).withColumn("ratio", ratio)
+        targets = cut(targets.withColumns({"spread": F.least("ratio", most - F.col("ratio")), "preferred": F.coalesce("preferred", F.lit(0.0))}))
+        rows = attach(sized, targets, ["source"]).withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due") - F.floor("due"), F.col("u")))
         left = targets.join(rows.groupBy("source").agg(F.sum(F.floor("due") * F.col("size")).alias("sure")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("sure")).alias("left"))
         left = cut(left)
         rows = rows.where("v is not null").select("source", "size", "v", F.floor(F.col("v") * BINS).alias("b1"), F.floor(F.col("v") * BINS * BINS).alias("b2"))
@@ -107,7 +106,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: floa
         bounds = stored(attach(bounds, last, ["source"]), "bounds", lasting=True)
 
     out = attach(docs.select(packed(docs, name), "source", words("text").alias("size"), u.alias("u"), share.alias("share")), bounds, ["source"]).withColumn("prefer", liked)
-    out = out.withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due"), F.col("u")))
+    out = out.withColumn("due", _due(most)).withColumn("v", _odds_rank(F.col("due") - F.floor("due"), F.col("u")))
     extra = F.coalesce((F.col("v") < F.col("_below")) | (F.col("v") <= F.coalesce("_last", F.lit(-1.0))), F.lit(False)).cast("long")
     out = out.withColumn("copies", F.floor("due") + extra)
     return out.select("row.*", F.struct("size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken")).alias(name))

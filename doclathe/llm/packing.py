@@ -14,12 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, packed, stored, table
+from ._shared import begin, bounded_batches, packed, stored, table
 
 #: Rows of one length are numbered in shards of about so many.
 SHARD_ROWS = 2048
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
+#: Texts that are looked at together, at most.
+ROWS = 512
 #: Words that are encoded at a time, and the mark between them, a word by itself.
 AT_ONCE, MARK = 128, "\x01"
 #: A mark after a letter or digit, at a word's end: the tokenizer parts them as well.
@@ -39,7 +41,7 @@ class Words:
     """Ids of the words met so far, one after another in one array."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = _tokenizer.__wrapped__(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.forget()
 
@@ -79,10 +81,12 @@ class Words:
         return np.array([self.number[w] if g is None else g for w, g in zip(words, got)], np.int64)
 
 
-@lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
     """One for each worker process and tokenizer, so that tasks share what is known."""
-    return Words(path)
+    kept = begin("packing")
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
 
 
 def token_ids(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +122,13 @@ def pieces(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             ids, ends = token_ids(words, b.column("text"))
-            begin = np.append(0, ends[:-1]) if len(ends) else ends
-            n = -(-(ends - begin) // size)
+            first = np.append(0, ends[:-1])
+            n = -(-(ends - first) // size)
             which = np.repeat(np.arange(len(n)), n)
             piece = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            lo = begin[which] + piece * size
+            lo = first[which] + piece * size
             hi = np.minimum(lo + size, ends[which])
             data = memoryview(ids.view(np.uint8))
             crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(lo.tolist(), hi.tolist())]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, packed, bounded_batches, table
+from ._shared import attach, begin, packed, bounded_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -43,6 +43,7 @@ def _features(text: str | None) -> tuple[int, int, int, int, int]:
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in NAMES]))
 def text_features(text: pd.Series) -> pd.DataFrame:
+    begin("rules")
     return pd.DataFrame([_features(x) for x in text], columns=list(NAMES))
 
 

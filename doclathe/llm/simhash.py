@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, bounded_batches, components, cut, packed, scratch, stored, table
+from ._shared import attach, begin, bounded_batches, components, cut, packed, scratch, stored, table
 
 SEED = 42
 FAN = 16
@@ -113,6 +113,7 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, fp) with each bucket's rows together: links within the buckets."""
+    begin("simhash")
     rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def flush(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
     """Rows (doc_id, kind, fp, sketch, bands): kind is a hash of the lower-cased words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for b in batches:
             kinds, fps, sketches, bands = [], [], [], []
             for t in b.column("text").to_pylist():
@@ -255,6 +257,7 @@ def _exhausted(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
     band is the one at place `at`. With the shingle sets (own) the pairs are decided, and
     links (a, b) are returned that connect all that are alike.
     """
+    begin("simhash")
     held: list[pa.RecordBatch] = []
 
     def groups() -> Iterator[pa.Table]:

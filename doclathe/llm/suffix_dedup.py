@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, bounded_batches, is_small, packed, scratch, stored, table
+from ._shared import attach, begin, bounded_batches, is_small, packed, scratch, stored, table
 
 LENGTH = 400
 #: Most anchors that are sent to every executor: one long each.
@@ -106,6 +106,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([whose, *rest.columns], names=["digest", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffixes")
         for b in batches:
             own, held = [], 0
             for d, t in zip(b.column("digest"), b.column("text")):
@@ -131,6 +132,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
     half, names, types = length // 2, ["t0", "t1", "doc", "at"], [pa.int64()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffixes")
         for b in batches:
             own, held = [], 0
             for doc, t, r in zip(b.column("doc").to_pylist(), b.column("text"), b.column("runs")):
@@ -178,6 +180,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A suffix that stands alone at an edge may go on in the next bucket; within a bucket two
     neighbours decide.
     """
+    begin("suffixes")
     cols = ("t0", "t1", "doc", "at")
     got = [[b.column(c).to_numpy() for c in cols] for b in batches if b.num_rows]
     if not got:
@@ -259,6 +262,7 @@ def _short_windows(texts: DataFrame, length: int, words: int) -> DataFrame:
         return start + first, end - start, of(start, half), of(half, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffixes")
         for b in batches:
             for doc, d, t in zip(b.column("doc").to_pylist(), b.column("digest"), b.column("text")):
                 data = t.as_py().encode()
@@ -317,6 +321,7 @@ _CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_
 def _cut_out(length: int):
     @F.pandas_udf(_CUT)
     def run(text: pd.Series, starts: pd.Series, runs: pd.Series, short: pd.Series) -> pd.DataFrame:
+        begin("suffixes")
         rows = []
         for t, *own in zip(text, starts, runs, short):
             data, kept, at = t.encode(), [], 0
