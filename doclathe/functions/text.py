@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Line ends as Python's splitlines knows them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# Characters and patterns of Vietnamese documents.
 #: Characters that count as readable besides A-Z, a-z and 0-9.
 VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 MARKS = " .,;:!?\"'()[]{}<>-+*/=_@#$%^&*~\n\r\t"
@@ -106,7 +107,8 @@ def error_class(x: Column) -> Column:
 
 
 def format_line(n: Column, conf: Column, text: Column) -> Column:
-    return F.format_string("[%03d - %.1f%%] %s", n, conf, text)
+    """Number, confidence in one place (halves to even) and text."""
+    return F.format_string("[%03d - %.1f%%] %s", n, F.bround(conf, 1), text)
 
 
 def display_content(x: Column) -> Column:
@@ -141,6 +143,18 @@ def clean_date(x: Column) -> Column:
     return F.coalesce(iso_date(x, DAY_FIRST, (3, 2, 1)), iso_date(x, YEAR_FIRST, (1, 2, 3)), iso_date(x, LONG_DATE, (3, 2, 1)), x)
 
 
+def date_value(x: Column) -> Column:
+    """Struct (value, raw_value) of clean_date and the stripped input; null where nothing is left."""
+    value = clean_date(x)
+    return F.when(F.coalesce(value, F.lit("")) != "", F.struct(value.alias("value"), strip(x).alias("raw_value")))
+
+
+def amount_value(x: Column, source: str = "ocr") -> Column:
+    """Struct (value, source) of clean_amount; null where it isn't a number."""
+    value = clean_amount(x)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(source).alias("source")))
+
+
 def clean_tax_id(x: Column) -> Column:
     return F.regexp_replace(x, r"[^0-9\-]", "")
 

@@ -26,6 +26,16 @@ CATEGORIES = ("hop_dong", "hoa_don", "chung_tu", "anh_chuyen_khoan")
 FALLBACKS = (("HOP", "DONG"), ("HOA", "DON"), ("CHUNG", "TU"))
 ENGLISH = {"hop_dong": "contract", "hoa_don": "invoice", "chung_tu": "voucher", "anh_chuyen_khoan": "bank_transfer"}
 
+#: Codes, and English names as they are, with their English names.
+DOCUMENT_TYPES = {**ENGLISH, **{v: v for v in ENGLISH.values()}, "khac": "unknown"}
+REASONS = {
+    "contract": "Tài liệu chứa các dấu hiệu đặc trưng hợp đồng như tiêu đề Hợp đồng, điều khoản, bên A, bên B, chữ ký.",
+    "invoice": "Tài liệu chứa các trường đặc trưng hóa đơn như số hóa đơn, ký hiệu, ngày lập, thông tin người bán, người mua, thuế VAT.",
+    "voucher": "Tài liệu chứa các trường chứng từ như loại chứng từ, đơn vị phát hành, số tiền, ngày chứng từ.",
+    "bank_transfer": "Tài liệu là biên nhận/ảnh chuyển khoản ngân hàng chứa mã giao dịch, số tài khoản, số tiền, nội dung chuyển.",
+    "unknown": "Bằng chứng từ văn bản chưa đủ căn cứ để gán loại tài liệu cụ thể.",
+}
+
 Rule = tuple[str, int]  # a condition as SQL over full, header, cited, name; its points
 
 
@@ -87,11 +97,20 @@ def classify(docs: DataFrame, path: str = "file_path", text: str = "extracted_te
     return out.withColumns({"category": category, "confidence": confidence}).drop("full_text", "header", "name", "cited", "has_article", "best", *CATEGORIES)
 
 
+def _named(names: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key), F.lit(other))
+
+
+def document_type(category: Column) -> Column:
+    """English type of a category's code or English name; unknown for others and null."""
+    return _named(DOCUMENT_TYPES, category, "unknown")
+
+
 def metadata(classified: DataFrame) -> DataFrame:
-    """English type, confidence from 0 to 1, and a reason, for rows with category and confidence."""
-    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ENGLISH.items() for x in kv])[F.col("category")], F.lit("unknown"))
-    conf = F.when(F.col("confidence") > 0, F.round(F.col("confidence") / 100, 4)).otherwise(0.42)
-    return classified.select("id", kind.alias("document_type"), conf.alias("type_confidence"), F.concat(F.lit("category "), F.col("category")).alias("reason"))
+    """English type, category, confidence from 0 to 1 in two places, and a reason, for rows with category and confidence."""
+    conf = F.when(F.col("confidence") > 0, F.bround(F.col("confidence") / 100, 2)).otherwise(0.42)
+    out = classified.select("id", document_type(F.col("category")).alias("document_type"), "category", conf.alias("type_confidence"))
+    return out.withColumn("reason", _named(REASONS, F.col("document_type"), ""))
 
 
 def mixed_texts(d: fx.Dialect) -> str:
@@ -99,7 +118,7 @@ def mixed_texts(d: fx.Dialect) -> str:
     names = {0: "/in/HD_{0}.pdf", 1: "/in/vcb_{0}.png", 2: "/in/bang_ke_{0}.xlsx", 3: "/in/Hóa_đơn_{0}.pdf"}
     case = "CASE id % 5 " + " ".join("WHEN {} THEN concat('{}', CAST(id AS string), '{}')".format(k, *v.split("{0}")) for k, v in names.items()) + " ELSE concat('/in/tep_', CAST(id AS string), '.txt') END"
     kinds = (fx.invoice_texts, fx.contract_texts, fx.voucher_texts, fx.transfer_texts)
-    parts = [f"SELECT id * 10 + {i} AS id, text FROM ({k(d)}) k WHERE id % 5 = {i}" for i, k in enumerate(kinds)]
+    parts = [f"SELECT id * 10 + {i} AS id, text FROM ({k(d)}) k" for i, k in enumerate(kinds)]
     parts.append("SELECT doc_id * 10 + 9 AS id, text FROM documents")
     return f"SELECT id, {case} AS file_path, text AS extracted_text FROM ({' UNION ALL '.join(parts)}) u"
 
@@ -126,5 +145,5 @@ k AS (SELECT id, CASE WHEN m >= 15 THEN CASE {" ".join(f"WHEN {c} = m THEN '{c}'
 ORACLES = {
     "classify": f"{_BASE} SELECT id, category, confidence FROM k",
     "classify_scores": f"{_BASE} SELECT id, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in CATEGORIES)} FROM s",
-    "classify_metadata": f"{_BASE} SELECT id, CASE category {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in ENGLISH.items())} ELSE 'unknown' END AS document_type, CASE WHEN confidence > 0 THEN round(confidence / 100, 4) ELSE 0.42 END AS type_confidence, 'category ' || category AS reason FROM k",
+    "classify_metadata": f"{_BASE}, t AS (SELECT *, CASE category {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in ENGLISH.items())} ELSE 'unknown' END AS document_type FROM k) SELECT id, document_type, category, CASE WHEN confidence > 0 THEN round_even(confidence / 100, 2) ELSE 0.42 END AS type_confidence, CASE document_type {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in REASONS.items())} END AS reason FROM t",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -99,13 +99,12 @@ TRANSFER = {
     "gio": one(rf"(\d{{1,2}}:\d{{2}}(?::\d{{2}})?)\s*[\-–]\s*{DATE}"),
     "ngay": one(DATE, "iso"),
     "ten_nguoi_nhan": label("Người nhận|Tên người nhận|Đến tài khoản", r"([^\n]+)"),
-    "ten_in_hoa": one(r"(?m)^([A-Z ]{5,35})$", "trim", case=True),
     "so_tai_khoan": label("Số thẻ/TK|Số tài khoản|Số TK|Tài khoản nhận", r"([A-Za-z0-9]{6,20})", "text"),
     "noi_dung": label("Nội dung|Lời nhắn|Chi tiết giao dịch", r"([^\n]+)"),
 }
 BANKS = ("Vietcombank", "Techcombank", "MBBank", "MB", "BIDV", "VietinBank", "TPBank", "VPBank", "Agribank", "ACB", "Sacombank", "VIB")
 MORE_BANKS = ("Techcombank", "TCB", "Vietcombank", "VCB", "MB", "MBBank", "BIDV", "VietinBank", "TPBank", "VPBank", "Agribank", "ACB", "Sacombank")
-# The older set, whose dates stay day first and whose amounts stay as written.
+# Fixed values. The older set, whose dates stay day first and whose amounts stay as written.
 ENTITIES = {
     "invoice": {
         "invoice_number": label(r"Số|No\.", r"(\d+)", "text"),
@@ -139,33 +138,44 @@ ENTITIES = {
 }
 GENERIC = {"document_number": label(r"Mã tài sản|Mã số|Số hiệu|Số|No\.", r"([A-Za-z0-9/_\-Đđ]+)", "text")}
 PERSON_STOPS = ("công ty", "tnhh", "cổ phần", "đơn vị")
+CAPITAL_LINE = r"[A-Z\s]{5,35}"
 CAPITAL_STOPS = ("VND", "VCB", "VIETCOMBANK", "GIAO DICH", "DIGIBANK")
 
 
-def _spark_clean(x: Column, raw: Column, f: Field, pattern: str) -> Column:
+def _spark_clean(raw: Column, f: Field, pattern: str) -> Column:
     if f.clean in ("iso", "dmy") and pattern in (LONG_DATE, PLAIN_LONG_DATE):
         if f.clean == "iso":
-            return tx.iso_date(x, pattern, (3, 2, 1))
-        d, m, y = (F.regexp_extract(x, tx.java(pattern), i) for i in (1, 2, 3))
+            return tx.iso_date(raw, pattern, (3, 2, 1))
+        d, m, y = (F.regexp_extract(raw, tx.java(pattern), i) for i in (1, 2, 3))
         return F.concat_ws("/", F.lpad(d, 2, "0"), F.lpad(m, 2, "0"), y)
     return {"text": raw, "trim": tx.strip(raw, ":\\-"), "paren": tx.strip(raw, "()"), "words": tx.strip(raw, ":.\\-"), "white": tx.strip(raw), "amount": tx.clean_amount(raw), "int": raw.try_cast("int"), "iso": tx.clean_date(raw), "dmy": raw}[f.clean]
 
 
-def column(x: Column, f: Field) -> Column:
-    """The field of a text column; null where nothing matches."""
-    out = F.lit(None)
-    for p in reversed(f.patterns):
-        java = tx.java(p, not f.case)
-        if f.nth > 1:
-            raw = F.get(F.regexp_extract_all(x, F.lit(java), F.lit(f.group)), f.nth - 1)
-            out = F.coalesce(_spark_clean(x, raw, f, p), out)
-        else:
-            out = F.when(F.rlike(x, F.lit(java)), _spark_clean(x, F.regexp_extract(x, java, f.group), f, p)).otherwise(out)
-    return out
+def _raw(x: Column, f: Field, pattern: str) -> Column:
+    """What one pattern finds: a group, or all of it for a date of several groups; null if it doesn't match."""
+    java = tx.java(pattern, not f.case)
+    group = 0 if pattern in (LONG_DATE, PLAIN_LONG_DATE) else f.group
+    if f.nth > 1:
+        return F.get(F.regexp_extract_all(x, F.lit(java), F.lit(group)), f.nth - 1)
+    return F.nullif(F.regexp_extract(x, java, group), F.lit(""))
 
 
 def extract(docs: DataFrame, fields: dict[str, Field], text: str = "text") -> DataFrame:
-    return docs.select("*", *[column(F.col(text), f).alias(n) for n, f in fields.items()])
+    """The fields of a text column beside all columns; null where nothing matches.
+
+    Each pattern meets each text once: one projection holds what they find, and the next
+    cleans that, first pattern first.
+    """
+    found = {(n, i): f"_{n}_{i}" for n, f in fields.items() for i in range(len(f.patterns))}
+    raw = docs.select("*", *[_raw(F.col(text), fields[n], fields[n].patterns[i]).alias(c) for (n, i), c in found.items()])
+    out = []
+    for n, f in fields.items():
+        value = F.lit(None)
+        for i in reversed(range(len(f.patterns))):
+            c = F.col(found[n, i])
+            value = F.when(c.isNotNull(), _spark_clean(c, f, f.patterns[i])).otherwise(value)
+        out.append(value.alias(n))
+    return raw.select(*docs.columns, *out)
 
 
 def first_of(x: Column, words: tuple[str, ...]) -> Column:
@@ -199,9 +209,10 @@ def transfer(docs: DataFrame) -> DataFrame:
     low = F.lower("text")
     has = lambda w: F.contains(low, F.lit(w))
     state = F.when(has("thành công"), "thanh_cong").when(has("thất bại"), "that_bai").when(has("đang xử lý") | has("chờ"), "dang_xu_ly").otherwise("thanh_cong")
-    capitals = F.when(~F.rlike("ten_in_hoa", F.lit("|".join(CAPITAL_STOPS))), F.col("ten_in_hoa"))
+    named = lambda y: F.rlike(y, F.lit(tx.java(f"^{CAPITAL_LINE}$", False))) & ~F.rlike(y, F.lit("|".join(CAPITAL_STOPS)))
+    capitals = F.get(F.filter(tx.lines(F.col("text")), named), F.lit(0))
     when = F.when(F.col("gio").isNotNull(), F.concat_ws(" ", "ngay", "gio")).otherwise(F.col("ngay"))
-    cols = {"trang_thai": state, "ngan_hang": first_of(F.col("text"), BANKS), "ho_ten": F.coalesce("ten_nguoi_nhan", capitals), "thoi_gian_giao_dich": when}
+    cols = {"trang_thai": state, "ngan_hang": first_of(F.col("text"), BANKS), "ho_ten": F.coalesce(F.nullif("ten_nguoi_nhan", F.lit("")), capitals), "thoi_gian_giao_dich": when}
     return out.withColumns(cols).select("id", "trang_thai", "so_tien", "ma_giao_dich", "thoi_gian_giao_dich", "ho_ten", "so_tai_khoan", "ngan_hang", "noi_dung")
 
 
@@ -254,8 +265,9 @@ def structured_data(docs: DataFrame) -> DataFrame:
 def source_reference(pages: DataFrame, values: DataFrame) -> DataFrame:
     """First page and running line number (doc_id, value) where a value of two or more characters stands."""
     lines = pages.select("doc_id", "page", F.posexplode(tx.lines(F.col("page_text"))).alias("pos", "line"))
-    before = pages.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.size(tx.lines(F.col("page_text"))).alias("n"))
-    starts = pages.select("doc_id", "page").join(before, (F.col("doc_id") == F.col("d")) & (F.col("p") < F.col("page")), "left").groupBy("doc_id", "page").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("skip"))
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pages.select("doc_id", "page", F.size(tx.lines(F.col("page_text"))).alias("n"))
+    starts = sizes.select("doc_id", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     at = lines.join(starts, ["doc_id", "page"]).join(values.where(F.length("value") >= 2), "doc_id").where(F.contains("line", F.col("value")))
     best = at.groupBy("doc_id", "value").agg(F.min(F.struct("page", "pos", "skip")).alias("b"))
     return best.select("doc_id", "value", F.col("b.page").alias("page"), (F.col("b.skip") + F.col("b.pos") + 1).cast("long").alias("line"))
@@ -329,7 +341,7 @@ SQL_INVOICE = f"SELECT id, * EXCLUDE (id, text, nguoi_mua_hang), CASE WHEN NOT r
 SQL_CONTRACT = f"SELECT * EXCLUDE (text), coalesce(list_filter({_LINES}[1:10], lambda y: regexp_matches(upper(y), 'HỢP ĐỒNG|HOP DONG|AGREEMENT'))[1], 'HỢP ĐỒNG KINH TẾ') AS tieu_de, CASE WHEN contains(lower(text), 'chuyển khoản') THEN 'Chuyển khoản ngân hàng' END AS hinh_thuc_thanh_toan FROM (SELECT *, {duck_fields(CONTRACT)} FROM {_CON})"
 SQL_VOUCHER = f"SELECT * EXCLUDE (text), CASE {' '.join(f'''WHEN contains(upper(text), '{a}') THEN '{b}' ''' for a, b in VOUCHER_TYPES)} ELSE 'chung_tu_khac' END AS loai_chung_tu FROM (SELECT *, {duck_fields(VOUCHER)} FROM {_VOU})"
 SQL_TRANSFER = f"""SELECT id, so_tien, ma_giao_dich, so_tai_khoan, noi_dung, CASE WHEN contains(lower(text), 'thành công') THEN 'thanh_cong' WHEN contains(lower(text), 'thất bại') THEN 'that_bai' WHEN contains(lower(text), 'đang xử lý') OR contains(lower(text), 'chờ') THEN 'dang_xu_ly' ELSE 'thanh_cong' END AS trang_thai,
-CASE WHEN gio IS NOT NULL THEN ngay || ' ' || gio ELSE ngay END AS thoi_gian_giao_dich, coalesce(ten_nguoi_nhan, CASE WHEN NOT regexp_matches(ten_in_hoa, '{'|'.join(CAPITAL_STOPS)}') THEN ten_in_hoa END) AS ho_ten, {_duck_first(BANKS)} AS ngan_hang FROM (SELECT *, {duck_fields(TRANSFER)} FROM {_TRA})"""
+CASE WHEN gio IS NOT NULL THEN ngay || ' ' || gio ELSE ngay END AS thoi_gian_giao_dich, coalesce(nullif(ten_nguoi_nhan, ''), list_filter({_LINES}, lambda y: regexp_full_match(y, '{CAPITAL_LINE}') AND NOT regexp_matches(y, '{'|'.join(CAPITAL_STOPS)}'))[1]) AS ho_ten, {_duck_first(BANKS)} AS ngan_hang FROM (SELECT *, {duck_fields(TRANSFER)} FROM {_TRA})"""
 SQL_GENERIC = f"SELECT id, {_LINES}[1] AS title, {duck_field(GENERIC['document_number'])} AS document_number, {duck_date(f'''regexp_extract(text, '{DATE}', 1)''', tx.DAY_FIRST, (3, 2, 1))} AS date, {_SORTED.format(DATE)} AS dates, {_SORTED.format('(?i)' + SHORT_AMOUNT + chr(92) + 's*(?:VND|VNĐ|đồng)')} AS amounts, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS description FROM {_TRA}"
 _ENT = {k: f"SELECT * EXCLUDE (text) FROM (SELECT *, {duck_fields(v)} FROM {s})" for (k, v), s in zip(ENTITIES.items(), (_INV, _CON, _VOU, _TRA))}
 _MONEY = "([0-9\\[.,]{4,15})"

@@ -133,10 +133,14 @@ def _numbered(new: DataFrame, top: DataFrame) -> DataFrame:
 
 def dedup_keep_latest(docs: DataFrame) -> DataFrame:
     """Of documents with equal user and hash the greatest id stays, then likewise for user, name and size. Nulls never match."""
-    first = Window.partitionBy("user_id", "file_hash")
-    left = docs.withColumn("_top", F.max("id").over(first)).where("file_hash is null or id = _top").drop("_top")
-    second = Window.partitionBy("user_id", "file_name", "file_size")
-    return left.withColumn("_top", F.max("id").over(second)).where("file_name is null or file_size is null or id = _top").drop("_top")
+    left = docs
+    for keys in (("user_id", "file_hash"), ("user_id", "file_name", "file_size")):
+        # ids and keys alone are shuffled, and without nulls, so no key holds them all
+        known = left.select("id", *keys).dropna(subset=list(keys))
+        top = known.groupBy(*keys).agg(F.max("id").alias("top"))
+        gone = known.join(top, list(keys)).where("id < top").select("id")
+        left = left.join(gone, "id", "left_anti")
+    return left
 
 
 def ensure_sessions(sessions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def clear_messages(messages: DataFrame, session_id: str, user_id: str | None = N
     hit = F.col("session_id") == session_id
     if user_id:
         hit = hit & (F.coalesce("user_id", F.lit("")) == user_id)
-    return messages.where(~hit)
+    return messages.where(~F.coalesce(hit, F.lit(False)))
 
 
 def cache_partition(new: DataFrame, docs: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _context(spark, sf_dir):
     docs = fx.rows(spark, sf_dir, fx.invoice_texts).select("id", F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.lit("hoa_don").alias("category"), "text")
-    tables = tb.matrices(fx.rows(spark, sf_dir, tb.table_rows)).select("id", F.lit(1).alias("page"), tb.markdown(F.col("matrix")).alias("markdown"))
-    return context(docs, tables.where("id % 2 = 0"))
+    tables = tb.markdown(tb.matrices(fx.rows(spark, sf_dir, tb.table_rows))).select("id", F.lit(1).alias("page"), "markdown")
+    return context(docs, tables)
 
 
 QUERIES = {f"summary_{k}": (lambda spark, sf_dir, k=k: _flat(SUMMARIES[k](fx.rows(spark, sf_dir, FIXTURES[k])))) for k in SUMMARIES}
@@ -167,6 +167,6 @@ for _k, (_base, _short, _keys, _date, _amount) in _FLAT.items():
     _sum = f"CASE WHEN {_amount} IS NOT NULL THEN '• Tổng: ' || format('{{:,}}', CAST(round_even({_amount}, 0) AS BIGINT)) || ' VND' || chr(10) ELSE '' END"
     ORACLES[f"render_{_k}"] = f"SELECT id, '{RULE}' || chr(10) || '{' ' * 16}{TITLES[_k]}' || chr(10) || '{RULE}' || chr(10) || '• Tóm tắt: ' || {_short} || chr(10) || {_shown} || chr(10) || {_sum} || '{RULE}' AS report FROM ({_base})"
 ORACLES["clean_json"] = f"""SELECT id, '{{"document_type":"invoice","file_metadata":{{"file_name":"' || id || '.pdf","category":"hoa_don","total_pages":1}},"data":{{"so_hoa_don":"' || coalesce(so_hoa_don, '') || '","ky_hieu":"' || coalesce(ky_hieu, '') || '","ngay_hoa_don":"' || coalesce(ngay_hoa_don, '') || '","ben_ban":{{"ten":"' || ban_ten || '","mst":"' || ban_mst || '"}}}}}}' AS payload FROM ({ex.SQL_INVOICE})"""
-ORACLES["document_context"] = f"""WITH t AS ({tb.ORACLES['markdown_table']}), d AS (SELECT x.id, x.text, t.value AS m FROM {fx.duck(fx.invoice_texts)} x LEFT JOIN t ON t.id = x.id AND t.id % 2 = 0)
+ORACLES["document_context"] = f"""WITH t AS ({tb.ORACLES['markdown_table']}), d AS (SELECT x.id, x.text, t.value AS m FROM {fx.duck(fx.invoice_texts)} x LEFT JOIN t ON t.id = x.id)
 SELECT id, '=== THÔNG TIN TÀI LIỆU ===' || chr(10) || '- Tên file: ' || id || '.txt' || chr(10) || '- Danh mục phân loại: hoa_don' || chr(10) || '- Định dạng: text (Nguồn: plain_text, Phương pháp đọc: direct_read)' || chr(10) || '- Số trang/sheet: 1' || chr(10) || '- Có bảng biểu: ' || CASE WHEN m IS NULL THEN 'Không' ELSE 'Có (1 bảng)' END || chr(10) || chr(10)
  || CASE WHEN m IS NULL THEN '' ELSE '=== CẤU TRÚC BẢNG TRÍCH XUẤT TỪ TÀI LIỆU ===' || chr(10) || chr(10) || '[Bảng 1 - Trang 1]' || chr(10) || m || chr(10) || chr(10) END || '=== NỘI DUNG VĂN BẢN TRÍCH XUẤT ===' || chr(10) || trim(text) AS context FROM d"""

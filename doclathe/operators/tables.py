@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +38,30 @@ def matrices(rows: DataFrame) -> DataFrame:
     return got.select("id", F.concat(F.array(F.array(*[F.lit(h) for h in HEADER])), F.transform("rs", lambda r: r["cells"])).alias("matrix"))
 
 
-def markdown(matrix: Column) -> Column:
-    """A matrix as a Markdown table: ragged rows filled, empty columns dropped, columns padded."""
+def markdown(tables: DataFrame, matrix: str = "matrix", out: str = "markdown") -> DataFrame:
+    """Adds `out`: a matrix as a Markdown table, ragged rows filled, empty columns dropped, columns padded.
+
+    Tidy cells and the columns' widths are made once, each in its own projection.
+    """
     at = lambda r, c: F.coalesce(F.get(r, c), F.lit(""))
-    tidy = F.transform(matrix, lambda r: F.transform(r, lambda x: F.replace(tx.strip(x), F.lit("\n"), F.lit(" "))))
+    tidied, widths = f"_{out}_tidy", f"_{out}_used"
+    tables = tables.withColumn(tidied, F.transform(matrix, lambda r: F.transform(r, lambda x: F.replace(tx.strip(x), F.lit("\n"), F.lit(" ")))))
+    tidy = F.col(tidied)
     n = F.array_max(F.transform(tidy, lambda r: F.size(r)))
     # widths: -1 for a column that is empty throughout
     width = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.array_max(F.transform(tidy, lambda r: F.length(at(r, c)))))
     used = F.filter(F.transform(width, lambda w, c: F.struct(c.alias("c"), F.greatest(w, F.lit(3)).alias("w"), (w > 0).alias("used"))), lambda u: u["used"])
+    tables = tables.withColumn(widths, used)
+    used = F.col(widths)
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.rpad(at(r, u["c"]), u["w"], F.lit(" "))), " | "), F.lit(" |"))
     bar = F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.repeat(F.lit("-"), u["w"])), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.array(line(F.get(tidy, F.lit(0)))), F.array(bar), F.transform(F.slice(tidy, 2, F.greatest(F.size(tidy) - 1, F.lit(0))), line)), "\n")
+    text = F.array_join(F.concat(F.array(line(F.get(tidy, F.lit(0)))), F.array(bar), F.transform(F.slice(tidy, 2, F.greatest(F.size(tidy) - 1, F.lit(0))), line)), "\n")
+    return tables.withColumn(out, text).drop(tidied, widths)
+
+
+def without_empty_rows(matrix: Column) -> Column:
+    """The rows of a matrix of which a cell isn't blank; null cells are blank."""
+    return F.filter(matrix, lambda r: F.exists(r, lambda x: tx.strip(F.coalesce(x, F.lit(""))) != ""))
 
 
 def items(tables: DataFrame, least: int = 4, strict: bool = False) -> DataFrame:
@@ -66,8 +81,8 @@ def items(tables: DataFrame, least: int = 4, strict: bool = False) -> DataFrame:
     return kept.select("id", F.col("pos"), name.alias("name"), F.get("cells", F.lit(2)).alias("unit"), tx.clean_amount(F.get("cells", F.lit(3))).alias("quantity"), tx.clean_amount(F.get("cells", F.lit(4))).alias("price"), last.alias("amount"))
 
 
-def validation(matrix: Column) -> Column:
-    """Struct (status, checked, issues): whether the numbers of each row add up.
+def validation(tables: DataFrame, matrix: str = "matrix", out: str = "v") -> DataFrame:
+    """Adds `out`, a struct (status, checked, issues): whether the numbers of each row add up.
 
     Three or more: two of them sum to the greatest within 2, or the first two to the third.
     Two: they are equal within 1. Nothing checked: not_checkable; an issue: warning.
@@ -76,17 +91,24 @@ def validation(matrix: Column) -> Column:
     skip = lambda r: F.rlike(F.lower(F.array_join(r, " ")), F.lit(r"\(1\)|\(2\)|\(3\)|stt"))
     body = F.transform(F.slice(matrix, 2, F.greatest(F.size(matrix) - 1, F.lit(0))), lambda r, i: F.struct((i + 1).alias("i"), F.when(skip(r), F.array().cast("array<double>")).otherwise(numbers(r)).alias("v")))
 
-    def sums(v: Column) -> Column:
-        s = F.array_sort(v)
+    # numbers are read once, and sorted once
+    numbered, ordered = f"_{out}_numbers", f"_{out}_sorted"
+    tables = tables.withColumn(numbered, body)
+    tables = tables.withColumn(ordered, F.transform(numbered, lambda r: F.struct(r["i"].alias("i"), r["v"].alias("v"), F.array_sort(r["v"]).alias("s"))))
+
+    def sums(v: Column, s: Column) -> Column:
         low = F.slice(s, 1, F.size(s) - 1)
-        pair = F.exists(F.transform(low, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda a: F.exists(F.transform(low, lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda b: (b["j"] > a["i"]) & (F.abs(a["a"] + b["b"] - F.element_at(s, -1)) <= 2)))
+        pair = F.exists(F.transform(low, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda a: F.exists(F.slice(low, a["i"] + 2, F.size(low)), lambda b: F.abs(a["a"] + b - F.element_at(s, -1)) <= 2))
         return pair | (F.abs(F.get(v, F.lit(0)) + F.get(v, F.lit(1)) - F.get(v, F.lit(2))) <= 2)
 
-    kind = lambda v: F.when((F.size(v) >= 3) & sums(v), "ok").when(F.size(v) >= 3, "bad").when((F.size(v) == 2) & (F.abs(F.get(v, F.lit(0)) - F.get(v, F.lit(1))) <= 1), "ok").otherwise("none")
-    judged = F.transform(body, lambda r: F.struct(r["i"].alias("i"), kind(r["v"]).alias("k")))
+    kind = lambda v, s: F.when((F.size(v) >= 3) & sums(v, s), "ok").when(F.size(v) >= 3, "bad").when((F.size(v) == 2) & (F.abs(F.get(v, F.lit(0)) - F.get(v, F.lit(1))) <= 1), "ok").otherwise("none")
+    judgement = f"_{out}_judged"
+    tables = tables.withColumn(judgement, F.transform(ordered, lambda r: F.struct(r["i"].alias("i"), kind(r["v"], r["s"]).alias("k"))))
+    judged = F.col(judgement)
     checked, bad = F.size(F.filter(judged, lambda r: r["k"] == "ok")), F.filter(judged, lambda r: r["k"] == "bad")
     status = F.when(checked == 0, "not_checkable").when(F.size(bad) > 0, "warning").otherwise("pass")
-    return F.struct(status.alias("status"), checked.alias("checked"), F.when(checked > 0, F.array_join(F.transform(bad, lambda r: r["i"].cast("string")), ";")).otherwise("").alias("issues"))
+    verdict = F.struct(status.alias("status"), checked.alias("checked"), F.when(checked > 0, F.array_join(F.transform(bad, lambda r: r["i"].cast("string")), ";")).otherwise("").alias("issues"))
+    return tables.withColumn(out, verdict).drop(numbered, ordered, judgement)
 
 
 # Geometry: order-dependent, one document page at a time
@@ -142,7 +164,7 @@ def spatial_table(boxes_: DataFrame, row_gap: float = 18.0, near: float = 60.0)
                 lines[-1].append(b)
             else:
                 lines.append([b])
-        shown = [x for x in lines if len(x) >= 3 or len(x) == 2 and any(pd.Series(b.text).str.contains(r"\d{3,}").any() for b in x)]
+        shown = [x for x in lines if len(x) >= 3 or len(x) == 2 and any(re.search(r"\d{3,}", b.text) for b in x)]
         cols = _columns([b.x for x in shown for b in x], near)
         cells: dict[tuple[int, int], list[str]] = {}
         if len(shown) >= 2 and len(cols) >= 2:
@@ -161,18 +183,18 @@ def native_table(spans: DataFrame) -> DataFrame:
 
 
 def box_in_cell(boxes_: DataFrame, cells: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Text of each grid cell (id, row, col, x0, x1, y0, y1) from the boxes whose point lies in it."""
-    b = boxes_.select("id", "x", "y", "text")
+    """Text of each grid cell (id, page, row, col, x0, x1, y0, y1) from the boxes of its page whose point lies in it."""
+    b = boxes_.select("id", "page", "x", "y", "text")
     inside = (F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1") + slack) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1") + slack)
-    met = cells.join(b, "id").where(inside)
-    return met.groupBy("id", "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda t: t["text"]), " ").alias("text"))
+    met = cells.join(b, ["id", "page"]).where(inside)
+    return met.groupBy("id", "page", "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda t: t["text"]), " ").alias("text"))
 
 
 def _cells(boxes_: DataFrame) -> DataFrame:
-    top = boxes_.groupBy("id").agg(F.max(F.floor(F.col("y") / 60)).alias("rows"))
-    rows = top.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
-    grid = rows.select("id", "row", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col"))
-    return grid.select("id", "row", "col", (F.col("col") * 200.0).alias("x0"), (F.col("col") * 200.0 + 150).alias("x1"), (F.col("row") * 60.0 - 10).alias("y0"), (F.col("row") * 60.0 + 30).alias("y1"))
+    top = boxes_.groupBy("id", "page").agg(F.max(F.floor(F.col("y") / 60)).alias("rows"))
+    rows = top.select("id", "page", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
+    grid = rows.select("id", "page", "row", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col"))
+    return grid.select("id", "page", "row", "col", (F.col("col") * 200.0).alias("x0"), (F.col("col") * 200.0 + 150).alias("x1"), (F.col("row") * 60.0 - 10).alias("y0"), (F.col("row") * 60.0 + 30).alias("y1"))
 
 
 def _q(fixture, f):
@@ -180,10 +202,10 @@ def _q(fixture, f):
 
 
 QUERIES = {
-    "markdown_table": _q(table_rows, lambda d: matrices(d).select("id", markdown(F.col("matrix")).alias("value"))),
+    "markdown_table": _q(table_rows, lambda d: markdown(matrices(d), out="value").select("id", "value")),
     "table_items": _q(table_rows, lambda d: items(matrices(d))),
     "table_items_strict": _q(table_rows, lambda d: items(matrices(d), strict=True)),
-    "validate_financials": _q(table_rows, lambda d: matrices(d).select("id", validation(F.col("matrix")).alias("v")).select("id", "v.*")),
+    "validate_financials": _q(table_rows, lambda d: validation(matrices(d)).select("id", "v.*")),
     "ocr_lines": _q(boxes, lambda d: ocr_lines(d).select("id", "page", "line", "text", F.round("prob", 6).alias("prob"))),
     "spatial_table": _q(boxes, lambda d: spatial_table(d.where("prob >= 0.15"))),
     "native_table": _q(boxes, native_table),
@@ -212,5 +234,5 @@ SELECT id, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'not_checkable' WHEN co
     "ocr_lines": f"SELECT id, page, CAST(dense_rank() OVER (PARTITION BY id, page ORDER BY r) AS INTEGER) AS line, string_agg(text, ' ' ORDER BY c) AS text, round(avg(prob), 6) AS prob FROM ({_SEEN}) WHERE prob >= 0.15 GROUP BY id, page, r",
     "spatial_table": _SPATIAL.format(f"{_SEEN} WHERE prob >= 0.15"),
     "native_table": _SPATIAL.format(_SEEN),
-    "box_in_cell": f"SELECT id, r AS row, c AS col, string_agg(text, ' ' ORDER BY x) AS text FROM ({_SEEN}) WHERE prob >= 0.15 GROUP BY id, r, c",
+    "box_in_cell": f"SELECT id, page, r AS row, c AS col, string_agg(text, ' ' ORDER BY x) AS text FROM ({_SEEN}) WHERE prob >= 0.15 GROUP BY id, page, r, c",
 }

@@ -12,17 +12,18 @@ EXTENSIONS = (".pdf", ".docx", ".xlsx", ".xls", ".png", ".jpg", ".jpeg", ".bmp",
 
 
 def noisy(d: fx.Dialect) -> str:
-    return """SELECT doc_id, concat(chr(1), '|priority', chr(10), '  ', chr(10), '...', chr(10), replace(substr(text, 1, 300), ', ', concat(',', chr(9), ' ')),
+    return """SELECT doc_id, concat(chr(1), '|priority', chr(10), '  ', chr(10), '...', chr(10), replace(text, ', ', concat(',', chr(9), ' ')),
   CASE WHEN doc_id % 7 = 0 THEN ' (cid:1) (cid:2) (cid:3) (cid:4)' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN '�' ELSE '' END) AS noisy FROM documents"""
 
 
 def status_lines(d: fx.Dialect) -> str:
-    return "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '|priority' WHEN 1 THEN '/|Battery ' WHEN 2 THEN '....' WHEN 3 THEN concat('|| ', substr(text, 1, 20), 'x') ELSE 'signal 4' END AS line FROM documents"
+    return "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '|priority' WHEN 1 THEN '/|Battery ' WHEN 2 THEN '....' WHEN 3 THEN concat('|| ', replace(text, chr(10), ' '), 'x') ELSE 'signal 4' END AS line FROM documents"
 
 
 def pages_of(d: fx.Dialect) -> str:
-    page = "SELECT doc_id, {0} AS page, concat('Head ', source, chr(10), replace(substr(text, {1}, 120), chr(10), ' '), '.', chr(10), CASE WHEN doc_id % 3 = {0} THEN 'odd' ELSE concat('Foot ', lang) END) AS page_text FROM documents"
-    return " UNION ALL ".join(page.format(p, 1 + 120 * p) for p in range(4))
+    """Whole texts in pages of 400 characters, with a head and, on all pages but one, a foot."""
+    numbered = f"SELECT doc_id, text, source, lang, {d.upto.format('CAST(floor(length(text) / 400) AS int)')} AS p FROM documents"
+    return f"SELECT doc_id, CAST(p AS int) AS page, concat('Head ', source, chr(10), replace(substr(text, CAST(1 + 400 * p AS int), 400), chr(10), ' '), '.', chr(10), CASE WHEN doc_id % 3 = p THEN 'odd' ELSE concat('Foot ', lang) END) AS page_text FROM ({numbered}) n"
 
 
 def amounts(d: fx.Dialect) -> str:
@@ -160,7 +161,7 @@ QUERIES = {
     "key_value_pairs": run(fx.invoice_texts, lambda d: d.select("id", F.explode(tx.key_values(F.col("text"))).alias("p")).select("id", "p.*")),
     "truncate": raw("documents", lambda d: d.select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("value"))),
     "error_class": raw("documents", lambda d: d.select("doc_id", F.expr(_error_text()).alias("e")).select("doc_id", tx.error_class(F.col("e")).alias("value"))),
-    "format_line": raw("documents", lambda d: d.select("doc_id", tx.format_line((F.col("doc_id") % 1000).cast("int"), F.col("n_chars") % 1000 / 8.0, F.substring("text", 1, 20)).alias("value"))),
+    "format_line": raw("documents", lambda d: d.select("doc_id", tx.format_line((F.col("doc_id") % 1000).cast("int"), F.col("n_chars") % 1000 / 8.0, F.col("text")).alias("value"))),
     "display_content": raw("conversations", lambda d: d.select("conv_id", "turn", F.expr(_shown()).alias("t")).select("conv_id", "turn", tx.display_content(F.col("t")).alias("value"))),
     "clean_amount": run(amounts, lambda d: d.select("event_id", tx.clean_amount(F.col("amount")).alias("value"))),
     "clean_date": run(amounts, lambda d: d.select("event_id", tx.clean_date(F.col("day")).alias("value"))),
@@ -230,7 +231,7 @@ SELECT doc_id, CASE WHEN regexp_matches(t, '{_RE2}') OR (upper(t) = t AND lower(
 SELECT id, CAST(i AS INTEGER) AS line_index, trim(regexp_extract(t, '{tx.PAIR}', 1)) AS key, trim(regexp_extract(t, '{tx.PAIR}', 2)) AS value, t AS raw_line FROM x WHERE regexp_matches(t, '{tx.PAIR}') AND NOT (regexp_full_match(trim(regexp_extract(t, '{tx.PAIR}', 1)), '[0-9]{{1,2}}') AND regexp_full_match(trim(regexp_extract(t, '{tx.PAIR}', 2)), '[0-9]{{2}}'))""",
     "truncate": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS value FROM documents",
     "error_class": f"SELECT doc_id, CASE WHEN contains(e, '429') OR contains(e, 'RESOURCE_EXHAUSTED') OR contains(e, 'Quota') THEN 'quota' WHEN contains(e, '401') OR contains(e, '403') OR contains(e, 'API_KEY') THEN 'key' ELSE substr(string_split(e, chr(10))[1], 1, 200) END AS value FROM (SELECT doc_id, {_error_text()} AS e FROM documents)",
-    "format_line": "SELECT doc_id, printf('[%03d - %.1f%%] %s', doc_id % 1000, n_chars % 1000 / 8.0 + 1e-9, substr(text, 1, 20)) AS value FROM documents",
+    "format_line": "SELECT doc_id, printf('[%03d - %.1f%%] %s', doc_id % 1000, round_even(n_chars % 1000 / 8.0, 1), text) AS value FROM documents",
     "display_content": f"SELECT conv_id, turn, CASE WHEN NOT contains(t, '[HỆ THỐNG]:') THEN t WHEN regexp_matches(t, 'Tải lên và') THEN regexp_extract(t, '(?s).*(Tải lên và.*)', 1) ELSE string_split(t, chr(10) || chr(10))[-1] END AS value FROM (SELECT conv_id, turn, {_shown()} AS t FROM conversations)",
     "clean_amount": f"SELECT event_id, {duck_amount('amount')} AS value FROM {AM}",
     "clean_date": f"SELECT event_id, {duck_clean_date('day')} AS value FROM {AM}",
@@ -243,5 +244,5 @@ SELECT id, CAST(i AS INTEGER) AS line_index, trim(regexp_extract(t, '{tx.PAIR}',
     "cer": f"{_DP} SELECT item_id, round(cer, 6) AS value FROM r",
     "wer": f"{_DP} SELECT item_id, round(wer, 6) AS value FROM r",
     "accuracy_metrics": f"{_DP} SELECT count(*) AS n, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer FROM r",
-    "quality_band": f"{_DP} SELECT CASE WHEN 100 * (1 - cer) >= 89.995 THEN 'excellent' WHEN 100 * (1 - cer) >= 74.995 THEN 'good' WHEN 100 * (1 - cer) >= 54.995 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM r GROUP BY 1",
+    "quality_band": f"{_DP} SELECT CASE WHEN round_even(100 * (1 - cer), 2) >= 90 THEN 'excellent' WHEN round_even(100 * (1 - cer), 2) >= 75 THEN 'good' WHEN round_even(100 * (1 - cer), 2) >= 55 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM r GROUP BY 1",
 }

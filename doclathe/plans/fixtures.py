@@ -20,10 +20,11 @@ class Dialect:
     sha: str
     minutes: str
     whole: str  # integer division by a constant is floor(x / n) in both; this casts it
+    upto: str  # one row for each whole number from 0 on
 
 
-SPARK = Dialect("sha2({0}, 256)", "timestampadd(MINUTE, {0}, timestamp_ntz'2024-01-01 00:00:00')", "CAST(floor({0}) AS bigint)")
-DUCK = Dialect("sha256({0})", "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({0} AS bigint)))", "CAST(floor({0}) AS bigint)")
+SPARK = Dialect("sha2({0}, 256)", "timestampadd(MINUTE, {0}, timestamp_ntz'2024-01-01 00:00:00')", "CAST(floor({0}) AS bigint)", "explode(sequence(0, {0}))")
+DUCK = Dialect("sha256({0})", "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({0} AS bigint)))", "CAST(floor({0}) AS bigint)", "unnest(range(0, {0} + 1))")
 
 
 def ocr_documents(d: Dialect) -> str:
@@ -42,7 +43,7 @@ def incoming(d: Dialect) -> str:
   CASE WHEN doc_id % 5 = 2 THEN 'new_' || CAST(doc_id AS string) || '.txt' ELSE source || '_' || lang || '.txt' END AS file_name,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END AS file_size,
   CASE WHEN doc_id % 5 = 0 THEN {d.sha.format('text')} WHEN doc_id % 5 = 1 THEN NULL ELSE {d.sha.format("text || 'x'")} END AS file_hash,
-  'hop_dong' AS category FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 < 3"""
+  'hop_dong' AS category FROM documents"""
 
 
 def messages(d: Dialect) -> str:

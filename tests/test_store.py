@@ -5,6 +5,7 @@ from __future__ import annotations
 from doclathe.operators import extract, store, tables
 from doclathe.plans import fixtures as fx
 from conftest import SF
+from pyspark.sql import functions as F
 
 
 def test_users_stay_apart(spark):
@@ -32,6 +33,40 @@ def test_listing_prunes_texts(spark):
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint" in plan
 
 
+def test_clearing_keeps_messages_without_session(spark):
+    m = spark.createDataFrame([(1, None, "a"), (2, "s4", None), (3, "s4", "a"), (4, "s5", "a")], "id int, session_id string, user_id string")
+    assert sorted(r.id for r in store.clear_messages(m, "s4").collect()) == [1, 4]
+    assert sorted(r.id for r in store.clear_messages(m, "s4", "a").collect()) == [1, 2, 4]
+
+
+def test_dedup_leaves_nulls_alone(spark):
+    rows = [(1, "u", None, "f", 5), (2, "u", None, "f", 5), (3, "u", "h", "g", None), (4, "u", "h", "x", None), (5, "v", "h", "g", 1), (6, None, "h", "g", 1), (7, None, "h", "g", 1)]
+    df = spark.createDataFrame(rows, "id int, user_id string, file_hash string, file_name string, file_size long")
+    assert sorted(r.id for r in store.dedup_keep_latest(df).collect()) == [2, 4, 5, 6, 7]
+
+
+def test_the_first_fitting_capital_line_is_the_recipient(spark):
+    cases = {"GIAO DICH THANH CONG\nNGUYEN VAN AN\nTRAN BINH": "NGUYEN VAN AN", "VND\nABC": None, "  LE  HOA  \nx": "LE  HOA", "Người nhận: Bình\nNGUYEN VAN AN": "Bình", "SO TIEN VND": None}
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, text string")
+    assert [r.ho_ten for r in extract.transfer(df).orderBy("id").collect()] == list(cases.values())
+
+
+def test_boxes_stay_on_their_page(spark):
+    boxes = spark.createDataFrame([(1, 1, 5.0, 5.0, "p1"), (1, 2, 5.0, 5.0, "p2")], "id long, page int, x double, y double, text string")
+    cells = spark.createDataFrame([(1, p, 0, 0, 0.0, 10.0, 0.0, 10.0) for p in (1, 2)], "id long, page int, row int, col int, x0 double, x1 double, y0 double, y1 double")
+    assert sorted((r.page, r.text) for r in tables.box_in_cell(boxes, cells).collect()) == [(1, "p1"), (2, "p2")]
+
+
+def test_empty_rows_go(spark):
+    df = spark.createDataFrame([([["a", ""], ["", " \n"], [None], [], ["", "b"]],)], "m array<array<string>>")
+    assert df.select(tables.without_empty_rows(F.col("m")).alias("m")).first().m == [["a", ""], ["", "b"]]
+
+
+def test_each_pattern_meets_a_text_once(spark):
+    plan = extract.invoice(fx.rows(spark, SF, fx.invoice_texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Tổng cộng tiền thanh toán") == 1
+
+
 def test_first_fit_lines(spark):
     rows = [(1, 1, 10.0, 5.0, 18.0, 0.9, "b"), (1, 1, 0.0, 6.0, 18.0, 0.7, "a"), (1, 1, 0.0, 60.0, 18.0, 0.1, "noise"), (1, 1, 0.0, 90.0, 18.0, 0.5, "10:30~01/02/2024")]
     df = spark.createDataFrame(rows, "id long, page int, x double, y double, h double, prob double, text string")

@@ -26,6 +26,17 @@ def test_dates(spark):
     assert values(spark, tx.clean_date, cases) == list(cases.values())
 
 
+def test_values_with_their_sources(spark):
+    df = spark.createDataFrame([(1, " 5/3/2024 ", "1.540.000 VNĐ"), (2, "", "x"), (3, None, None)], "i int, d string, a string")
+    got = [tuple(r) for r in df.orderBy("i").select(tx.date_value(F.col("d")), tx.amount_value(F.col("a"))).collect()]
+    assert got == [(("2024-03-05", "5/3/2024"), (1540000.0, "ocr")), (None, None), (None, None)]
+
+
+def test_halves_go_to_even(spark):
+    df = spark.createDataFrame([(0.25,), (0.75,), (12.125,), (99.96,)], "x double")
+    assert [r.v for r in df.select(tx.format_line(F.lit(7), F.col("x"), F.lit("t")).alias("v")).collect()] == ["[007 - 0.2%] t", "[007 - 0.8%] t", "[007 - 12.1%] t", "[007 - 100.0%] t"]
+
+
 def test_two_number_rules_differ(spark):
     assert values(spark, tx.parse_number, ["12,345.67", "(1)\n3\n10%\n7,000", "a=5", ""]) == [12345.67, 7000.0, None, None]
 
