@@ -21,11 +21,13 @@ ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 POINTS = 0x110000
 #: Code points that are looked up at a time.
 SLICE = 1 << 20
-#: Most rows of a model that is sent to every executor, 20 bytes each; larger ones are joined.
+#: Most rows of a model that is sent to every executor, 36 bytes each; larger ones are joined.
 MODEL_ROWS = 2_000_000
-#: Kinds of a model's rows: the order of an n-gram with its probability, and WEIGHT + order
-#: of a context with its weight of the lower order.
-WEIGHT = 10
+#: Kinds of a model's rows: the order of an n-gram of code points with its probability, WORD
+#: of a word with its own share, and WEIGHT + kind of a context with its weight of the lower order.
+WORD, WEIGHT = 4, 10
+#: A word runs up to and including the white space behind it, so a text is nothing but words.
+WORDS = re.compile(r"[^\x20\x09-\x0D]*+[\x20\x09-\x0D]|[^\x20\x09-\x0D]++")
 #: A word that stands again right after itself is read as one mark.
 AGAIN = "\x01"
 REPEATS = re.compile(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)((?:[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))+)")
@@ -41,10 +43,17 @@ def marked(text: str) -> str:
 
 
 def slices(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which text, trigram) of each code point of the texts, some SLICE at a time.
+    """(which text, trigram) of each code point of the texts, some SLICE at a time."""
+    for own in _stretches(texts):
+        yield _joined(own)
+
+
+def _stretches(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
+    """(which text, stretch of it with two code points before) of the texts, some SLICE code points at a time.
 
     A trigram is a code point z after x and y, as x * 2**42 + y * 2**21 + z; two zeros stand
-    before a text. Texts of any length are taken whole, in stretches, with repeated words as marks.
+    before a text. Texts of any length are taken whole, in stretches, with repeated words as
+    marks. A word over a border, at each SLICE code points of a text, counts as two.
     """
     own: list[tuple[int, str]] = []
     held = 0
@@ -54,10 +63,17 @@ def slices(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             own.append((i, t[lo - 2 : lo + SLICE]))
             held += len(own[-1][1])
             if held >= SLICE:
-                yield _joined(own)
+                yield own
                 own, held = [], 0
     if own:
-        yield _joined(own)
+        yield own
+
+
+def _words(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first code point) of each word of the stretches; words are numbered by a hash of 64 bits."""
+    words = [w for _, t in own for w in WORDS.findall(t, 2)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return pd.util.hash_array(np.array(words, object)).view(np.int64), np.cumsum(sizes) - sizes
 
 
 def _joined(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +92,19 @@ def fold_of(text: Column) -> Column:
     return (F.pmod(F.xxhash64(text), F.lit(2)) + 1).cast("int")
 
 
-def count_trigrams(rows: DataFrame) -> DataFrame:
-    """Rows (fold, gram, n): how often each trigram stands in all texts of (text, fold), counted by batch, then by shards."""
+def count_grams(rows: DataFrame) -> DataFrame:
+    """Rows (fold, kind, gram, n): how often each trigram and word stands in all texts of (text, fold), counted by batch, then by shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             folds, texts = b.column("fold").to_pylist(), b.column("text").to_pylist()
             for f in (1, 2):
-                for _, grams in slices([t for t, k in zip(texts, folds) if k == f and t]):
-                    g, n = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(g), pa.array(n)], names=["fold", "gram", "n"])
+                for own in _stretches([t for t, k in zip(texts, folds) if k == f and t]):
+                    for kind, keys in ((3, _joined(own)[1]), (WORD, _words(own)[0])):
+                        g, n = np.unique(keys, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(np.full(len(g), kind, np.int32)), pa.array(g), pa.array(n)], names=["fold", "kind", "gram", "n"])
 
-    return rows.select("text", "fold").mapInArrow(run, "fold int, gram long, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("text", "fold").mapInArrow(run, "fold int, kind int, gram long, n long").groupBy("fold", "kind", "gram").agg(F.sum("n").alias("n"))
 
 
 def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -108,28 +125,33 @@ def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, Data
 
 
 def fit(trusted: DataFrame) -> DataFrame:
-    """Models of all texts given, as rows (model, kind, key, value), value being a logarithm.
+    """Models of all texts given, as rows (kind, key, v0, v1, v2), a value being a logarithm or null.
 
     Model 0 is of all texts, model 1 of those of fold 2 and model 2 of those of fold 1. Counts,
     continuation counts, discounts and probabilities are tables, joined by shards of the
     n-grams; they grow with the texts and none is collected. Without texts: no rows.
+    A word is likely by its own count, with a weight of what its code points say, each after
+    the two before; these orders in turn are interpolated down to all code points alike.
     """
-    counts = cut(count_trigrams(trusted.select("text", fold_of(F.col("text")).alias("fold"))))
-    c3 = counts.select(F.explode(F.array(F.lit(0), F.lit(3) - F.col("fold"))).alias("model"), "gram", "n")
-    c3 = cut(c3.groupBy("model", "gram").agg(F.sum("n").alias("n")))
+    counts = cut(count_grams(trusted.select("text", fold_of(F.col("text")).alias("fold"))))
+    both = counts.select(F.explode(F.array(F.lit(0), F.lit(3) - F.col("fold"))).alias("model"), "kind", "gram", "n")
+    both = cut(both.groupBy("model", "kind", "gram").agg(F.sum("n").alias("n")))
+    c3, words = both.where("kind = 3").drop("kind"), both.where(F.col("kind") == WORD)
     c2 = c3.groupBy("model", F.col("gram").bitwiseAND(TWO).alias("gram")).agg(F.count("*").alias("n"))
     c1 = c2.groupBy("model", F.col("gram").bitwiseAND(ONE).alias("gram")).agg(F.count("*").alias("n"))
-    context = F.shiftright("gram", BITS)
-    levels = [_level(c1.select("model", F.lit(0).cast("long").alias("context"), "gram", "n", F.lit(1.0 / POINTS).alias("low")), True)]
+    context, none = F.shiftright("gram", BITS), F.lit(0).cast("long").alias("context")
+    levels = [_level(c1.select("model", none, "gram", "n", F.lit(1.0 / POINTS).alias("low")), True)]
     for c, last in ((c2, ONE), (c3, TWO)):
         low = levels[-1][0].select("model", F.col("gram").alias("last"), F.col("p").alias("low"))
         levels.append(_level(c.withColumn("last", F.col("gram").bitwiseAND(last)).join(low, ["model", "last"]).select("model", context.alias("context"), "gram", "n", "low")))
+    # what a word's code points say depends on where it stands, so it is added when texts are scored
+    levels.append(_level(words.select("model", none, "gram", "n", F.lit(0.0).alias("low")), True))
     out = None
     for k, (p, w) in enumerate(levels, 1):
         for kind, rows, key, value in ((k, p, "gram", "p"), (WEIGHT + k, w, "context", "weight")):
-            rows = rows.select(F.col("model").cast("int").alias("model"), F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(F.greatest(value, F.lit(1e-12))).alias("value"))
+            rows = rows.select("model", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(F.greatest(value, F.lit(1e-12))).alias("value"))
             out = rows if out is None else out.unionByName(rows)
-    return stored(out, "model")
+    return stored(out.groupBy("kind", "key").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(f"v{m}") for m in range(3)]), "model")
 
 
 class Known:
@@ -157,10 +179,16 @@ class Known:
             p = self.look(k, keys, p + self.look(WEIGHT + k, context, 0.0))
         return p
 
+    def log_word(self, words: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Of each word: its own share, and the weight of how it is spelt."""
+        return np.logaddexp(self.look(WORD, words, -np.inf), spelt + self.look(WEIGHT + WORD, np.zeros(1, np.int64), 0.0))
+
 
-def _asked(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(kind, keys) of all rows that log_p may look up."""
-    yield WEIGHT + 1, np.zeros(1, np.int64)
+def _asked(grams: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, keys) of all rows that log_p and log_word may look up."""
+    for kind in (WEIGHT + 1, WEIGHT + WORD):
+        yield kind, np.zeros(1, np.int64)
+    yield WORD, np.unique(words)
     for k, keys in ((1, grams & ONE), (2, grams & TWO), (3, grams)):
         yield k, np.unique(keys)
         if k > 1:
@@ -168,7 +196,9 @@ def _asked(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def known(models: pd.DataFrame) -> dict[int, Known]:
-    return {int(m): Known(x.kind.to_numpy(), x.key.to_numpy(), x.value.to_numpy()) for m, x in models.groupby("model")}
+    kind, key = models.kind.to_numpy(), models.key.to_numpy()
+    values = ((m, models[f"v{m}"].to_numpy(float)) for m in range(3))
+    return {m: Known(kind[there], key[there], v[there]) for m, v in values if (there := ~np.isnan(v)).any()}
 
 
 def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: Sequence[int]) -> pd.DataFrame:
@@ -176,13 +206,17 @@ def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: S
     texts, folds = [t or "" for t in texts], np.asarray(folds, np.int64)
     total, apart, n = (np.zeros(len(texts)) for _ in range(3))
     whole = models.get(0) or Known(np.empty(0), np.empty(0), np.empty(0))
-    for whose, grams in slices(texts):
+    for own in _stretches(texts):
+        whose, grams = _joined(own)
+        words, begin = _words(own)
         u, at = np.unique(grams, return_inverse=True)
         n += np.bincount(whose, minlength=len(texts))
-        total += np.bincount(whose, whole.log_p(u)[at], len(texts))
+        whose = whose[begin]
+        say = lambda model: model.log_word(words, np.add.reduceat(model.log_p(u)[at], begin))  # noqa: B023, E731
+        total += np.bincount(whose, say(whole), len(texts))
         for f in (1, 2):
-            if f in models and (own := folds[whose] == f).any():
-                apart += np.bincount(whose[own], models[f].log_p(u)[at[own]], len(texts))
+            if f in models and (held := folds[whose] == f).any():
+                apart += np.bincount(whose[held], say(models[f])[held], len(texts))
     n[n == 0] = np.nan
     there = np.isin(folds, [f for f in (1, 2) if f in models])
     return pd.DataFrame({"perplexity": np.exp(-total / n), "held_out": np.where(there, np.exp(-apart / n), np.nan)})
@@ -214,17 +248,17 @@ def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = pd.DataFrame({"block": b.column("_block").to_pylist(), "fold": b.column("fold").to_pylist(), "text": b.column("text").to_pylist()})
+            rows = pd.DataFrame({"block": b.column("_block").to_pylist(), "text": b.column("text").to_pylist()})
             for block, own in rows.groupby("block"):
-                for _, grams in slices([t or "" for t in own.text]):
-                    for m in {0, *own.fold.tolist()}:
-                        for kind, keys in _asked(np.unique(grams)):
-                            n = len(keys)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(keys)], names=["block", "model", "kind", "key"])
-
-    asked = placed.select("_block", "fold", "text").mapInArrow(ask, "block long, model int, kind int, key long").distinct()
-    found = asked.join(models, ["model", "kind", "key"])
-    present = {r[0] for r in models.select("model").distinct().collect()}  # three at most
+                for some in _stretches([t or "" for t in own.text]):
+                    for kind, keys in _asked(np.unique(_joined(some)[1]), _words(some)[0]):
+                        n = len(keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(keys)], names=["block", "kind", "key"])
+
+    asked = placed.select("_block", "text").mapInArrow(ask, "block long, kind int, key long").distinct()
+    found = asked.join(models, ["kind", "key"])
+    there = models.agg(*[F.count(f"v{m}") for m in range(3)]).first()
+    present = {m for m in range(3) if there[m]}
 
     def answer(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own = known(got)
