@@ -22,7 +22,9 @@ POINTS = 0x110000
 #: Code points that are looked up at a time.
 SLICE = 1 << 20
 #: Most rows of a model that is sent to every executor, 36 bytes each; larger ones are joined.
-MODEL_ROWS = 2_000_000
+MODEL_ROWS = 200_000
+#: Bytes of text, about, that ask together for what they need of a model that is joined.
+BLOCK_BYTES = 16 << 20
 #: Kinds of a model's rows: the order of an n-gram of code points with its probability, WORD
 #: of a word with its own share, and WEIGHT + kind of a context with its weight of the lower order.
 WORD, WEIGHT = 4, 10
@@ -243,19 +245,22 @@ def score(docs: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """score by sharded joins: 256 texts that stand together ask for each row of the model once."""
-    placed = stored(docs.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), 8)), "blocks")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = pd.DataFrame({"block": b.column("_block").to_pylist(), "text": b.column("text").to_pylist()})
-            for block, own in rows.groupby("block"):
-                for some in _stretches([t or "" for t in own.text]):
-                    for kind, keys in _asked(np.unique(_joined(some)[1]), _words(some)[0]):
-                        n = len(keys)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(keys)], names=["block", "kind", "key"])
-
-    asked = placed.select("_block", "text").mapInArrow(ask, "block long, kind int, key long").distinct()
+    """score by sharded joins: texts of about BLOCK_BYTES, dealt by a hash of their rows, ask for each row of the model once."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64(*docs.columns), F.lit(size // BLOCK_BYTES + 1))
+    # both uses group these rows whole, so that their one shuffle is used twice
+    placed = docs.withColumn("_block", block).repartition("_block")
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds: dict[int, list[np.ndarray]] = {}
+        for some in _stretches([t or "" for t in rows.text]):
+            for kind, keys in _asked(np.unique(_joined(some)[1]), _words(some)[0]):
+                kinds.setdefault(kind, []).append(keys)
+        own = {kind: np.unique(np.concatenate(keys)) for kind, keys in kinds.items()}
+        parts = [pd.DataFrame({"block": rows._block.iloc[0], "kind": kind, "key": keys}) for kind, keys in own.items()]
+        return pd.concat(parts) if parts else pd.DataFrame({"block": [], "kind": [], "key": []})
+
+    asked = placed.groupBy("_block").applyInPandas(ask, "block long, kind int, key long")
     found = asked.join(models, ["kind", "key"])
     there = models.agg(*[F.count(f"v{m}") for m in range(3)]).first()
     present = {m for m in range(3) if there[m]}
