@@ -114,7 +114,7 @@ def accuracy(df: DataFrame) -> DataFrame:
     df = df.withColumn("cer", error_rate(F.col("char_distance"), F.length("truth"), F.length("predicted"))).withColumn("wer", error_rate(F.col("token_distance"), F.size("t"), F.size("p")))
     score = F.bround(100 * (1 - F.col("cer")), 2)
     band = F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 55, "fair").otherwise("poor")
-    return df.select("item_id", "char_distance", "token_distance", "cer", "wer", score.alias("char_accuracy"), F.bround(100 * (1 - F.col("wer")), 2).alias("word_accuracy"), band.alias("band"))
+    return df.select("item_id", "truth", "char_distance", "token_distance", "cer", "wer", score.alias("char_accuracy"), F.bround(100 * (1 - F.col("wer")), 2).alias("word_accuracy"), band.alias("band"))
 
 
 def _methods(docs: DataFrame) -> DataFrame:
