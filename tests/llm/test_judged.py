@@ -154,6 +154,29 @@ def test_probabilities_sum_to_one_and_match_plain_counts(spark):
         assert p(g)[0] == pytest.approx(prob(c3, g >> bits, g, d3, low2), rel=1e-9)
 
 
+def test_words_stand_above_their_spelling(spark):
+    texts = ["the cat the dog\nthe cat", "a dog  sat on", "on on on the mat", "x", "the end", ""]
+    models = perplexity.known(perplexity.fit(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas())
+    words = Counter(w for t in texts for w in perplexity.WORDS.findall(perplexity.marked(t)))
+    k = [sum(v == i for v in words.values()) for i in (1, 2, 3, 4)]
+    y = k[0] / (k[0] + 2 * k[1]) if min(k) else 0
+    d = [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0), i) for i in (1, 2, 3)] if min(k) else [0.5] * 3
+    total = sum(words.values())
+    weight = sum(d[min(v, 3) - 1] for v in words.values()) / total
+    probes = ["the dog sat", "unseen words here ", "the the cat", "x", " \n"]
+    got = perplexity.perplexities(models, [*probes, "", None], [0] * 7).perplexity.tolist()
+    for text, found in zip(probes, got):
+        m, at, want = perplexity.marked(text), 0, 0.0
+        assert "".join(perplexity.WORDS.findall(m)) == m
+        spelt = models[0].log_p(next(perplexity.slices([text]))[1])
+        for w in perplexity.WORDS.findall(m):
+            own = (words[w] - d[min(words[w], 3) - 1]) / total if w in words else 0
+            want += np.log(own + weight * np.exp(spelt[at : at + len(w)].sum()))
+            at += len(w)
+        assert found == pytest.approx(np.exp(-want / len(m)), rel=1e-9)
+    assert np.isnan(got[-2:]).all()
+
+
 def test_repeated_words_are_marked():
     cases = {"a a b": "a\x01 b", "are. are.\nare. x": "are.\x01\x01 x", "ab abc ab": "ab abc ab", "a b a b": "a b a b", "x  x": "x\x01", "": "", "the the": "the\x01", "aa a": "aa a", "é é é": "é\x01\x01"}
     assert {t: perplexity.marked(t) for t in cases} == cases
