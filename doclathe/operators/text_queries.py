@@ -127,11 +127,19 @@ def _boxes(lines_: DataFrame) -> DataFrame:
     return lines_.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_quantity") / 50).alias("prob"))
 
 
+def supported(path: Column) -> Column:
+    """Whether a path's last suffix, in any case, is of a file that can be read."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*EXTENSIONS)
+
+
+def takes_fallback(n: Column, conf: Column, n2: Column, conf2: Column) -> Column:
+    """Whether a second reading is taken: where the first has no lines or a confidence under 35, and the second has more of either."""
+    return ((n == 0) | (conf < 35)) & ((n2 > n) | (conf2 > conf))
+
+
 def _fallback(orders: DataFrame) -> DataFrame:
-    """The better of two readings: the second only where the first is empty or unsure, and if it has more lines or confidence."""
-    n, conf = F.col("o_orderkey") % 4, F.col("o_orderkey") % 90
-    n2, conf2 = F.col("o_custkey") % 5, F.col("o_custkey") % 95
-    use = ((n == 0) | (conf < 35)) & ((n2 > n) | (conf2 > conf))
+    n, n2 = F.col("o_orderkey") % 4, F.col("o_custkey") % 5
+    use = takes_fallback(n, F.col("o_orderkey") % 90, n2, F.col("o_custkey") % 95)
     return orders.select("o_orderkey", F.when(use, "fallback").otherwise("first").alias("reading"), F.when(use, n2).otherwise(n).alias("n_lines"))
 
 
@@ -146,7 +154,7 @@ def _shown(c: str = "conv_id") -> str:
 N, ST, PG, AM, PR = fx.duck(noisy), fx.duck(status_lines), fx.duck(pages_of), fx.duck(amounts), fx.duck(pairs)
 
 QUERIES = {
-    "supported_filter": run(fx.ocr_documents, lambda d: d.where(F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1)).isin(*EXTENSIONS)).select("id", "file_path")),
+    "supported_filter": run(fx.ocr_documents, lambda d: d.where(supported(F.col("file_path"))).select("id", "file_path")),
     "page_method_rollup": raw("documents", lambda d: page_method_rollup(_methods(d))),
     "ocr_fallback_pick": raw("orders", _fallback),
     "text_scan": raw("documents", lambda d: d.select("doc_id", F.lit("text").alias("document_type"), F.lit("direct_read").alias("extraction_method"), F.lit(1).alias("total_pages"), F.size(F.filter(F.split("text", "\n"), lambda x: tx.strip(x) != "")).alias("n_lines"))),
