@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("chat_format", "conversation_trie", "fingerprints", "importance", "license_scan", "mixing", "packing", "perplexity", "quality_rules", "simhash", "suffix_dedup", "url_filter")
+MODULES = ("chat_format", "conversation_trie", "fingerprints", "importance", "license_scan", "mixing", "packing", "perplexity", "quality_rules", "sanitise", "simhash", "suffix_dedup", "url_filter")
 
 
 def registered() -> tuple[dict, dict]:
