@@ -185,9 +185,8 @@ def drawn_documents(docs: DataFrame, target: DataFrame, name: str = "draw", **se
     """
     name = unused(name, [c for c in docs.columns if c != name])
     numbered = docs.select(packed(docs, name), "doc_id", "text", F.monotonically_increasing_id().alias("_at"))
-    with scratch(docs.sparkSession):
-        held = stored(numbered, "numbered", lasting=True)
-        got = resample(held.select(F.col("_at").alias("doc_id"), "text"), target, **settings)
+    held = stored(numbered, "numbered")
+    got = resample(held.select(F.col("_at").alias("doc_id"), "text"), target, **settings)
     return held.join(got.where("rank IS NOT NULL").withColumnRenamed("doc_id", "_at"), "_at").select("row.*", F.struct("weight", "score", "rank").alias(name))
 
 
