@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -48,6 +49,60 @@ def remove_accents(x: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(x, F.lit("")), r"\p{Mn}+", ""), _FROM, _TO)
 
 
+def _canonical() -> tuple[dict[str, str], dict[str, str], dict[str, str], tuple[str, str]]:
+    """Of Latin, Greek and Cyrillic letters: decompositions, compositions, classes of marks, and characters that stand for another."""
+    apart, whole, classes, single = {}, {}, {}, {}
+    for cp in (*range(0xC0, 0x600), *range(0x1E00, 0x2000), 0x2126, 0x212A, 0x212B):
+        c = chr(cp)
+        full, now = unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c)
+        if unicodedata.combining(c):
+            classes[c] = chr(unicodedata.combining(c))
+        if now != c and len(now) == 1:
+            single[c] = now
+        elif full != c:
+            apart[c] = full
+        if full != c and now == c:
+            first, second = (chr(int(x, 16)) for x in unicodedata.decomposition(c).split())
+            whole[first + second] = c
+    return apart, whole, classes, ("".join(single), "".join(single.values()))
+
+
+_APART, _WHOLE, _CLASSES, _SINGLE = _canonical()
+_STANDS = "".join(f"\\x{{{ord(c):x}}}" for c in _SINGLE[0])
+
+
+def _looked_up(table: dict[str, str]) -> Column:
+    """A constant map, folded once by the optimizer."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def nfc(x: Column) -> Column:
+    """Text in Unicode's composed form: Latin, Greek and Cyrillic letters with their marks, and signs that stand for a letter.
+
+    Text without marks and such signs, nearly all, is only looked through. Elsewhere each letter
+    with marks is taken apart, its marks are ordered by class, and composed one by one where no
+    mark of the same or a higher class stands between.
+    """
+    apart, whole, classes = _looked_up(_APART), _looked_up(_WHOLE), _looked_up(_CLASSES)
+
+    def composed(token: Column) -> Column:
+        full = F.array_join(F.transform(F.split(token, ""), lambda c: F.coalesce(F.try_element_at(apart, c), c)), "")
+        chars = F.concat(F.when(F.rlike(full, F.lit(r"^\p{Mn}")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.split(full, ""))
+        marks = F.transform(F.slice(chars, 2, F.size(chars)), lambda m, i: F.struct(F.ascii(F.coalesce(F.try_element_at(classes, m), F.lit(chr(255)))).alias("c"), i.alias("i"), m.alias("m")))
+        start = F.struct(F.get(chars, F.lit(0)).alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+
+        def step(s: Column, m: Column) -> Column:
+            both = F.try_element_at(whole, F.concat(s["base"], m["m"]))
+            joins = ((s["rest"] == "") | (s["last"] < m["c"])) & both.isNotNull()
+            return F.when(joins, F.struct(both.alias("base"), s["rest"].alias("rest"), s["last"].alias("last"))).otherwise(F.struct(s["base"].alias("base"), F.concat(s["rest"], m["m"]).alias("rest"), m["c"].alias("last")))
+
+        return F.aggregate(F.array_sort(marks), start, step, lambda s: F.concat(s["base"], s["rest"]))
+
+    parts = F.regexp_extract_all(F.translate(x, *_SINGLE), F.lit(r"(?s)\P{Mn}\p{Mn}+|(?:\P{Mn}(?!\p{Mn}))+|\p{Mn}+"), F.lit(0))
+    made = F.array_join(F.transform(parts, lambda t: F.when(F.rlike(t, F.lit(r"^\P{Mn}?\p{Mn}")), composed(t)).otherwise(t)), "")
+    return F.when(F.rlike(x, F.lit(rf"[\p{{Mn}}{_STANDS}]")), made).otherwise(x)
+
+
 def clean_noise(line: Column) -> Column:
     """A line without leading bars and slashes; empty if it is a status-bar word or dots."""
     x = strip(F.regexp_replace(line, r"^[|\\/]+", ""))
@@ -60,8 +115,8 @@ def lines(x: Column) -> Column:
 
 
 def normalize_text(x: Column) -> Column:
-    """Lines cleaned, runs of blanks made one, empty lines dropped. The text is taken as NFC."""
-    clean = F.regexp_replace(F.coalesce(x, F.lit("")), CONTROLS, "")
+    """Composed form, lines cleaned, runs of blanks made one, empty lines dropped."""
+    clean = F.regexp_replace(nfc(F.coalesce(x, F.lit(""))), CONTROLS, "")
     tidy = F.transform(F.split(clean, LINE_END), lambda y: clean_noise(strip(F.regexp_replace(y, r"[ \t]+", " "))))
     return F.array_join(F.filter(tidy, lambda y: y != ""), "\n")
 
@@ -117,9 +172,13 @@ def display_content(x: Column) -> Column:
     return F.when(~F.contains(x, F.lit("[HỆ THỐNG]:")), x).when(notice != "", notice).otherwise(F.element_at(F.split(x, "\n\n"), -1))
 
 
-def clean_amount(x: Column) -> Column:
-    """A number as written in Vietnamese: dots part thousands if all groups after the first have three digits."""
-    n = F.regexp_replace(x, "[^0-9.,]", "")
+def amount_marks(x: Column) -> Column:
+    """The digits, dots and commas of a text."""
+    return F.regexp_replace(x, "[^0-9.,]", "")
+
+
+def amount_of(n: Column) -> Column:
+    """The number that digits, dots and commas write in Vietnamese: dots part thousands if all groups after the first have three digits."""
     dot, comma = F.contains(n, F.lit(".")), F.contains(n, F.lit(","))
     groups = lambda m: F.rlike(n, F.lit(rf"^[0-9]*([{m}][0-9]{{3}})+$"))
     drop = lambda y, m: F.replace(y, F.lit(m), F.lit(""))
@@ -128,6 +187,11 @@ def clean_amount(x: Column) -> Column:
     return out.try_cast("double")
 
 
+def clean_amount(x: Column) -> Column:
+    """A number as written in Vietnamese. What it needs more than once is made once, as the one element of an array."""
+    return F.get(F.transform(F.array(amount_marks(x)), amount_of), F.lit(0))
+
+
 DAY_FIRST, YEAR_FIRST = r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})", r"(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})"
 LONG_DATE = r"ngày\s*(\d{1,2})\s*tháng\s*(\d{1,2})\s*năm\s*(\d{4})"
 
@@ -144,13 +208,13 @@ def clean_date(x: Column) -> Column:
 
 
 def date_value(x: Column) -> Column:
-    """Struct (value, raw_value) of clean_date and the stripped input; null where nothing is left."""
-    value = clean_date(x)
-    return F.when(F.coalesce(value, F.lit("")) != "", F.struct(value.alias("value"), strip(x).alias("raw_value")))
+    """A date as {value, raw_value}, or null where it is empty."""
+    value = F.nullif(clean_date(x), F.lit(""))
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), strip(x).alias("raw_value")))
 
 
 def amount_value(x: Column, source: str = "ocr") -> Column:
-    """Struct (value, source) of clean_amount; null where it isn't a number."""
+    """An amount as {value, source}, or null where there is none."""
     value = clean_amount(x)
     return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(source).alias("source")))
 

@@ -92,6 +92,7 @@ VOUCHER = {
     "ket_luan": label("Kết luận|Kết luận chung"),
     "tong_gia_tri": one(rf"(?:tổng số tiền|giá trị hợp đồng là)\s*{AMOUNT}\s*VNĐ", "amount"),
 }
+# Kinds of vouchers by their words, banks, and what is no person's name.
 VOUCHER_TYPES = (("BIÊN BẢN BÀN GIAO", "bien_ban_ban_giao_nghiem_thu"), ("NGHIỆM THU", "bien_ban_ban_giao_nghiem_thu"), ("PHIẾU XUẤT KHO", "phieu_xuat_kho"), ("THANH LÝ", "bien_ban_thanh_ly"), ("PHIẾU THU", "phieu_thu"), ("PHIẾU CHI", "phieu_chi"))
 TRANSFER = {
     "so_tien": Field((rf"{SHORT_AMOUNT}\s*(?:đ|VND|VNĐ|đồng)", r"(?m)^(\d{1,3}(?:[.,]\d{3})+)$", rf"(?:Số tiền|Giao dịch thành công){SEP}{SHORT_AMOUNT}"), "amount"),
@@ -142,13 +143,27 @@ CAPITAL_LINE = r"[A-Z\s]{5,35}"
 CAPITAL_STOPS = ("VND", "VCB", "VIETCOMBANK", "GIAO DICH", "DIGIBANK")
 
 
-def _spark_clean(raw: Column, f: Field, pattern: str) -> Column:
-    if f.clean in ("iso", "dmy") and pattern in (LONG_DATE, PLAIN_LONG_DATE):
+def _numbers(f: Field, pattern: str) -> bool:
+    """Whether a date is made of a match's numbers; the older set leaves short dates as written."""
+    return f.clean == "iso" or (f.clean == "dmy" and pattern in (LONG_DATE, PLAIN_LONG_DATE))
+
+
+def _prepared(raw: Column, f: Field, pattern: str) -> Column:
+    """What cleaning needs more than once of a match: digits and marks of amounts, the numbers of dates."""
+    if f.clean == "amount":
+        return tx.amount_marks(raw)
+    return F.regexp_extract_all(raw, F.lit(tx.java(r"\d+", False)), F.lit(0)) if _numbers(f, pattern) else raw
+
+
+def _spark_clean(x: Column, f: Field, pattern: str) -> Column:
+    """A prepared match as its field's value. Dates have three numbers, day first."""
+    if _numbers(f, pattern):
+        d, m, y = (F.get(x, F.lit(i)) for i in range(3))
+        day, month = F.lpad(d, 2, "0"), F.lpad(m, 2, "0")
         if f.clean == "iso":
-            return tx.iso_date(raw, pattern, (3, 2, 1))
-        d, m, y = (F.regexp_extract(raw, tx.java(pattern), i) for i in (1, 2, 3))
-        return F.concat_ws("/", F.lpad(d, 2, "0"), F.lpad(m, 2, "0"), y)
-    return {"text": raw, "trim": tx.strip(raw, ":\\-"), "paren": tx.strip(raw, "()"), "words": tx.strip(raw, ":.\\-"), "white": tx.strip(raw), "amount": tx.clean_amount(raw), "int": raw.try_cast("int"), "iso": tx.clean_date(raw), "dmy": raw}[f.clean]
+            return F.concat_ws("-", y, month, day)
+        return F.concat_ws("/", day, month, y)
+    return {"text": x, "trim": tx.strip(x, ":\\-"), "paren": tx.strip(x, "()"), "words": tx.strip(x, ":.\\-"), "white": tx.strip(x), "amount": tx.amount_of(x), "int": x.try_cast("int"), "dmy": x}[f.clean]
 
 
 def _raw(x: Column, f: Field, pattern: str) -> Column:
@@ -163,11 +178,12 @@ def _raw(x: Column, f: Field, pattern: str) -> Column:
 def extract(docs: DataFrame, fields: dict[str, Field], text: str = "text") -> DataFrame:
     """The fields of a text column beside all columns; null where nothing matches.
 
-    Each pattern meets each text once: one projection holds what they find, and the next
-    cleans that, first pattern first.
+    Each pattern meets each text once: one projection holds what they find, the next what
+    cleaning names more than once, and the last cleans it, first pattern first.
     """
     found = {(n, i): f"_{n}_{i}" for n, f in fields.items() for i in range(len(f.patterns))}
     raw = docs.select("*", *[_raw(F.col(text), fields[n], fields[n].patterns[i]).alias(c) for (n, i), c in found.items()])
+    ready = raw.select(*docs.columns, *[_prepared(F.col(c), fields[n], fields[n].patterns[i]).alias(c) for (n, i), c in found.items()])
     out = []
     for n, f in fields.items():
         value = F.lit(None)
@@ -175,7 +191,7 @@ def extract(docs: DataFrame, fields: dict[str, Field], text: str = "text") -> Da
             c = F.col(found[n, i])
             value = F.when(c.isNotNull(), _spark_clean(c, f, f.patterns[i])).otherwise(value)
         out.append(value.alias(n))
-    return raw.select(*docs.columns, *out)
+    return ready.select(*docs.columns, *out)
 
 
 def first_of(x: Column, words: tuple[str, ...]) -> Column:
@@ -183,28 +199,44 @@ def first_of(x: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(F.rlike(x, F.lit(tx.java(rf"\b{w}\b"))), w) for w in words])
 
 
-def invoice(docs: DataFrame) -> DataFrame:
+def invoice_fields(docs: DataFrame) -> DataFrame:
+    """The columns of docs and the fields of an invoice."""
     out = extract(docs, INVOICE)
     company = F.rlike(F.lower("nguoi_mua_hang"), F.lit("|".join(PERSON_STOPS)))
     pay = F.when(F.rlike(F.lower("text"), F.lit("chuyển khoản|ck")), "Chuyển khoản (TM/CK)")
-    return out.withColumns({"nguoi_mua_hang": F.when(~company, F.col("nguoi_mua_hang")), "hinh_thuc_thanh_toan": pay}).select("id", *INVOICE, "hinh_thuc_thanh_toan")
+    return out.withColumns({"nguoi_mua_hang": F.when(~company, F.col("nguoi_mua_hang")), "hinh_thuc_thanh_toan": pay})
 
 
-def contract(docs: DataFrame) -> DataFrame:
+def invoice(docs: DataFrame) -> DataFrame:
+    return invoice_fields(docs).select("id", *INVOICE, "hinh_thuc_thanh_toan")
+
+
+def contract_fields(docs: DataFrame) -> DataFrame:
+    """The columns of docs and the fields of a contract."""
     out = extract(docs, CONTRACT)
     titles = F.filter(F.slice(tx.lines(F.col("text")), 1, 10), lambda x: F.rlike(F.upper(x), F.lit("HỢP ĐỒNG|HOP DONG|AGREEMENT")))
     pay = F.when(F.contains(F.lower("text"), F.lit("chuyển khoản")), "Chuyển khoản ngân hàng")
-    return out.withColumns({"tieu_de": F.coalesce(F.get(titles, F.lit(0)), F.lit("HỢP ĐỒNG KINH TẾ")), "hinh_thuc_thanh_toan": pay}).select("id", "tieu_de", *CONTRACT, "hinh_thuc_thanh_toan")
+    return out.withColumns({"tieu_de": F.coalesce(F.get(titles, F.lit(0)), F.lit("HỢP ĐỒNG KINH TẾ")), "hinh_thuc_thanh_toan": pay})
 
 
-def voucher(docs: DataFrame) -> DataFrame:
+def contract(docs: DataFrame) -> DataFrame:
+    return contract_fields(docs).select("id", "tieu_de", *CONTRACT, "hinh_thuc_thanh_toan")
+
+
+def voucher_fields(docs: DataFrame) -> DataFrame:
+    """The columns of docs and the fields of a voucher."""
     kind = F.lit("chung_tu_khac")
     for word, name in reversed(VOUCHER_TYPES):
         kind = F.when(F.contains(F.upper("text"), F.lit(word)), name).otherwise(kind)
-    return extract(docs, VOUCHER).withColumn("loai_chung_tu", kind).select("id", "loai_chung_tu", *VOUCHER)
+    return extract(docs, VOUCHER).withColumn("loai_chung_tu", kind)
 
 
-def transfer(docs: DataFrame) -> DataFrame:
+def voucher(docs: DataFrame) -> DataFrame:
+    return voucher_fields(docs).select("id", "loai_chung_tu", *VOUCHER)
+
+
+def transfer_fields(docs: DataFrame) -> DataFrame:
+    """The columns of docs and the fields of a bank transfer."""
     out = extract(docs, TRANSFER)
     low = F.lower("text")
     has = lambda w: F.contains(low, F.lit(w))
@@ -213,34 +245,50 @@ def transfer(docs: DataFrame) -> DataFrame:
     capitals = F.get(F.filter(tx.lines(F.col("text")), named), F.lit(0))
     when = F.when(F.col("gio").isNotNull(), F.concat_ws(" ", "ngay", "gio")).otherwise(F.col("ngay"))
     cols = {"trang_thai": state, "ngan_hang": first_of(F.col("text"), BANKS), "ho_ten": F.coalesce(F.nullif("ten_nguoi_nhan", F.lit("")), capitals), "thoi_gian_giao_dich": when}
-    return out.withColumns(cols).select("id", "trang_thai", "so_tien", "ma_giao_dich", "thoi_gian_giao_dich", "ho_ten", "so_tai_khoan", "ngan_hang", "noi_dung")
+    return out.withColumns(cols)
 
 
-def generic(docs: DataFrame) -> DataFrame:
-    """Title, all distinct dates and amounts (sorted), number and beginning of any text."""
+def transfer(docs: DataFrame) -> DataFrame:
+    return transfer_fields(docs).select("id", "trang_thai", "so_tien", "ma_giao_dich", "thoi_gian_giao_dich", "ho_ten", "so_tai_khoan", "ngan_hang", "noi_dung")
+
+
+def generic_fields(docs: DataFrame) -> DataFrame:
+    """The columns of docs and title, all distinct dates and amounts (sorted), number and beginning of any text."""
     x = F.col("text")
     dates = F.regexp_extract_all(x, F.lit(tx.java(DATE)), F.lit(1))
     amounts = F.regexp_extract_all(x, F.lit(tx.java(rf"{SHORT_AMOUNT}\s*(?:VND|VNĐ|đồng)")), F.lit(1))
-    out = extract(docs, GENERIC)
-    return out.select(
-        "id", F.get(tx.lines(x), F.lit(0)).alias("title"), "document_number", tx.clean_date(F.get(dates, F.lit(0))).alias("date"),
-        F.array_join(F.array_sort(F.array_distinct(dates)), ";").alias("dates"), F.array_join(F.array_sort(F.array_distinct(amounts)), ";").alias("amounts"),
-        F.when(F.length(x) > 200, F.concat(F.substring(x, 1, 200), F.lit("..."))).otherwise(x).alias("description"),
-    )
+    return extract(docs, GENERIC).withColumns({
+        "title": F.get(tx.lines(x), F.lit(0)), "date": tx.clean_date(F.get(dates, F.lit(0))), "dates": F.array_sort(F.array_distinct(dates)), "amounts": F.array_sort(F.array_distinct(amounts)),
+        "description": F.when(F.length(x) > 200, F.concat(F.substring(x, 1, 200), F.lit("..."))).otherwise(x),
+    })
 
 
-def entities(docs: DataFrame, kind: str) -> DataFrame:
-    """The older flat fields of a kind: transfer, invoice, contract, voucher or generic."""
+def generic(docs: DataFrame) -> DataFrame:
+    joined = [F.array_join(c, ";").alias(c) for c in ("dates", "amounts")]
+    return generic_fields(docs).select("id", "title", "document_number", "date", *joined, "description")
+
+
+#: What the older fields of a kind have besides its patterns.
+MORE_ENTITIES = {"contract": ("articles",), "bank_transfer": ("amount", "bank_name", "receiver_name"), "generic": ("dates_found", "amounts_found")}
+
+
+def entity_names(kind: str) -> list[str]:
+    return [*ENTITIES.get("transfer" if kind == "bank_transfer" else kind, ()), *MORE_ENTITIES.get(kind, ())]
+
+
+def entity_fields(docs: DataFrame, kind: str) -> DataFrame:
+    """The columns of docs and the older flat fields of a kind: bank_transfer, invoice, contract, voucher or generic."""
     x = F.col("text")
     if kind == "generic":
         dates = F.regexp_extract_all(x, F.lit(tx.java(DATE)), F.lit(1))
         amounts = F.regexp_extract_all(x, F.lit(tx.java(r"([\d\[.,]{5,15})\s*(?:VND|VNĐ|đồng)")), F.lit(1))
-        return docs.select("id", F.array_join(F.array_sort(F.array_distinct(dates)), ";").alias("dates_found"), F.array_join(F.array_sort(F.array_distinct(amounts)), ";").alias("amounts_found"))
-    out = extract(docs, ENTITIES[kind])
+        joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ";")
+        return docs.withColumns({"dates_found": joined(dates), "amounts_found": joined(amounts)})
+    out = extract(docs, ENTITIES["transfer" if kind == "bank_transfer" else kind])
     more: dict[str, Column] = {}
     if kind == "contract":
         more["articles"] = F.array_join(F.filter(tx.lines(x), lambda y: F.rlike(y, F.lit(r"^(?:ĐIỀU|Điều)\s+\d+[:.]?"))), ";")
-    if kind == "transfer":
+    if kind == "bank_transfer":
         money = r"([\d\[.,]{4,15})"
         likely = lambda y: F.rlike(y, F.lit(r"^\d{1,3}([.,]\d{3})+$")) | (F.rlike(y, F.lit(r"\d")) & F.rlike(F.lower(y), F.lit("vnd|vnđ|chuyển|thành công")))
         enough = lambda y: F.length(F.translate(F.regexp_extract(y, money, 1), ".,", "")) >= 4
@@ -250,14 +298,18 @@ def entities(docs: DataFrame, kind: str) -> DataFrame:
         more["bank_name"] = first_of(x, MORE_BANKS)
         capital = lambda y: F.rlike(y, F.lit(r"^\p{Lu}+(\s+\p{Lu}+)+$")) & ~F.rlike(y, F.lit("VND|MB|TCB|VCB|CTK|STK"))
         more["receiver_name"] = F.get(F.filter(tx.lines(x), capital), F.lit(0))
-    return out.withColumns(more).select("id", *ENTITIES[kind], *more)
+    return out.withColumns(more) if more else out
+
+
+def entities(docs: DataFrame, kind: str) -> DataFrame:
+    """The older flat fields of a kind: transfer, invoice, contract, voucher or generic."""
+    kind = "bank_transfer" if kind == "transfer" else kind
+    return entity_fields(docs, kind).select("id", *entity_names(kind))
 
 
 def structured_data(docs: DataFrame) -> DataFrame:
-    """One envelope for invoices: number, date, parties and money, the first that isn't empty of either rule set."""
-    new = invoice(docs)
-    old = entities(docs, "invoice").withColumnRenamed("id", "i")
-    both = new.join(old, F.col("id") == F.col("i"))
+    """Number, date, parties and money of invoices: the first that isn't empty of either rule set, in one pass over the texts."""
+    both = entity_fields(invoice_fields(docs), "invoice")
     pick = lambda *cs: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in cs])
     return both.select("id", pick("so_hoa_don", "invoice_number").alias("number"), pick("ngay_hoa_don", "issue_date").alias("date"), pick("ban_ten", "seller_name").alias("seller"), pick("mua_ten", "buyer_name").alias("buyer"), F.col("tong_tien_thanh_toan").alias("total"))
 

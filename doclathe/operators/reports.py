@@ -27,18 +27,6 @@ RESULT, KIND, TYPE, SOURCE, METHOD = "=== KẾT QUẢ TRÍCH XUẤT TÀI LIỆU:
 TEXT_PART, TABLE_PART = "--- NỘI DUNG VĂN BẢN ĐỌC ĐƯỢC ---", "--- CẤU TRÚC BẢNG TRÍCH XUẤT ---"
 
 
-def date_value(x: Column) -> Column:
-    """A date as {value, raw_value}, or null where it is empty."""
-    clean = F.nullif(tx.clean_date(x), F.lit(""))
-    return F.when(clean.isNotNull(), F.struct(clean.alias("value"), tx.strip(x).alias("raw_value")))
-
-
-def amount_value(x: Column, source: str = "ocr") -> Column:
-    """An amount as {value, source}, or null where there is none."""
-    clean = tx.clean_amount(x)
-    return F.when(clean.isNotNull(), F.struct(clean.alias("value"), F.lit(source).alias("source")))
-
-
 def reuse_cached(new: DataFrame, docs: DataFrame, schema: str) -> DataFrame:
     """New files (seq, user_id, file_hash, file_path, file_name) that a stored document answers, with its result.
 
@@ -113,7 +101,7 @@ def _code(x: str = "doc_id") -> str:
 
 
 def _values(spark, sf_dir):
-    d = fx.rows(spark, sf_dir, tq.amounts).select("event_id", date_value(F.col("day")).alias("d"), amount_value(F.col("amount")).alias("a"))
+    d = fx.rows(spark, sf_dir, tq.amounts).select("event_id", tx.date_value(F.col("day")).alias("d"), tx.amount_value(F.col("amount")).alias("a"))
     return d.select("event_id", F.col("d.value").alias("date"), F.col("d.raw_value").alias("raw_date"), F.col("a.value").alias("amount"), F.col("a.source").alias("source"))
 
 

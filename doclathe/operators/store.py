@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import ranked
+
 DEFAULT_USER = "default_user"
 MARK = "[HỆ THỐNG]:"
 
@@ -101,34 +103,41 @@ def resolve_identity(*ways: Column | str) -> Column:
 # Mutations
 
 
-def upsert_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """The store after new rows (seq, user_id, file_name, file_size, file_hash, category) were put in.
+#: What a stored document has where a new row says nothing.
+DOCUMENT_DEFAULTS = {"file_size": 0, "file_type": "", "category": "unclassified", "extracted_text": "", "eval_report": "", "status": "completed"}
+
 
-    A new row replaces the document of its user with the same hash, else with the same name
-    and size (a name and a size above 0 are needed), the greatest id winning; else it gets a
-    new id. If several new rows match one document, the last by seq stays.
+def _whole(rows: DataFrame, like: DataFrame, defaults: dict) -> list[Column]:
+    """The columns of `like` but for its id, from rows that may lack some of them."""
+    return [(F.col(f.name) if f.name in rows.columns else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in like.schema if f.name != "id"]
+
+
+def upsert_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
+    """The store after new rows were put in: all its columns, and `change`: kept, updated or inserted.
+
+    New rows have seq and any columns of the store, created_at being the time of the call; what
+    they lack has its default, and a null or empty user is the default user. A row replaces all
+    columns of the document of its user with the same hash, else with the same name and size
+    (a hash, a name and a size above 0 are needed), the greatest id winning; else it gets a
+    new id, in the order of seq. If several match one document, the last by seq stays. Keys
+    alone are matched and ranked; the documents themselves are joined once by seq.
     """
-    by_hash = docs.where("file_hash is not null").groupBy("user_id", "file_hash").agg(F.max("id").alias("id_hash"))
+    new = new.withColumn("user_id", resolve_identity("user_id")).select("seq", *_whole(new, docs, DOCUMENT_DEFAULTS))
+    keys = new.select("seq", "user_id", F.nullif("file_hash", F.lit("")).alias("file_hash"), F.nullif("file_name", F.lit("")).alias("file_name"), F.when(F.col("file_size") > 0, F.col("file_size")).alias("file_size"))
+    by_hash = docs.where("file_hash <> ''").groupBy("user_id", "file_hash").agg(F.max("id").alias("id_hash"))
     by_name = docs.where("file_name <> '' and file_size > 0").groupBy("user_id", "file_name", "file_size").agg(F.max("id").alias("id_name"))
-    matched = new.join(by_hash, ["user_id", "file_hash"], "left").join(by_name, ["user_id", "file_name", "file_size"], "left").withColumn("id", F.coalesce("id_hash", "id_name"))
-    fields = ("user_id", "file_name", "file_size", "file_hash", "category")
-    changed = matched.where("id is not null").groupBy("id").agg(*[F.max_by(F.struct(*fields), "seq").alias("r")]).select("id", "r.*", F.lit("updated").alias("change"))
-    top = docs.agg(F.max("id").alias("top"))
-    added = _numbered(matched.where("id is null").select("seq", *fields), top).select("id", *fields, F.lit("inserted").alias("change"))
-    kept = docs.join(changed.select("id"), "id", "left_anti").select("id", *fields, F.lit("kept").alias("change"))
-    return kept.unionByName(changed).unionByName(added)
-
-
-def _numbered(new: DataFrame, top: DataFrame) -> DataFrame:
-    """New ids by seq, from the greatest so far; ranked in ranges of seq, so that no task sees all rows."""
-    width = 1024
-    block = F.floor(F.col("seq") / width)
-    own = Window.partitionBy("_b").orderBy("seq")
-    sizes = new.groupBy(block.alias("_b")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    ranked = new.withColumn("_b", block).withColumn("_r", F.row_number().over(own)).join(before, "_b")
-    # one row
-    return ranked.join(F.broadcast(top)).withColumn("id", F.coalesce("top", F.lit(0)) + F.col("_before") + F.col("_r"))
+    met = keys.join(by_hash, ["user_id", "file_hash"], "left").join(by_name, ["user_id", "file_name", "file_size"], "left").select("seq", F.coalesce("id_hash", "id_name").alias("id"))
+    changed = met.where("id is not null").groupBy("id").agg(F.max("seq").alias("seq")).select("seq", "id", F.lit("updated").alias("change"))
+    placed = changed.unionByName(_numbered(met.where("id is null").select("seq"), docs).withColumn("change", F.lit("inserted")))
+    rest = [c for c in docs.columns if c != "id"]
+    kept = docs.join(changed.select("id"), "id", "left_anti").select("id", *rest, F.lit("kept").alias("change"))
+    return kept.unionByName(new.join(placed, "seq").select("id", *rest, "change"))
+
+
+def _numbered(new: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (seq, id): new ids by seq, from the greatest id held, which is one number for the driver."""
+    top = held.agg(F.max("id")).first()[0] or 0
+    return ranked(new, "seq").select("seq", (F.col("rank") + 1 + top).alias("id"))
 
 
 def dedup_keep_latest(docs: DataFrame) -> DataFrame:
@@ -152,10 +161,18 @@ def ensure_sessions(sessions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
-    """Messages with new ones (seq, session_id, user_id, role, content) added under new ids."""
-    top = messages.agg(F.max("id").alias("top"))
-    added = _numbered(new, top).select("id", "session_id", "user_id", "role", "content")
-    return messages.select("id", "session_id", "user_id", "role", "content").unionByName(added)
+    """Messages with new ones added under new ids, in the order of seq; all columns of the messages stay.
+
+    New rows have seq and any columns; a null or empty user is the default user.
+    """
+    new = new.withColumn("user_id", resolve_identity("user_id")).select("seq", *_whole(new, messages, {}))
+    return messages.unionByName(new.join(_numbered(new.select("seq"), messages), "seq").select(*messages.columns))
+
+
+def say(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages after new messages (with `at`, the time of the call): each makes sure of its session first."""
+    calls = new.select("session_id", resolve_identity("user_id").alias("user_id"), "at").where("session_id IS NOT NULL")
+    return ensure_sessions(sessions, calls), append_messages(messages, new)
 
 
 def rename_session(sessions: DataFrame, session_id: str, title: str, user_id: str | None = None) -> DataFrame:

@@ -50,7 +50,13 @@ def _ensure(sessions, messages):
     return out.select("session_id", "user_id", "title", store.stamp("created_at").alias("created_at"), store.stamp("updated_at").alias("updated_at"))
 
 
-_NEW_MESSAGES = lambda m: m.where("role = 'user'").select(F.col("id").alias("seq"), "session_id", "user_id", F.lit("assistant").alias("role"), F.concat(F.lit("re: "), "content").alias("content"))
+def _said(sessions, messages):
+    new = _NEW_MESSAGES(messages).withColumns({"session_id": F.concat("session_id", F.when(F.col("seq") % 2 == 0, "").otherwise("_n")), "at": F.expr("timestampadd(MINUTE, seq, timestamp_ntz'2024-02-01 00:00:00')")})
+    out, _ = store.say(sessions, messages, new)
+    return out.select("session_id", "user_id", "title", store.stamp("created_at").alias("created_at"), store.stamp("updated_at").alias("updated_at"))
+
+
+_NEW_MESSAGES = lambda m: m.where("role = 'user'").select(F.col("id").alias("seq"), "session_id", "user_id", F.lit("assistant").alias("role"), F.concat(F.lit("re: "), "content").alias("content"), F.lit("{}").alias("doc_result_json"))
 
 QUERIES = {
     "latest_by_hash": _on(docs_)(store.latest_by_hash),
@@ -63,10 +69,11 @@ QUERIES = {
     "session_listing": _on(sessions_, messages_)(store.session_listing),
     "last_doc_in_session": _on(messages_)(store.last_doc_in_session),
     "resolve_identity": _on(messages_)(_identity),
-    "upsert_documents": _on(docs_, new_)(store.upsert_documents),
+    "upsert_documents": _on(docs_, new_)(lambda d, n: store.upsert_documents(d, n).withColumn("created_at", store.stamp("created_at"))),
     "dedup_keep_latest": _on(docs_)(lambda d: store.dedup_keep_latest(d).select("id", "user_id", "file_name")),
     "ensure_session": _on(sessions_, messages_)(_ensure),
     "append_messages": _on(messages_)(lambda m: store.append_messages(m, _NEW_MESSAGES(m))),
+    "say_sessions": _on(sessions_, messages_)(_said),
     "rename_session": _on(sessions_)(lambda s: store.rename_session(s, "session_3", "Hợp đồng", "user_3").select("session_id", "title")),
     "auto_title": _on(messages_)(store.auto_titles),
     "delete_session": _on(sessions_, messages_)(_delete),
@@ -76,7 +83,8 @@ QUERIES = {
 }
 
 _CALLS = f"(SELECT session_id || CASE WHEN id % 2 = 0 THEN '' ELSE '_b' END AS session_id, user_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(id) AS seen FROM {M} WHERE role = 'user')"
-_FIELDS = "user_id, file_name, file_size, file_hash, category"
+_FIELDS = "user_id, file_name, file_path, file_size, file_type, file_hash, status, category, extracted_text, ocr_data_json"
+_ALL = "session_id, user_id, role, content, display_content, doc_result_json"
 
 ORACLES = {
     "latest_by_hash": f"SELECT user_id, file_hash, max(id) AS id, arg_max(file_name, id) AS file_name, arg_max(ocr_data_json, id) AS ocr_data_json, json_valid(arg_max(ocr_data_json, id)) AS is_json FROM {D} WHERE status = 'completed' AND file_hash <> '' GROUP BY user_id, file_hash",
@@ -94,13 +102,16 @@ SELECT ask_id, coalesce(i1, i2, i3, i4) AS id, CASE WHEN i1 IS NOT NULL THEN 'ow
     "upsert_documents": f"""WITH d AS {D}, n AS {I},
 m AS (SELECT n.*, coalesce((SELECT max(id) FROM d WHERE d.user_id = n.user_id AND d.file_hash = n.file_hash), (SELECT max(id) FROM d WHERE n.file_name <> '' AND n.file_size > 0 AND d.user_id = n.user_id AND d.file_name = n.file_name AND d.file_size = n.file_size)) AS id FROM n),
 u AS (SELECT * FROM m WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
-SELECT id, {_FIELDS}, 'kept' AS change FROM d WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT id, {_FIELDS}, 'updated' FROM u
-UNION ALL SELECT (SELECT max(id) FROM d) + row_number() OVER (ORDER BY seq), {_FIELDS}, 'inserted' FROM m WHERE id IS NULL""",
+SELECT id, {_FIELDS}, {TS.format('created_at')} AS created_at, 'kept' AS change FROM d WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT id, {_FIELDS}, {TS.format('created_at')}, 'updated' FROM u
+UNION ALL SELECT (SELECT max(id) FROM d) + row_number() OVER (ORDER BY seq), {_FIELDS}, {TS.format('created_at')}, 'inserted' FROM m WHERE id IS NULL""",
     "dedup_keep_latest": f"""WITH d AS {D}, a AS (SELECT * FROM d d1 WHERE NOT EXISTS (SELECT 1 FROM d d2 WHERE d1.user_id = d2.user_id AND d1.file_hash = d2.file_hash AND d1.id < d2.id))
 SELECT id, user_id, file_name FROM a a1 WHERE NOT EXISTS (SELECT 1 FROM a a2 WHERE a1.user_id = a2.user_id AND a1.file_name = a2.file_name AND a1.file_size = a2.file_size AND a1.id < a2.id)""",
     "ensure_session": f"""WITH x AS (SELECT session_id, user_id, title, created_at, updated_at AS seen, 0 AS seq FROM {S} UNION ALL SELECT session_id, user_id, 'New Chat', seen, seen, 1 FROM {_CALLS})
 SELECT session_id, arg_max(user_id, (seq, seen, user_id)) AS user_id, arg_min(title, (seq, seen, user_id)) AS title, {TS.format('arg_min(created_at, (seq, seen, user_id))')} AS created_at, {TS.format('arg_max(seen, (seq, seen, user_id))')} AS updated_at FROM x GROUP BY session_id""",
-    "append_messages": f"SELECT id, session_id, user_id, role, content FROM {M} UNION ALL SELECT (SELECT max(id) FROM {M}) + row_number() OVER (ORDER BY id), session_id, user_id, 'assistant', 're: ' || content FROM {M} WHERE role = 'user'",
+    "append_messages": f"SELECT id, {_ALL} FROM {M} UNION ALL SELECT (SELECT max(id) FROM {M}) + row_number() OVER (ORDER BY id), session_id, user_id, 'assistant', 're: ' || content, NULL, '{{}}' FROM {M} WHERE role = 'user'",
+    "say_sessions": f"""WITH c AS (SELECT session_id || CASE WHEN id % 2 = 0 THEN '' ELSE '_n' END AS session_id, user_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(id) AS seen FROM {M} WHERE role = 'user'),
+x AS (SELECT session_id, user_id, title, created_at, updated_at AS seen, 0 AS seq FROM {S} UNION ALL SELECT session_id, user_id, 'New Chat', seen, seen, 1 FROM c)
+SELECT session_id, arg_max(user_id, (seq, seen, user_id)) AS user_id, arg_min(title, (seq, seen, user_id)) AS title, {TS.format('arg_min(created_at, (seq, seen, user_id))')} AS created_at, {TS.format('arg_max(seen, (seq, seen, user_id))')} AS updated_at FROM x GROUP BY session_id""",
     "rename_session": f"SELECT session_id, CASE WHEN session_id = 'session_3' AND user_id = 'user_3' THEN 'Hợp đồng' ELSE title END AS title FROM {S}",
     "auto_title": f"SELECT session_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 40) || '...' ELSE t END AS title FROM (SELECT session_id, trim(replace(arg_min(coalesce(nullif(display_content, ''), content), id), '{store.MARK}', ''), ' ' || chr(10) || chr(9)) AS t FROM {M} GROUP BY session_id)",
     "delete_session": f"SELECT 'session' AS kind, session_id, CAST(NULL AS BIGINT) AS id FROM {S} WHERE user_id <> 'user_3' UNION ALL SELECT 'message', session_id, id FROM {M} WHERE session_id NOT IN (SELECT session_id FROM {S} WHERE user_id = 'user_3')",

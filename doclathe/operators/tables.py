@@ -1,10 +1,7 @@
-"""Tables: lines and tables from OCR boxes, Markdown, items and arithmetic checks."""
+"""Tables as matrices: Markdown, items and arithmetic checks."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +11,15 @@ from .text_queries import duck_amount
 
 HEADER = ("STT", "Tên hàng", "ĐVT", "Chưa thuế", "Thuế", "Thành tiền", "")
 
-
-_LINES = "(SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber FROM lineitem) l"
+#: Order lines, numbered anew so that no two of an order have one number.
+LINES = "(SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber FROM lineitem) l"
 
 
 def table_rows(d: fx.Dialect) -> str:
     """Rows of a table for each order: number, name, unit, price, tax, sum (wrong in places), and an empty column."""
     return f"""SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_linenumber AS string) AS c1, concat('Hàng ', CAST(l_partkey AS string), CASE WHEN l_linenumber % 4 = 3 THEN concat(chr(10), 'loại 2') ELSE '' END) AS c2,
   CASE WHEN l_suppkey % 2 = 0 THEN 'Cái' ELSE 'Bộ' END AS c3, CAST(1000 + l_partkey AS string) AS c4, CAST(100 + l_suppkey AS string) AS c5,
-  CAST(1100 + l_partkey + l_suppkey + CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN 50 ELSE 0 END AS string) AS c6, '' AS c7 FROM {_LINES}"""
-
-
-def boxes(d: fx.Dialect) -> str:
-    """Three OCR boxes for each order line, in rows 60 apart; every 20th is too unsure to be read."""
-    box = "SELECT l_orderkey AS id, 1 AS page, CAST({0} * 200 + 5 AS double) AS x, CAST(l_linenumber * 60 + l_partkey % 5 AS double) AS y, CAST(18 AS double) AS h, CASE WHEN (l_partkey + {0}) % 20 = 0 THEN CAST(0.10 AS double) ELSE CAST(50 + l_partkey % 50 AS double) / 100 END AS prob, concat({1}, '') AS text FROM {2}"
-    return " UNION ALL ".join(box.format(i, t, _LINES) for i, t in enumerate(("CAST(1000 + l_linenumber AS string)", "concat('P', CAST(l_partkey AS string))", "CAST(1000 + l_suppkey AS string)")))
+  CAST(1100 + l_partkey + l_suppkey + CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN 50 ELSE 0 END AS string) AS c6, '' AS c7 FROM {LINES}"""
 
 
 def matrices(rows: DataFrame) -> DataFrame:
@@ -97,8 +88,16 @@ def validation(tables: DataFrame, matrix: str = "matrix", out: str = "v") -> Dat
     tables = tables.withColumn(ordered, F.transform(numbered, lambda r: F.struct(r["i"].alias("i"), r["v"].alias("v"), F.array_sort(r["v"]).alias("s"))))
 
     def sums(v: Column, s: Column) -> Column:
-        low = F.slice(s, 1, F.size(s) - 1)
-        pair = F.exists(F.transform(low, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda a: F.exists(F.slice(low, a["i"] + 2, F.size(low)), lambda b: F.abs(a["a"] + b - F.element_at(s, -1)) <= 2))
+        """Two pointers over the sorted numbers below the greatest: each step moves one of them inwards."""
+        goal = F.element_at(s, -1)
+        begin = F.struct(F.lit(0).alias("i"), (F.size(s) - 2).alias("j"), F.lit(False).alias("met"))
+
+        def step(at: Column, _: Column) -> Column:
+            off = F.get(s, at["i"]) + F.get(s, at["j"]) - goal
+            met = at["met"] | ((at["i"] < at["j"]) & (F.abs(off) <= 2))
+            return F.struct((at["i"] + (off < 0).cast("int")).alias("i"), (at["j"] - (off >= 0).cast("int")).alias("j"), met.alias("met"))
+
+        pair = F.aggregate(F.slice(s, 1, F.size(s) - 2), begin, step, lambda at: at["met"])
         return pair | (F.abs(F.get(v, F.lit(0)) + F.get(v, F.lit(1)) - F.get(v, F.lit(2))) <= 2)
 
     kind = lambda v, s: F.when((F.size(v) >= 3) & sums(v, s), "ok").when(F.size(v) >= 3, "bad").when((F.size(v) == 2) & (F.abs(F.get(v, F.lit(0)) - F.get(v, F.lit(1))) <= 1), "ok").otherwise("none")
@@ -111,92 +110,6 @@ def validation(tables: DataFrame, matrix: str = "matrix", out: str = "v") -> Dat
     return tables.withColumn(out, verdict).drop(numbered, ordered, judgement)
 
 
-# Geometry: order-dependent, one document page at a time
-
-
-def _lines_of(page: pd.DataFrame) -> list[pd.DataFrame]:
-    """First fit: a box joins the first line whose mean centre is near enough, from top to bottom."""
-    made: list[list] = []
-    for b in page.sort_values(["y", "x"]).itertuples():
-        for line in made:
-            mean, tall = sum(x.y for x in line) / len(line), sum(x.h for x in line) / len(line)
-            if abs(b.y - mean) <= max(20.0, 0.45 * tall):
-                line.append(b)
-                break
-        else:
-            made.append([b])
-    return [pd.DataFrame(sorted(x, key=lambda b: b.x)) for x in made]
-
-
-def ocr_lines(boxes_: DataFrame, least: float = 0.15) -> DataFrame:
-    """Text lines of each page (id, page) from boxes (x, y, h, prob, text) of enough confidence; y is the centre."""
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        out = [(*key, i + 1, " ".join(x.text), float(x.prob.mean())) for i, x in enumerate(_lines_of(page))]
-        return pd.DataFrame(out, columns=["id", "page", "line", "text", "prob"])
-
-    got = boxes_.where(F.col("prob") >= least).groupBy("id", "page").applyInPandas(run, "id long, page int, line int, text string, prob double")
-    return got.withColumn("text", tx.clock_repair(F.col("text")))
-
-
-def _columns(xs: list[float], near: float) -> list[float]:
-    """Middles of the columns: sorted places that are near the mean of the column so far."""
-    made: list[list[float]] = []
-    for x in sorted(xs):
-        if made and abs(x - sum(made[-1]) / len(made[-1])) <= near:
-            made[-1].append(x)
-        else:
-            made.append([x])
-    return [(min(c) - 15 + max(c) + 60) / 2 for c in made]
-
-
-def spatial_table(boxes_: DataFrame, row_gap: float = 18.0, near: float = 60.0) -> DataFrame:
-    """Cells (id, page, row, col, text) of the table that a page's boxes form, if they form one.
-
-    Lines of three boxes, or of two with a number of three digits, show where the columns
-    are; then every box goes to the nearest column. Two such lines and two columns are needed.
-    """
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []
-        for b in page.sort_values(["y", "x"]).itertuples():
-            if lines and abs(b.y - lines[-1][0].y) <= row_gap:
-                lines[-1].append(b)
-            else:
-                lines.append([b])
-        shown = [x for x in lines if len(x) >= 3 or len(x) == 2 and any(re.search(r"\d{3,}", b.text) for b in x)]
-        cols = _columns([b.x for x in shown for b in x], near)
-        cells: dict[tuple[int, int], list[str]] = {}
-        if len(shown) >= 2 and len(cols) >= 2:
-            for r, line in enumerate(lines):
-                for b in sorted(line, key=lambda b: b.x):
-                    c = min(range(len(cols)), key=lambda i: abs(b.x - cols[i]))
-                    cells.setdefault((r, c), []).append(b.text)
-        return pd.DataFrame([(*key, r, c, " ".join(t)) for (r, c), t in cells.items()], columns=["id", "page", "row", "col", "text"])
-
-    return boxes_.groupBy("id", "page").applyInPandas(run, "id long, page int, row int, col int, text string")
-
-
-def native_table(spans: DataFrame) -> DataFrame:
-    """Cells of tables in native text spans, whose lines and columns are closer: 6 and 22 points."""
-    return spatial_table(spans, row_gap=6.0, near=22.0)
-
-
-def box_in_cell(boxes_: DataFrame, cells: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Text of each grid cell (id, page, row, col, x0, x1, y0, y1) from the boxes of its page whose point lies in it."""
-    b = boxes_.select("id", "page", "x", "y", "text")
-    inside = (F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1") + slack) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1") + slack)
-    met = cells.join(b, ["id", "page"]).where(inside)
-    return met.groupBy("id", "page", "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda t: t["text"]), " ").alias("text"))
-
-
-def _cells(boxes_: DataFrame) -> DataFrame:
-    top = boxes_.groupBy("id", "page").agg(F.max(F.floor(F.col("y") / 60)).alias("rows"))
-    rows = top.select("id", "page", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
-    grid = rows.select("id", "page", "row", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col"))
-    return grid.select("id", "page", "row", "col", (F.col("col") * 200.0).alias("x0"), (F.col("col") * 200.0 + 150).alias("x1"), (F.col("row") * 60.0 - 10).alias("y0"), (F.col("row") * 60.0 + 30).alias("y1"))
-
-
 def _q(fixture, f):
     return lambda spark, sf_dir: f(fx.rows(spark, sf_dir, fixture))
 
@@ -206,21 +119,12 @@ QUERIES = {
     "table_items": _q(table_rows, lambda d: items(matrices(d))),
     "table_items_strict": _q(table_rows, lambda d: items(matrices(d), strict=True)),
     "validate_financials": _q(table_rows, lambda d: validation(matrices(d)).select("id", "v.*")),
-    "ocr_lines": _q(boxes, lambda d: ocr_lines(d).select("id", "page", "line", "text", F.round("prob", 6).alias("prob"))),
-    "spatial_table": _q(boxes, lambda d: spatial_table(d.where("prob >= 0.15"))),
-    "native_table": _q(boxes, native_table),
-    "box_in_cell": _q(boxes, lambda d: box_in_cell(d.where("prob >= 0.15"), _cells(d.where("prob >= 0.15")))),
 }
 
-_T, _B = fx.duck(table_rows), fx.duck(boxes)
+_T = fx.duck(table_rows)
 _M = f"SELECT id, list_prepend([{', '.join(f"'{h}'" for h in HEADER)}], list([c1, c2, c3, c4, c5, c6, c7] ORDER BY n)) AS m FROM {_T} GROUP BY id"
 _ITEMS = f"""WITH m AS ({_M}), r AS (SELECT id, unnest(range(len(m))) * 2 AS pos, list_filter(list_transform(unnest(m), lambda x: replace(trim(x), chr(10), ' ')), lambda x: x <> '') AS c FROM m@more)
 SELECT id, CAST(pos AS INTEGER) AS pos, c[2] AS name, c[3] AS unit, {duck_amount('c[4]')} AS quantity, {duck_amount('c[5]')} AS price, CASE WHEN len(c) > 5 THEN {duck_amount('c[-1]')} END AS amount FROM r WHERE len(c) >= 4 AND NOT regexp_matches(lower(c[1]), 'stt|tên|item|cộng') AND NOT regexp_matches(lower(c[2]), 'tổng|cộng|thuế|vat')"""
-_SEEN = f"SELECT id, page, CAST(floor(y / 60) AS BIGINT) AS r, CAST(floor(x / 200) AS INTEGER) AS c, x, prob, text FROM {_B}"
-_SPATIAL = """WITH b AS ({0}), k AS (SELECT id, page, r, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT id, page FROM k WHERE n >= 2 GROUP BY ALL HAVING count(*) >= 2),
-cols AS (SELECT DISTINCT b.id, b.page, b.c FROM b JOIN k USING (id, page, r) WHERE k.n >= 2), nc AS (SELECT id, page, list(c ORDER BY c) AS cs FROM cols GROUP BY ALL HAVING count(*) >= 2),
-x AS (SELECT b.id, b.page, CAST(dense_rank() OVER (PARTITION BY b.id, b.page ORDER BY b.r) - 1 AS INTEGER) AS row, b.x, b.text, list_transform(cs, lambda q: (abs(b.x - (q * 200 + 5 + 22.5)), q)) AS ds FROM b JOIN g USING (id, page) JOIN nc USING (id, page))
-SELECT id, page, row, CAST(list_position(list_transform(ds, lambda q: q[1]), list_min(list_transform(ds, lambda q: q[1]))) - 1 AS INTEGER) AS col, string_agg(text, ' ' ORDER BY x) AS text FROM x GROUP BY ALL"""
 ORACLES = {
     "markdown_table": f"""WITH m AS ({_M}), t AS (SELECT id, list_transform(m, lambda r: list_transform(r, lambda x: replace(trim(x), chr(10), ' '))) AS m FROM m),
 w AS (SELECT id, m, list_filter(list_transform(range(1, 8), lambda c: [c, list_max(list_transform(m, lambda r: length(r[c])))]), lambda u: u[2] > 0) AS u FROM t)
@@ -231,8 +135,4 @@ SELECT id, '| ' || array_to_string(list_transform(u, lambda v: rpad(m[1][v[1]],
     "validate_financials": f"""WITH r AS (SELECT id, n, CASE WHEN regexp_matches(lower(concat_ws(' ', c1, c2, c3, c4, c5, c6)), 'stt') THEN [] ELSE list_filter([CASE WHEN n > 5 THEN CAST(n AS DOUBLE) END, CAST(regexp_extract(c2, 'Hàng ([0-9]+)', 1) AS DOUBLE), CASE WHEN contains(c2, 'loại 2') THEN 2.0 END, CAST(c4 AS DOUBLE), CAST(c5 AS DOUBLE), CAST(c6 AS DOUBLE)], lambda v: v > 0) END AS v FROM {_T}),
 k AS (SELECT id, n, len(list_filter(list_sort(v)[:-2], lambda a, i: len(list_filter(list_sort(v)[i + 1:-2], lambda b: abs(a + b - list_max(v)) <= 2)) > 0)) > 0 OR abs(v[1] + v[2] - v[3]) <= 2 AS ok FROM r)
 SELECT id, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'not_checkable' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'warning' ELSE 'pass' END AS status, CAST(count(*) FILTER (WHERE ok) AS INTEGER) AS checked, CASE WHEN count(*) FILTER (WHERE ok) > 0 THEN coalesce(string_agg(CAST(n AS VARCHAR), ';' ORDER BY n) FILTER (WHERE NOT ok), '') ELSE '' END AS issues FROM k GROUP BY id""",
-    "ocr_lines": f"SELECT id, page, CAST(dense_rank() OVER (PARTITION BY id, page ORDER BY r) AS INTEGER) AS line, string_agg(text, ' ' ORDER BY c) AS text, round(avg(prob), 6) AS prob FROM ({_SEEN}) WHERE prob >= 0.15 GROUP BY id, page, r",
-    "spatial_table": _SPATIAL.format(f"{_SEEN} WHERE prob >= 0.15"),
-    "native_table": _SPATIAL.format(_SEEN),
-    "box_in_cell": f"SELECT id, page, r AS row, c AS col, string_agg(text, ' ' ORDER BY x) AS text FROM ({_SEEN}) WHERE prob >= 0.15 GROUP BY id, page, r, c",
 }

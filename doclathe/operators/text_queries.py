@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..plans import fixtures as fx
@@ -87,19 +90,35 @@ def tokens(x: str) -> Column:
     return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays, row by row of the table."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
+def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance of two sequences of numbers: one row of the table at a time, each in a few vector steps.
+
+    What a cell may take from its left is the least of the cells before it, each one more for
+    every step: a running minimum once the steps are subtracted.
+    """
+    steps = np.arange(len(b) + 1)
+    row = steps
+    for x in a:
+        change = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], change]) - steps) + steps
+    return int(row[-1])
 
-    def row(prev: Column, w: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            change = F.get(prev, j - 1) + F.when(F.get(b, j - 1) == w, 0).otherwise(1)
-            return F.concat(cur, F.array(F.least(F.get(prev, j) + 1, F.get(cur, j - 1) + 1, change)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.get(prev, F.lit(0)) + 1), cell)
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        if len(x) < len(y):
+            x, y = y, x
+        codes: dict[str, int] = {}
+        return edit_distance(*(np.array([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64) for ws in (x, y)))
 
-    last = F.aggregate(a, first, row)
-    return F.when(F.size(b) == 0, F.size(a)).otherwise(F.get(last, F.size(b)))
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays of tokens; memory grows with the shorter one. Null arrays have none."""
+    return F.pandas_udf(_distances, T.IntegerType())(a, b)
 
 
 def error_rate(distance: Column, n_truth: Column, n_predicted: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from doclathe.functions import text as tx
 from doclathe.operators import reports
 
 
 def test_values_are_typed_or_null(spark):
     rows = spark.createDataFrame([(" 5/3/2024 ", "1.540.000"), ("", "none"), (None, None)], "d string, a string")
-    got = rows.select(reports.date_value(F.col("d")).alias("d"), reports.amount_value(F.col("a"), "text").alias("a")).collect()
+    got = rows.select(tx.date_value(F.col("d")).alias("d"), tx.amount_value(F.col("a"), "text").alias("a")).collect()
     assert (got[0].d.value, got[0].d.raw_value) == ("2024-03-05", "5/3/2024")
     assert (got[0].a.value, got[0].a.source) == (1540000.0, "text")
     assert [r.d for r in got[1:]] == [None, None] and [r.a for r in got[1:]] == [None, None]

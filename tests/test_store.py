@@ -51,12 +51,6 @@ def test_the_first_fitting_capital_line_is_the_recipient(spark):
     assert [r.ho_ten for r in extract.transfer(df).orderBy("id").collect()] == list(cases.values())
 
 
-def test_boxes_stay_on_their_page(spark):
-    boxes = spark.createDataFrame([(1, 1, 5.0, 5.0, "p1"), (1, 2, 5.0, 5.0, "p2")], "id long, page int, x double, y double, text string")
-    cells = spark.createDataFrame([(1, p, 0, 0, 0.0, 10.0, 0.0, 10.0) for p in (1, 2)], "id long, page int, row int, col int, x0 double, x1 double, y0 double, y1 double")
-    assert sorted((r.page, r.text) for r in tables.box_in_cell(boxes, cells).collect()) == [(1, "p1"), (2, "p2")]
-
-
 def test_empty_rows_go(spark):
     df = spark.createDataFrame([([["a", ""], ["", " \n"], [None], [], ["", "b"]],)], "m array<array<string>>")
     assert df.select(tables.without_empty_rows(F.col("m")).alias("m")).first().m == [["a", ""], ["", "b"]]
@@ -65,9 +59,3 @@ def test_empty_rows_go(spark):
 def test_each_pattern_meets_a_text_once(spark):
     plan = extract.invoice(fx.rows(spark, SF, fx.invoice_texts))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Tổng cộng tiền thanh toán") == 1
-
-
-def test_first_fit_lines(spark):
-    rows = [(1, 1, 10.0, 5.0, 18.0, 0.9, "b"), (1, 1, 0.0, 6.0, 18.0, 0.7, "a"), (1, 1, 0.0, 60.0, 18.0, 0.1, "noise"), (1, 1, 0.0, 90.0, 18.0, 0.5, "10:30~01/02/2024")]
-    df = spark.createDataFrame(rows, "id long, page int, x double, y double, h double, prob double, text string")
-    assert [(r.line, r.text) for r in tables.ocr_lines(df).orderBy("line").collect()] == [(1, "a b"), (2, "10:30 - 01/02/2024")]
