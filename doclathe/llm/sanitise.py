@@ -232,7 +232,8 @@ def disclosures(found: DataFrame, texts: DataFrame, total: int, support: int, ge
     pairs = stored(met.where((F.col("contexts") >= support) & F.col("term").isNotNull()).select("entity", "term", F.col("n").alias("both")), "pairs")
     entities = met.where("term IS NULL").select("entity", F.col("n").alias("n_entity"))
     counted = texts.mapInArrow(_frequencies(term_filter(pairs.select("term").distinct())), "term string, n long")
-    terms = attach(pairs.select("term").distinct(), counted.groupBy("term").agg(F.sum("n").alias("n_term")), ["term"])
+    counted = stored(counted.groupBy("term").agg(F.sum("n").alias("n_term")), "counted")
+    terms = attach(pairs.select("term").distinct(), counted, ["term"])
     known = attach(attach(pairs, stored(entities, "entities"), ["entity"]), stored(terms, "terms"), ["term"])
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     given = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
