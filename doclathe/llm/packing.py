@@ -207,8 +207,6 @@ def least_bins(counts: dict[int, int], size: int) -> int:
 def _search(left: Counter, bins: int, size: int, width: float, nodes: float, tries: float, children: float = 8) -> list[tuple[Filling, int]] | None:
     """The best solution of fewer than `bins` sequences that bin completion finds in `nodes` branches.
 
-    Without limits (all of them infinite) it is a least one, or none if there is no better.
-
     The longest piece left opens a sequence and its undominated fillings are the branches, each
     used as often as its pieces last, then half as often and once. Depth first; a branch goes
     if its waste so far excludes fewer sequences than the best solution.
@@ -266,6 +264,83 @@ def _search(left: Counter, bins: int, size: int, width: float, nodes: float, tri
     return best
 
 
+class _Spent(Exception):
+    """The steps of a search are used up."""
+
+
+def _completions(left: Counter, room: int, slack: int) -> Iterator[Filling]:
+    """Fillings of the room that waste at most `slack`, longest pieces first, made while they are asked for.
+
+    Which sums the pieces from a length on can make is known as bits, so a branch that can't
+    come to within `slack` of the room is cut where it begins. A filling goes if a free piece
+    fits beside it, or is dominated.
+    """
+    lengths = [x for x in sorted(left, reverse=True) if left[x] and x <= room]
+    whole = (1 << (room + 1)) - 1
+    sums = [1]
+    for x in reversed(lengths):
+        bits, n, step = sums[-1], min(left[x], room // x), 1
+        while n:  # as often as the pieces last, by doubling
+            k = min(step, n)
+            bits |= (bits << (x * k)) & whole
+            n, step = n - k, step * 2
+        sums.append(bits)
+    sums.reverse()
+
+    def reaches(i: int, r: int) -> bool:
+        low = max(0, r - slack)
+        return bool((sums[i] >> low) & ((1 << (r - low + 1)) - 1))
+
+    stack: list[tuple[int, int, Filling]] = [(0, room, ())]
+    while stack:
+        i, r, got = stack.pop()
+        if i == len(lengths):
+            used = dict(got)
+            if not any(left[x] > used.get(x, 0) for x in lengths if x <= r) and not _dominated(got, r, left):
+                yield got
+            continue
+        x = lengths[i]
+        for n in range(min(left[x], r // x) + 1):  # the greatest number is taken up first
+            if reaches(i + 1, r - n * x):
+                stack.append((i + 1, r - n * x, (*got, (x, n)) if n else got))
+
+
+def complete(counts: dict[int, int], bins: int, size: int, steps: int) -> list[Filling] | None:
+    """A packing into `bins` sequences, or None if there is none; _Spent if neither is known after `steps` fillings.
+
+    Depth first on the longest piece's completions. The slack that is left bounds each one's
+    waste, and what pieces were found not to fit so many sequences is remembered.
+    """
+    left, failed = Counter(counts), set()
+
+    def solve(bins: int) -> list[Filling] | None:
+        nonlocal steps
+        now = +left
+        if not now:
+            return []
+        slack = bins * size - sum(x * n for x, n in now.items())
+        state = (bins, tuple(sorted(now.items())))
+        if slack < 0 or state in failed or least_bins(now, size) > bins:
+            return None
+        x = max(now)
+        left[x] -= 1
+        for f in _completions(left, size - x, slack):
+            steps -= 1
+            if steps < 0:
+                raise _Spent
+            left.subtract(dict(f))
+            rest = solve(bins - 1)
+            left.update(dict(f))
+            if rest is not None:
+                left[x] += 1
+                return [tuple(sorted({**dict(f), x: dict(f).get(x, 0) + 1}.items(), reverse=True)), *rest]
+        left[x] += 1
+        failed.add(state)
+        return None
+
+    return solve(bins)
+
+
 def _often(left: Counter, filling: Filling) -> int:
     return min(left[x] // n for x, n in filling)
 
@@ -276,15 +351,16 @@ def _longest(left: Counter, order: list[int], i: int) -> int:
     return i
 
 
-def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int = 4, tries: int = 60, exact: int = 24) -> list[tuple[Filling, int]]:
+def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int = 4, tries: int = 60, steps: int = 3000, deep: int = 300) -> list[tuple[Filling, int]]:
     """Sequences as (pieces by length, how often), from how many pieces there are of each length.
 
     The first solution is best-fit. Then its sequences are opened again and packed by bin
     completion: some of the last or of the most wasteful ones, then more, in the end all.
     Each search may take several times the branches that one solution needs, so that it
     always goes on after a first one. It ends at the lower bound, or when nothing is gained.
-    Up to `exact` pieces are searched without limits, so that the plan is a least one; beyond
-    it may not be. Its input has at most `size` rows, so its work doesn't grow with the documents.
+    What is then still above the bound, with up to `deep` sequences, is searched for one fewer,
+    and so on, in up to `steps` fillings: either the plan is proved to be a least one, or the
+    steps are used up. Its input has at most `size` rows, so its work doesn't grow with the documents.
     """
     left = Counter({x: n for x, n in counts.items() if n})
     order = sorted(left, reverse=True)
@@ -299,9 +375,6 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int
         i = _longest(left, order, i)
     waste = lambda step: size - sum(x * n for x, n in step[0])
     k, bins = 8, sum(t for _, t in best)
-    if sum(counts.values()) <= exact and bins > bound:
-        free = float("inf")
-        return _search(Counter(counts), bins, size, free, free, free, free) or best
     while bins > bound:
         gained = False
         for places in (range(len(best))[-k:], sorted(range(len(best)), key=lambda j: waste(best[j]))[-k:]):
@@ -320,6 +393,14 @@ def plan(counts: dict[int, int], size: int = 2048, width: int = 3, descents: int
             if k >= len(best):
                 break
             k *= 4
+    try:
+        while bound < bins <= deep:
+            fewer = complete({x: n for x, n in counts.items() if n}, bins - 1, size, steps)
+            if fewer is None:
+                break
+            best, bins = [(f, 1) for f in fewer], bins - 1
+    except _Spent:
+        pass
     return best
 
 

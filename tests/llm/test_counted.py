@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -112,6 +113,35 @@ def test_plan_goes_on_after_best_fit_on_many_lengths():
     assert packing.least_bins(counts, 2048) <= sum(t for _, t in steps) < first
 
 
+def test_small_inputs_are_planned_in_time():
+    rng = random.Random(12)
+    for k in range(200):
+        low, high = [(150, 190), (170, 200), (300, 378), (100, 1000), (300, 1100)][k % 5]
+        lengths = [rng.randint(low, high) for _ in range(rng.choice([8, 12, 24 if k % 2 else 4096 // ((low + high) // 2)]))]
+        if k % 5 < 3:  # a sum of exactly two sequences, where the last piece can make it
+            last = 4096 - sum(lengths[1:])
+            lengths[0] = last if 0 < last <= 2048 else lengths[0]
+        began = time.time()
+        steps = packing.plan(Counter(lengths))
+        assert time.time() - began < 2
+        used = Counter()
+        for f, n in steps:
+            assert sum(x * m for x, m in f) <= 2048
+            used.update({x: m * n for x, m in f})
+        assert used == Counter(lengths)
+
+
+def test_completions_are_searched_whole():
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        fewest = sum(t for _, t in packing.plan(Counter(items), 20))
+        assert len(packing.complete(Counter(items), fewest, 20, 10_000)) == fewest
+        assert packing.complete(Counter(items), fewest - 1, 20, 10_000) is None
+    with pytest.raises(packing._Spent):
+        packing.complete(Counter(range(100, 200)), 8, 2048, 3)
+
+
 def test_pack_is_gapless(spark):
     got = packing.pack(with_clashes(packing.pieces(with_clashes(docs_of(spark, ODD)), packing.word_tokenizer(), 64)), 64).toPandas()
     tok = packing._tokenizer(packing.word_tokenizer())
