@@ -144,14 +144,14 @@ _KINDS: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame],
 }
 
 
-def record(docs: DataFrame, kind: str) -> DataFrame:
-    """Rows (id, data): the record of a kind, of the type RECORDS declares, from text and tables.
+def record(docs: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """Rows (id, data) and the columns to keep: the record of a kind, of the type RECORDS declares, from text and tables.
 
     Text that isn't found is empty, numbers that aren't are null, as stored records have it.
     """
     fields, data = _KINDS[kind]
     d = fields(with_rows(docs))
-    return d.select("id", data(d).cast(sc.RECORDS[kind]).alias("data"))
+    return d.select("id", *keep, data(d).cast(sc.RECORDS[kind]).alias("data"))
 
 
 def legacy(data: Column, kind: str) -> Column:
