@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import schemas as sc
 from ..functions import text as tx
 from ..plans import fixtures as fx
 from . import classify, summary
@@ -27,11 +28,11 @@ RESULT, KIND, TYPE, SOURCE, METHOD = "=== KẾT QUẢ TRÍCH XUẤT TÀI LIỆU:
 TEXT_PART, TABLE_PART = "--- NỘI DUNG VĂN BẢN ĐỌC ĐƯỢC ---", "--- CẤU TRÚC BẢNG TRÍCH XUẤT ---"
 
 
-def reuse_cached(new: DataFrame, docs: DataFrame, schema: str) -> DataFrame:
+def reuse_cached(new: DataFrame, docs: DataFrame, schema: str = sc.DOC_RESULT) -> DataFrame:
     """New files (seq, user_id, file_hash, file_path, file_name) that a stored document answers, with its result.
 
     The latest completed document of the user with that hash counts, if its JSON is valid. The
-    result, of the schema given, takes hash, path, name and category of the new file.
+    result, a DOC_RESULT unless another schema is given, takes hash, path, name and category of the new file.
     """
     kept = docs.where((F.col("status") == "completed") & F.col("file_hash").isNotNull())
     last = kept.groupBy("user_id", "file_hash").agg(F.max_by(F.struct("id", "ocr_data_json", F.col("category").alias("stored")), "id").alias("hit"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +31,32 @@ def matrices(rows: DataFrame) -> DataFrame:
     return got.select("id", F.concat(F.array(F.array(*[F.lit(h) for h in HEADER])), F.transform("rs", lambda r: r["cells"])).alias("matrix"))
 
 
-def markdown(tables: DataFrame, matrix: str = "matrix", out: str = "markdown") -> DataFrame:
-    """Adds `out`: a matrix as a Markdown table, ragged rows filled, empty columns dropped, columns padded.
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is made once: as the one element of an array."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    Tidy cells and the columns' widths are made once, each in its own projection.
-    """
+
+def markdown_text(matrix: Column) -> Column:
+    """A matrix as a Markdown table: ragged rows filled, empty columns dropped, columns padded. Null without rows."""
     at = lambda r, c: F.coalesce(F.get(r, c), F.lit(""))
-    tidied, widths = f"_{out}_tidy", f"_{out}_used"
-    tables = tables.withColumn(tidied, F.transform(matrix, lambda r: F.transform(r, lambda x: F.replace(tx.strip(x), F.lit("\n"), F.lit(" ")))))
-    tidy = F.col(tidied)
-    n = F.array_max(F.transform(tidy, lambda r: F.size(r)))
-    # widths: -1 for a column that is empty throughout
-    width = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.array_max(F.transform(tidy, lambda r: F.length(at(r, c)))))
-    used = F.filter(F.transform(width, lambda w, c: F.struct(c.alias("c"), F.greatest(w, F.lit(3)).alias("w"), (w > 0).alias("used"))), lambda u: u["used"])
-    tables = tables.withColumn(widths, used)
-    used = F.col(widths)
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.rpad(at(r, u["c"]), u["w"], F.lit(" "))), " | "), F.lit(" |"))
-    bar = F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.repeat(F.lit("-"), u["w"])), " | "), F.lit(" |"))
-    text = F.array_join(F.concat(F.array(line(F.get(tidy, F.lit(0)))), F.array(bar), F.transform(F.slice(tidy, 2, F.greatest(F.size(tidy) - 1, F.lit(0))), line)), "\n")
-    return tables.withColumn(out, text).drop(tidied, widths)
+    tidy = F.transform(matrix, lambda r: F.transform(r, lambda x: F.replace(tx.strip(x), F.lit("\n"), F.lit(" "))))
+
+    def columns(t: Column) -> Column:
+        n = F.array_max(F.transform(t, F.size))
+        width = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.array_max(F.transform(t, lambda r: F.length(at(r, c)))))
+        return F.filter(F.transform(width, lambda w, c: F.struct(c.alias("c"), F.greatest(w, F.lit(3)).alias("w"), (w > 0).alias("used"))), lambda u: u["used"])
+
+    def written(t: Column, used: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.rpad(at(r, u["c"]), u["w"], F.lit(" "))), " | "), F.lit(" |"))
+        bar = F.concat(F.lit("| "), F.array_join(F.transform(used, lambda u: F.repeat(F.lit("-"), u["w"])), " | "), F.lit(" |"))
+        return F.array_join(F.concat(F.array(line(F.get(t, F.lit(0)))), F.array(bar), F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), line)), "\n")
+
+    return bound(tidy, lambda t: bound(columns(t), lambda used: written(t, used)))
+
+
+def markdown(tables: DataFrame, matrix: str = "matrix", out: str = "markdown") -> DataFrame:
+    """Adds `out`: a matrix as a Markdown table (see markdown_text)."""
+    return tables.withColumn(out, markdown_text(F.col(matrix)))
 
 
 def without_empty_rows(matrix: Column) -> Column:

@@ -27,6 +27,8 @@ def test_the_latest_result_of_a_user_is_reused_under_the_new_name(spark):
     assert (got.seq, got.cached_id) == (7, 2)
     assert got.result.asDict() == {"k": 2, "category": "khac", "file_hash": "h", "file_path": "/a", "original_filename": "a.txt"}
     assert reports.reuse_cached(new.limit(0), docs, "k long").count() == 0
+    typed = reports.reuse_cached(new, docs).first().result
+    assert (typed.original_filename, typed.category, typed.tables, typed.full_text) == ("a.txt", "khac", None, None)
 
 
 def test_evaluations_without_lines_or_truth(spark):
