@@ -103,6 +103,52 @@ def test_wordings_are_found_and_differences_named(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def slow_differences(want, have):
+    row = list(range(len(have) + 1))
+    for i, w in enumerate(want, 1):
+        row, before = [i], row
+        for j, h in enumerate(have):
+            row.append(before[j] if w == h else min(before[j + 1], row[j]) + 1)
+    return row[-1]
+
+
+def test_no_block_is_missed_by_brute_force():
+    rng = random.Random(17)
+    templates = [("one", "released under the mit license"), ("two", "licensed under cc by nc 4 0"), ("three", "use of this source code is governed by a style license")]
+    scanner = license_scan.Scanner(templates)
+    assert scanner.slack == {"one": 1, "two": 1, "three": 2}
+    words = sorted({w for _, t in templates for w in t.split()}) + ["x", "y"]
+    hits = 0
+    for _ in range(400):
+        ws = [rng.choice(words) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(own) + 1)
+                own[k : k + rng.randint(0, 1)] = [rng.choice(words)] if rng.random() < 0.5 else []
+            ws += own + [rng.choice(words) for _ in range(rng.randint(0, 4))]
+        got = scanner.scan(" ".join(ws))
+        for name, start, n, _, missing, added in got:
+            want = scanner.words[name]
+            assert slow_differences(want, ws[start : start + n]) == len(missing) + len(added) <= scanner.slack[name]
+        assert all(a[1] + a[2] <= b[1] for a, b in zip(got, got[1:]))
+        for name, want in scanner.words.items():
+            for a in range(len(ws)):
+                for b in range(a + 1, min(len(ws), a + len(want) + scanner.slack[name]) + 1):
+                    if slow_differences(want, ws[a:b]) <= scanner.slack[name]:
+                        hits += 1
+                        assert any(s < b and a < s + n for _, s, n, *_ in got), (ws, name, a, b, got)
+    assert hits > 300
+
+
+def test_whole_licences_with_changes():
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    text = dict(license_scan.TEMPLATES)["MIT (text)"]
+    (found,) = s.scan("Copyright 2024 A. " + text.replace("free of charge, ", "").replace("AUTHORS", "WRITERS AND AUTHORS") + " end")
+    assert (found[0], found[1], found[4], found[5]) == ("MIT (text)", 3, ["free", "of", "charge"], ["writers", "and"])
+    assert [x[0] for x in s.scan("Released under MIT License.")] == ["MIT"]
+
+
 def test_each_template_saves_most_on_itself():
     s = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES:
