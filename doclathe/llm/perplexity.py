@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +27,9 @@ POINTS = 0x110000
 SLICE = 1 << 20
 #: Most rows of a model that is sent to every executor, 36 bytes each; larger ones are joined.
 MODEL_ROWS = 200_000
-#: Bytes of text, about, that ask together for what they need of a model that is joined.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text, about, that ask together for what they need of a model that is joined, and
+#: that are compressed together.
+BLOCK_BYTES, BLOB_BYTES = 64 << 20, 1 << 20
 #: Kinds of a model's rows: the order of an n-gram of code points with its probability, WORD
 #: of a word with its own share, and WEIGHT + kind of a context with its weight of the lower order.
 WORD, WEIGHT = 4, 10
@@ -75,7 +80,12 @@ def _words(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """(number, first code point) of each word of the stretches; words are numbered by a hash of 64 bits."""
     words = [w for _, t in own for w in WORDS.findall(t, 2)]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return pd.util.hash_array(np.array(words, object)).view(np.int64), np.cumsum(sizes) - sizes
+    codes, known_ = pd.factorize(np.array(words, object))
+    return _hashed(known_)[codes], np.cumsum(sizes) - sizes
+
+
+def _hashed(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(words, categorize=False).view(np.int64)
 
 
 def _joined(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +221,7 @@ def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: S
     for own in _stretches(texts):
         whose, grams = _joined(own)
         words, begin = _words(own)
-        u, at = np.unique(grams, return_inverse=True)
+        at, u = pd.factorize(grams)
         n += np.bincount(whose, minlength=len(texts))
         whose = whose[begin]
         say = lambda model: model.log_word(words, np.add.reduceat(model.log_p(u)[at], begin))  # noqa: B023, E731
@@ -228,7 +238,7 @@ _SCORES = T.StructType([T.StructField("perplexity", T.DoubleType()), T.StructFie
 
 
 def score(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """Adds the struct `score` to rows with text and fold: perplexities by code point of each whole text.
+    """The struct `score` in place of the text of rows with text and fold: perplexities by code point of each whole text.
 
     A model of at most MODEL_ROWS rows is sent to the executors. A larger one is joined with
     what blocks of texts ask of it, with the same results.
@@ -241,26 +251,54 @@ def score(docs: DataFrame, models: DataFrame) -> DataFrame:
     def run(text: pd.Series, fold: pd.Series) -> pd.DataFrame:
         return perplexities(held.value, text.tolist(), fold.tolist())
 
-    return docs.withColumn("score", run("text", "fold"))
+    return docs.withColumn("score", run("text", "fold")).drop("text")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as compressed blobs of some BLOB_BYTES, numbered by blocks of some BLOCK_BYTES within the task."""
+    block, size, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        sizes = pc.coalesce(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        blob = np.cumsum(sizes) // BLOB_BYTES
+        for begin in np.flatnonzero(np.diff(blob, prepend=-1)).tolist():
+            end = int(np.searchsorted(blob, blob[begin], "right"))
+            if size and size + sizes[begin:end].sum() > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += int(sizes[begin:end].sum())
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, batch.schema) as w:
+                w.write_batch(batch.slice(begin, end - begin))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([squeeze.compress(out.getvalue())], pa.binary())], names=["block", "blob"])
+
+
+def _rows(blobs: Iterable[bytes]) -> Iterator[pd.DataFrame]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(zstandard.decompress(blob)).read_pandas()
 
 
 def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """score by sharded joins: texts of about BLOCK_BYTES, dealt by a hash of their rows, ask for each row of the model once."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64(*docs.columns), F.lit(size // BLOCK_BYTES + 1))
+    """score by sharded joins: each block of texts asks for each row of the model once.
+
+    Blocks are made where the rows are read, as compressed blobs that are shuffled once; a
+    task holds what a block knows of the model and a blob's texts at a time.
+    """
     # both uses group these rows whole, so that their one shuffle is used twice
-    placed = docs.withColumn("_block", block).repartition("_block")
+    placed = docs.mapInArrow(_blocks, "block long, blob binary").repartition("block")
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         kinds: dict[int, list[np.ndarray]] = {}
-        for some in _stretches([t or "" for t in rows.text]):
-            for kind, keys in _asked(np.unique(_joined(some)[1]), _words(some)[0]):
-                kinds.setdefault(kind, []).append(keys)
+        for frame in _rows(rows.blob):
+            for some in _stretches([t or "" for t in frame.text]):
+                spoken = {w for _, t in some for w in WORDS.findall(t, 2)}
+                for kind, keys in _asked(pd.unique(_joined(some)[1]), _hashed(np.array(list(spoken), object))):
+                    kinds.setdefault(kind, []).append(keys)
+            if len(kinds.get(WORD, ())) > 16:
+                kinds = {k: [np.unique(np.concatenate(v))] for k, v in kinds.items()}
         own = {kind: np.unique(np.concatenate(keys)) for kind, keys in kinds.items()}
-        parts = [pd.DataFrame({"block": rows._block.iloc[0], "kind": kind, "key": keys}) for kind, keys in own.items()]
+        parts = [pd.DataFrame({"block": rows.block.iloc[0], "kind": kind, "key": keys}) for kind, keys in own.items()]
         return pd.concat(parts) if parts else pd.DataFrame({"block": [], "kind": [], "key": []})
 
-    asked = placed.groupBy("_block").applyInPandas(ask, "block long, kind int, key long")
+    asked = placed.groupBy("block").applyInPandas(ask, "block long, kind int, key long")
     found = asked.join(models, ["kind", "key"])
     there = models.agg(*[F.count(f"v{m}") for m in range(3)]).first()
     present = {m for m in range(3) if there[m]}
@@ -268,12 +306,15 @@ def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
     def answer(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own = known(got)
         own |= {m: Known(np.empty(0), np.empty(0), np.empty(0)) for m in present if m not in own}
-        rows = rows.reset_index(drop=True)
-        return rows.drop(columns="_block").join(perplexities(own, rows.text.tolist(), rows.fold.tolist()))
-
-    schema = T.StructType([*docs.schema.fields, *_SCORES.fields])
-    out = placed.groupBy("_block").cogroup(found.groupBy("block")).applyInPandas(answer, schema)
-    return out.select(*docs.columns, F.struct(*_SCORES.names).alias("score"))
+        out = []
+        for frame in _rows(rows.blob):
+            scored = perplexities(own, frame.text.tolist(), frame.fold.tolist())
+            out.append(frame.drop(columns="text").join(scored))
+        return pd.concat(out)
+
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    out = placed.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(answer, T.StructType([*kept, *_SCORES.fields]))
+    return out.select(*[f.name for f in kept], F.struct(*_SCORES.names).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
