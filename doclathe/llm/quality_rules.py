@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, begin, packed, bounded_batches, table
+from ._shared import attach, begin, bounded_batches, packed, stored, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -74,11 +74,14 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """Features and verdict of each document (doc_id, text, `host`), one row for each input row.
 
-    Null and empty texts have no words and fail. Repeated rows each count for their host.
+    Texts are looked at once: their five numbers are written, and both the hosts' verdicts and
+    the documents' are made of them. Null and empty texts have no words and fail; a null host is
+    one; repeated rows each count for their host; no rows give none; long texts are taken whole;
+    other columns of any name don't matter.
     """
-    rows = docs.select("doc_id", F.col(host).alias("host"), text_features("text").alias("f")).withColumn("failed", failed("f"))
-    hosts = host_verdicts(rows, limit)
-    return attach(rows, hosts.select("host", "host_rejected"), ["host"]).select(
+    rows = stored(docs.select("doc_id", F.col(host).alias("host"), text_features("text").alias("f")).withColumn("failed", failed("f")), "features")
+    hosts = stored(host_verdicts(rows, limit).select("host", "host_rejected"), "hosts")
+    return attach(rows, hosts, ["host"]).select(
         "doc_id", "host", *[f"f.{x}" for x in NAMES], F.col("failed").alias("base_failed"), (~F.col("failed") & ~F.col("host_rejected")).alias("kept")
     )
 
@@ -91,6 +94,7 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdicts of all `documents`, their source being the host."""
     bounded_batches(spark)
     return judge(table(spark, sf_dir, "documents")).drop("host")
 
