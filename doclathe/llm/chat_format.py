@@ -66,7 +66,8 @@ def format_chats(rows: DataFrame, template: dict[str, Marks] = TEMPLATE, order:
     """Each conversation's segments (text, loss), their concatenation, and its verdict.
 
     valid_order: every turn may follow the one before; complete: and the last is trained on.
-    Conversations out of order are formatted all the same, so that the caller decides.
+    Conversations out of order are formatted all the same, so that the caller decides. No rows
+    give none; nulls, ties and repeated rows are as `conversations` says; other columns don't matter.
     Returns conv_id, segments, formatted, valid_order, complete.
     """
     step = F.create_map(*[F.lit(x) for a, after in order.items() for b in after for x in (f"{a}>{b}", b)])
@@ -114,6 +115,7 @@ def parse_chat(formatted: Column, template: dict[str, Marks] = TEMPLATE) -> Colu
 
 
 def op5_role_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -1, formatted and read back."""
     hard = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), (F.col("id") + 1).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

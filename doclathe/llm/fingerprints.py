@@ -100,6 +100,7 @@ def _below(cuts: list[float], key: Column) -> Column:
 
 
 def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all `documents`, of their edited texts, and their likeness to these and to the next document."""
     rows = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     changed = F.floor(n / 3).cast("int")

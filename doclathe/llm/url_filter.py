@@ -85,7 +85,9 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, hand=HAND_RULES, **mining)
 
     A hand-written rule decides, the longest first; else the surest mined rule that fits
     blocks; else the page is allowed. Null URLs and those without :// have no host, path or
-    token and are allowed. Returns page_id, host, path, rule, verdict, mined, confidence.
+    token and are allowed. Of equally sure rules the one of fewer tokens counts, then the last by
+    name; rows alike are judged alike; no pages give no rows, and no labels no mined rules; long
+    URLs are read whole; other columns of any name don't matter. Returns page_id, host, path, rule, verdict, mined, confidence.
     """
     rows = pages.select("page_id", "url")
     found = match_rules(rows, mine_rules(labelled, **mining))
@@ -97,6 +99,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, hand=HAND_RULES, **mining)
 
 
 def op6_fp_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every url of `pages`, rules being mined from pages whose id has a label."""
     pages = table(spark, sf_dir, "pages")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad"))
