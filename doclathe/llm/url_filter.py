@@ -35,22 +35,34 @@ def mine_rules(labelled: DataFrame, support: float = 0.002, least: int = 5, conf
 
     FP-growth finds the token sets that hold in at least `support` of the rows and in `least`
     rows, with and without the label; a rule's confidence is the share that is bad among its
-    rows. A rule goes if dropping one token leaves a rule of no less confidence. No labelled
-    row, or none that is bad: no rules.
+    rows. A rule goes if dropping one token leaves a rule of no less confidence. Tokens that
+    stand in just the same rows are mined as one, and each of them makes the rules that it
+    stands for: a URL of n tokens that is all there is of its kind would have 2**n sets
+    otherwise. Null URLs don't count; repeated rows each count; no labelled row, or none that
+    is bad: no rules.
     """
     spark = labelled.sparkSession
-    items = labelled.where("url is not null").select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    items = cut(items.where(F.size("items") > 0))
-    n = items.count()
+    rows = labelled.where("url is not null").select(url_tokens(F.col("url")).alias("own"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    rows = cut(rows.where(F.col("bad") | (F.size("own") > 0)).withColumn("row", F.monotonically_increasing_id()))
+    n = rows.count()
     if not n:
         return spark.createDataFrame([], "tokens array<string>, confidence double, n long")
+    entries = rows.select("row", F.explode("own").alias("token"))
+    where = entries.groupBy("token").agg(F.struct(F.count("*"), F.expr("bit_xor(xxhash64(row))"), F.expr("bit_xor(xxhash64(row, 1))")).alias("where"))
+    alike = cut(where.groupBy("where").agg(F.array_sort(F.collect_list("token")).alias("alike")).select(F.get("alike", F.lit(0)).alias("item"), "alike"))
+    items = entries.join(alike.select("item", F.explode("alike").alias("token")), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    items = rows.select("row", "bad").join(items, "row", "left")
+    items = cut(items.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
     sets = cut(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items).freqItemsets)
     without = F.array_sort(F.array_remove("items", BAD))
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(without.alias("tokens"), F.col("freq").alias("n_bad"))
     rules = cut(bad.join(sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "tokens").select("tokens", (F.col("n_bad") / F.col("n")).alias("confidence"), "n").where(F.col("confidence") >= confidence))
     shorter = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("x")).select(F.col("tokens").alias("long"), F.col("confidence").alias("c"), F.array_remove("tokens", F.col("x")).alias("tokens"))
     worse = shorter.join(rules, "tokens").where(F.col("confidence") >= F.col("c")).select(F.col("long").alias("tokens")).distinct()
-    return cut(rules.join(worse, "tokens", "left_anti"))
+    kept = rules.join(worse, "tokens", "left_anti")
+    ways = kept.select("tokens", "confidence", "n", F.explode("tokens").alias("item")).join(alike, "item").groupBy("tokens", "confidence", "n").agg(F.collect_list("alike").alias("ways"))
+    each = F.aggregate("ways", F.array(F.array().cast("array<string>")), lambda made, way: F.flatten(F.transform(made, lambda m: F.transform(way, lambda t: F.concat(m, F.array(t))))))
+    return cut(ways.select(F.explode(each).alias("tokens"), "confidence", "n").withColumn("tokens", F.array_sort("tokens")))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

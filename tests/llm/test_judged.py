@@ -64,6 +64,14 @@ def test_rules_by_brute_force(spark):
     assert {tuple(sorted(r.tokens)): pytest.approx(r.confidence) for r in got} == want and want
 
 
+def test_tokens_that_go_together_are_mined_as_one(spark):
+    long_url = "http://" + ".".join(f"h{i}" for i in range(20)) + "/" + "/".join(f"p{i}" for i in range(20))
+    rows = [(long_url, True)] * 6 + [("http://a.b/x", i % 2 == 0) for i in range(12)] + [("http://a.b/y?k=1", True)] * 5 + [(None, True), ("http://c.d/" + "z" * 50_000, False)]
+    got = {tuple(r.tokens): (r.confidence, r.n) for r in url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.01, 5, 0.6).collect()}
+    assert got[("h:h3",)] == got[("p:p19",)] == (1.0, 6) and got[("p:y",)] == got[("q:k",)] == (1.0, 5)
+    assert len(got) == 44 and got[("h:a",)] == (pytest.approx(11 / 17), 17)
+
+
 def test_verdicts_by_brute_force(spark):
     rows = labelled_urls()
     rules = slow_rules(rows, 0.01, 5, 0.6)
