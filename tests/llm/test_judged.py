@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_sf import SF
 from pyspark.sql import functions as F
@@ -256,6 +257,23 @@ def test_a_large_model_is_joined_with_the_same_results(spark, monkeypatch):
     assert rows() == want and len(want) == docs.count()
 
 
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(perplexity, "TaskContext", Task)
+    monkeypatch.setattr(perplexity, "BLOB_BYTES", 50)
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 120)
+    texts = ["a" * n for n in (0, 10, 49, 1, 1, 300, 0, 0, 70, 20)] + [None, "é" * 30]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + len(t))), "text": pa.array(t, pa.string())}) for k, t in ((0, texts[:7]), (7, texts[7:]), (12, []))]
+    out = [b.to_pylist()[0] for b in perplexity._blocks(iter(batches))]
+    frames = list(perplexity._rows(x["blob"] for x in out))
+    assert [i for f in frames for i in f.doc_id] == list(range(12)) and [t for f in frames for t in f.text] == texts
+    blocks = [x["block"] for x in out]
+    assert blocks == sorted(blocks) and blocks[0] == 3 << 32 and len(set(blocks)) > 3
+
+
 def test_junk_is_told_from_trusted_text(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     held = F.col("doc_id") % 2 == 0
