@@ -144,3 +144,21 @@ def test_new_ids_need_no_window_over_all_rows(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.id, r.content, r.user_id) for r in out.orderBy("id").collect()][1:] == [(6 + i, str(i), "default_user") for i in range(50)]
     assert out.where("id = 5").first().display_content == "shown"
+
+
+def test_numbers_in_json_have_no_exponent(spark):
+    values = [1.83595e7, -2.5e8, 1.5e20, 1e21, 1.5e22, 1e-5, 1.23e-4, 1.5e-7, 12.5, 9999999.0, 1234567890123456.7, None]
+    texts = ['1.0E7 "x" \\ 2E9', "", None]
+    df = spark.createDataFrame([([(t, v) for t in texts for v in values],)], "a array<struct<t: string, v: double>>")
+    json_text = df.select(F.to_json("a", {"ignoreNullFields": "false"}).alias("j"))
+    got = json_text.select(tx.plain_numbers(F.col("j"))).first()[0]
+    assert [(x["t"], x["v"]) for x in json.loads(got)] == [(t, v) for t in texts for v in values]
+    assert [x.split("}")[0] for x in got.split('"v":')[1:13]] == ["18359500.0", "-250000000.0", "150000000000000000000.0", "1e21", "1.5e22", "0.00001", "0.000123", "1.5e-7", "12.5", "9999999.0", "1234567890123456.8", "null"]
+
+
+def test_large_amounts_of_records_and_payloads(spark):
+    matrix = [["STT", "Tên hàng", "ĐVT", "SL", "Giá", "Tiền"], ["1", "Bàn 1.0E7", "Cái", "2", "1.000", "18359.500"]]
+    for kind in ("invoice", "contract"):
+        out = one(spark, TEXT, [matrix], kind)
+        for said in (records._json(out, "data").first().data, records.payload(out, kind).first().payload):
+            assert '"thanh_tien":18359500.0' in said and "Bàn 1.0E7" in said
