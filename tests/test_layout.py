@@ -157,3 +157,13 @@ def test_first_fit_lines(spark):
 def test_pages_meet_in_one_shuffle(spark):
     plan = layout.native_tables(spark.createDataFrame([], SPAN))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate ") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_runs_and_nearest_are_folded_once(spark):
+    df = spark.createDataFrame([([(1.0,), (9.0,)],)], "xs array<struct<v: double>>")
+    tree = lambda c: df.select(c.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    sorted_xs = F.array_sort("xs")
+    assert tree(runs(sorted_xs, 3.0)).count("aggregate(") == 1 and tree(runs(sorted_xs, 3.0)).count("array_sort(") == 1
+    assert tree(nearest(F.lit(1.0), F.transform(sorted_xs, lambda x: x["v"]))).count("abs(") == 1
+    plan = layout.grid_tables(spark.createDataFrame([], BOX), spark.createDataFrame([], CELL))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "aggregate(" in line for line in plan.splitlines())
