@@ -42,3 +42,29 @@ def test_fields_are_what_the_texts_were_made_of(spark, kind):
     wrong = [(r.id, n, got[r.id][n], r[n]) for r in want for n in MADE[kind] if got[r.id][n] != r[n]]
     by_field = {n: sum(w[1] == n for w in wrong) for n in MADE[kind]}
     assert not wrong, (by_field, wrong[:5])
+
+
+def test_patterns_begin_with_a_look_at_one_character(spark):
+    from pyspark.sql import functions as F
+
+    from doclathe.functions import text as tx
+    from doclathe.operators import extract as ex
+
+    labels = [p for d in (ex.INVOICE, ex.CONTRACT, ex.VOUCHER) for f in d.values() for p in f.patterns if not p.startswith((r"(\d", "(["))]
+    assert all(ex.begun(p).startswith("(?=(?-iU:[") and ex.begun(p).endswith(p) for p in labels)
+    assert ex.begun(r"(\d{4})-x") == r"(\d{4})-x" and ex.begun("(?:tài|stk)?x") == "(?:tài|stk)?x" and ex.begun("a?b") == "a?b"
+    df = spark.createDataFrame([(t,) for t in ("ſố 5", "x SỐ: 6", "Kho 7", "kHO\n8", "số", "đại 9", "Đại 1", "")], "t string")
+    p = r"(?:Số|Kho|ĐẠI)\s*[:\-]?\s*(\d+)"
+    found = df.select(F.regexp_extract("t", tx.java(p), 1).alias("a"), F.regexp_extract("t", tx.java(ex.begun(p)), 1).alias("b")).collect()
+    assert [r.b for r in found] == [r.a for r in found] == ["5", "6", "7", "8", "", "9", "1", ""]
+
+
+def test_large_tables_are_dealt_to_tasks_by_their_size(spark):
+    from conftest import SF
+
+    from doclathe.plans import fixtures as fx
+
+    table = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert fx.spread(table, "l_orderkey", 1 << 14).rdd.getNumPartitions() > 4
+    plan = fx.spark_view(spark, SF, "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
