@@ -68,3 +68,12 @@ def test_large_tables_are_dealt_to_tasks_by_their_size(spark):
     assert fx.spread(table, "l_orderkey", 1 << 14).rdd.getNumPartitions() > 4
     plan = fx.spark_view(spark, SF, "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_lines_of_marks_count_in_the_header(spark):
+    from doclathe.operators import classify
+
+    lines = ["́"] * 19 + ["HỢP ĐỒNG", "HOÁ ĐƠN", "MÃ SỐ THUẾ"]
+    rows = [(1, "/a/b", "\n".join(lines)), (2, "/a/b", "\n \n".join(["x"] * 19 + lines[19:])), (3, "/a/b", " \n "), (4, None, None), (5, "/a/b", "́ hợp đồng")]
+    got = {r.id: (r.hop_dong, r.hoa_don) for r in classify.scores(spark.createDataFrame(rows, "id int, file_path string, extracted_text string")).collect()}
+    assert got[1] == got[2] == (40, 20) and got[3] == (0, 0) and got[5][0] == 40
