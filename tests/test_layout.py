@@ -167,3 +167,21 @@ def test_runs_and_nearest_are_folded_once(spark):
     assert tree(nearest(F.lit(1.0), F.transform(sorted_xs, lambda x: x["v"]))).count("abs(") == 1
     plan = layout.grid_tables(spark.createDataFrame([], BOX), spark.createDataFrame([], CELL))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "aggregate(" in line for line in plan.splitlines())
+
+
+def shuffles(df) -> int:
+    """Shuffles that a frame's plan has besides those its inputs bring, with no table small enough to be sent round."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+    finally:
+        conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_spatial_table_needs_no_shuffle_of_its_own(spark):
+    boxes = spark.createDataFrame([(1, 1, x, y, t) for y in (10.0, 40.0, 70.0) for x, t in ((0.0, "a"), (100.0, "b"), (104.0, "c"), (300.0, "d"))], "id long, page int, x double, y double, text string")
+    got = layout.spatial_table(boxes.repartition(4, "id"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, row, col, t) for row in range(3) for col, t in enumerate(("a", "b c", "d"))]
+    assert shuffles(got) == 0
