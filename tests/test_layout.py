@@ -185,3 +185,15 @@ def test_spatial_table_needs_no_shuffle_of_its_own(spark):
     got = layout.spatial_table(boxes.repartition(4, "id"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, row, col, t) for row in range(3) for col, t in enumerate(("a", "b c", "d"))]
     assert shuffles(got) == 0
+
+
+def test_boxes_in_cells_shuffles_arrays_of_pages_alone(spark):
+    boxes = spark.createDataFrame([(1, 1, i, float(x), float(y), float(x + 10), float(y + 10), 0.9, "t") for i, (x, y) in enumerate((x, y) for x in range(0, 400, 50) for y in range(0, 400, 50))], BOX)
+    cells = spark.createDataFrame([(1, 1, float(x), float(y), 130.0, 90.0) for x in range(0, 300, 70) for y in range(0, 300, 60)], CELL)
+    read = layout.read_boxes(boxes)
+    near = lambda v, low, size: F.col(v).between(F.col(low) - 5, F.col(low) + F.col(size) + 5)
+    want = cells.join(read, layout.PAGE).where(near("xc", "x", "w") & near("yc", "y", "h")).select("x", "y", "pos")
+    met = layout.boxes_in_cells(read.repartition(4, "id"), cells.repartition(4, "id"))
+    assert sorted(met.select("x", "y", "pos").collect()) == sorted(want.collect())
+    # one of each side's pages; what groups the pairs by cell adds none
+    assert shuffles(met.groupBy(*layout.PAGE, "x", "y").count()) == 2
