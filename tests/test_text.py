@@ -64,3 +64,17 @@ def test_ignore_case_knows_vietnamese(spark):
 def test_token_distance(spark, a, b, d):
     df = spark.createDataFrame([(a.split(), b.split())], "a array<string>, b array<string>")
     assert df.select(token_distance(F.col("a"), F.col("b"))).first()[0] == d
+
+
+def test_numbers_of_a_cell_by_its_lines(spark):
+    cells = ["12", "007", "5", "001", "0005", "12\r", "1\n2", "40\n50", "(1)", "1,000", "1.5\n7", "abc", "", None, "٣", "NaN", "-3", "- . ,", "9=9", "10%", "6 ", "123456789012345678901", "1e5"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    plain = F.filter(F.transform(tx.lines(F.col("c")), tx.parse_number), lambda v: v.isNotNull())
+    rows = df.select("c", tx.numbers(F.col("c")).alias("a"), plain.alias("b")).collect()
+    assert [(r.c, r.a) for r in rows] == [(r.c, r.b) for r in rows]
+
+
+def test_pairs_keep_line_numbers_and_leave_clock_times(spark):
+    df = spark.createDataFrame([("no pair\nSố: 12\n10:15\n\n Tên hàng - Bàn: gỗ \nx=y\nab=c=d\n10:15:30",), ("",), (None,)], "t string")
+    got = [r.p and [(p.line_index, p.key, p.value, p.raw_line) for p in r.p] for r in df.select(tx.key_values(F.col("t")).alias("p")).collect()]
+    assert got[0] == [(2, "Số", "12", "Số: 12"), (4, "Tên hàng", "Bàn: gỗ", "Tên hàng - Bàn: gỗ"), (6, "ab", "c=d", "ab=c=d"), (7, "10", "15:30", "10:15:30")] and got[1] == [] and got[2] is None
