@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from doclathe.operators import extract
 from doclathe.plans import fixtures as fx
@@ -77,3 +80,16 @@ def test_lines_of_marks_count_in_the_header(spark):
     rows = [(1, "/a/b", "\n".join(lines)), (2, "/a/b", "\n \n".join(["x"] * 19 + lines[19:])), (3, "/a/b", " \n "), (4, None, None), (5, "/a/b", "́ hợp đồng")]
     got = {r.id: (r.hop_dong, r.hoa_don) for r in classify.scores(spark.createDataFrame(rows, "id int, file_path string, extracted_text string")).collect()}
     assert got[1] == got[2] == (40, 20) and got[3] == (0, 0) and got[5][0] == 40
+
+
+def test_points_are_the_sums_of_the_rules(spark):
+    from doclathe.operators import classify as cl
+
+    rng = random.Random(5)
+    words = [*cl.CONTRACT_WORDS, *cl.INVOICE_WORDS, *cl.VOUCHER_WORDS, *cl.TRANSFER_WORDS, "VỀ HÓA ĐƠN", "HÓA VỀ HÓA ĐƠN ĐƠN", "Điều 3", "á", "  ", "", "khác"]
+    docs = [(i, "/in/" + rng.choice(("hd_1.pdf", "vcb.png", "a.xlsx", "x")), "\n".join(rng.choice(words).lower() for _ in range(rng.choice((0, 3, 30, 60))))) for i in range(200)]
+    df = cl.scores(spark.createDataFrame(docs, "id int, file_path string, extracted_text string"))
+    sums = df.select(*cl.CATEGORIES, *[F.expr(cl._sum(cl.RULES[c])).alias(f"_{c}") for c in cl.CATEGORIES]).collect()
+    assert all(r[c] == r[f"_{c}"] for r in sums for c in cl.CATEGORIES) and len({tuple(r) for r in sums}) > 50
+    # a word that a text doesn't have is looked for once
+    assert all(cl._points(c).count(f"WHEN contains(full_text, '{w}') THEN CASE") == 1 for c, ws in (("hop_dong", cl.CONTRACT_WORDS), ("chung_tu", cl.VOUCHER_WORDS)) for w in ws)
