@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import attach, cut, is_small, bounded_batches, stored, table
+from ._shared import attach, cut, is_small, bounded_batches, scratch, stored, table
 
 #: Bits of a code point: three of them make a trigram's number.
 BITS = 21
@@ -144,7 +144,13 @@ def fit(trusted: DataFrame) -> DataFrame:
     n-grams; they grow with the texts and none is collected. Without texts: no rows.
     A word is likely by its own count, with a weight of what its code points say, each after
     the two before; these orders in turn are interpolated down to all code points alike.
+    Counts and orders are deleted once the models are stored.
     """
+    with scratch(trusted.sparkSession):
+        return _fit(trusted)
+
+
+def _fit(trusted: DataFrame) -> DataFrame:
     counts = cut(count_grams(trusted.select("text", fold_of(F.col("text")).alias("fold"))))
     both = counts.select(F.explode(F.array(F.lit(0), F.lit(3) - F.col("fold"))).alias("model"), "kind", "gram", "n")
     both = cut(both.groupBy("model", "kind", "gram").agg(F.sum("n").alias("n")))
@@ -163,7 +169,7 @@ def fit(trusted: DataFrame) -> DataFrame:
         for kind, rows, key, value in ((k, p, "gram", "p"), (WEIGHT + k, w, "context", "weight")):
             rows = rows.select("model", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(F.greatest(value, F.lit(1e-12))).alias("value"))
             out = rows if out is None else out.unionByName(rows)
-    return stored(out.groupBy("kind", "key").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(f"v{m}") for m in range(3)]), "model")
+    return stored(out.groupBy("kind", "key").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(f"v{m}") for m in range(3)]), "model", lasting=True)
 
 
 class Known:

@@ -322,3 +322,18 @@ def test_stages_on_their_own_inputs(spark, tmp_path):
     mixed = cp.mixture(spark, cp.passages(spark, b, ""), "").groupBy("doc_id").count().toPandas()
     assert {d: n for d, n in out[out.piece == 0].groupby("doc_id").size().items()} == dict(mixed.values.tolist())
     assert (out.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_model_keeps_no_table_but_its_own(spark):
+    before = stored_tables(spark)
+    model = perplexity.fit(spark.createDataFrame([("one two two three",), ("two one",), ("three four",)], "text string"))
+    assert len(stored_tables(spark) - before) == 1 and model.count() > 10
+
+
+def stored_tables(spark) -> set[str]:
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from doclathe.llm._shared import _folder
+
+    return {x.name for x in Path(urlparse(_folder(spark)).path).iterdir()}
