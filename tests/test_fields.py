@@ -93,3 +93,21 @@ def test_points_are_the_sums_of_the_rules(spark):
     assert all(r[c] == r[f"_{c}"] for r in sums for c in cl.CATEGORIES) and len({tuple(r) for r in sums}) > 50
     # a word that a text doesn't have is looked for once
     assert all(cl._points(c).count(f"WHEN contains(full_text, '{w}') THEN CASE") == 1 for c, ws in (("hop_dong", cl.CONTRACT_WORDS), ("chung_tu", cl.VOUCHER_WORDS)) for w in ws)
+
+
+def test_patterns_meet_texts_from_their_first_word_on(spark):
+    from pyspark.sql import functions as F
+
+    from doclathe.functions import text as tx
+    from doclathe.operators import extract as ex
+
+    assert ex.words_of(r"(?:Địa chỉ \(Address\)|Địa chỉ)x") == ["địa chỉ"] and ex.words_of(r"(?:No\.|Số|Số HĐ)x") == ["no.", "số"] and ex.words_of(r"Ngày\s*x") == ["ngày"]
+    assert ex.words_of(r"(\d{4})-x") == ex.words_of("(?:tài|stk)?x") == ex.words_of("a?b") == ex.words_of("Kho|x") == ex.words_of("(?:a.|b)c") == []
+    texts = ["", None, "không có gì", "Mã ſố thuế: 0123456789\nMST: 9876543210-001", "İ Mã số thuế 0123456789 MST 9876543210", "SỐ: 12 số 13", "No 1 NO. 7", "NGÀY 3 tháng 4 năm 2024", "x" * 3000 + "Kho xuất: b\ntại c", "K hàng; Iſſued: ab", "BÊN GIAO (BÊN A): x\nBÊN GIAO: y", "Bên A (Bên mua): x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for fields in (ex.INVOICE, ex.CONTRACT, ex.VOUCHER, ex.TRANSFER, *ex.ENTITIES.values()):
+        # each pattern on the whole text
+        whole = [ex._raw(F.col("text"), f, p).alias(f"{n}_{i}") for n, f in fields.items() for i, p in enumerate(f.patterns)]
+        plain = df.select("id", *whole).orderBy("id").collect()
+        got = ex.extract(df, {f"{n}_{i}": ex.Field((p,), "text", f.nth, f.group, f.case) for n, f in fields.items() for i, p in enumerate(f.patterns)}).drop("text").orderBy("id").collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in plain]
