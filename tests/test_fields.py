@@ -111,3 +111,15 @@ def test_patterns_meet_texts_from_their_first_word_on(spark):
         plain = df.select("id", *whole).orderBy("id").collect()
         got = ex.extract(df, {f"{n}_{i}": ex.Field((p,), "text", f.nth, f.group, f.case) for n, f in fields.items() for i, p in enumerate(f.patterns)}).drop("text").orderBy("id").collect()
         assert [tuple(r) for r in got] == [tuple(r) for r in plain]
+
+
+def test_overviews_make_only_what_they_read(spark):
+    from conftest import SF
+
+    from doclathe.operators import overview as ov
+
+    plan = lambda q: ov.QUERIES[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # patterns of fields that no summary has, and the items' rows
+    assert "Mẫu số" not in plan("overview_invoice") and "_rows" not in plan("overview_invoice")
+    assert "Kèm theo" not in plan("overview_report_voucher") and "Mã số doanh nghiệp" in plan("overview_contract")
+    assert "_rows" in plan("overview_report_invoice") and "Mẫu số" not in plan("overview_report_invoice")
