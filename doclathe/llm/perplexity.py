@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,12 @@ MODEL_ROWS = 200_000
 #: Bytes of text, about, that ask together for what they need of a model that is joined, and
 #: that are compressed together.
 BLOCK_BYTES, BLOB_BYTES = 64 << 20, 1 << 20
-#: Kinds of a model's rows: the order of an n-gram of code points with its probability, WORD
-#: of a word with its own share, and WEIGHT + kind of a context with its weight of the lower order.
-WORD, WEIGHT = 4, 10
+#: Rows of a model, about, that are looked up by one group of a join.
+SHARD_ROWS = 1 << 16
+#: Kinds of a model's rows: the order of an n-gram of code points with its log probability, WORD
+#: of a word with its count, LOSS with all words' count at key 0 and what is taken off counts of 1,
+#: 2 and more at keys 1 to 3, and WEIGHT + kind of a context with its log weight of the lower order.
+WORD, LOSS, WEIGHT = 4, 5, 10
 #: A word runs up to and including the white space behind it, so a text is nothing but words.
 WORDS = re.compile(r"[^\x20\x09-\x0D]*+[\x20\x09-\x0D]|[^\x20\x09-\x0D]++")
 #: A word that stands again right after itself is read as one mark.
@@ -105,7 +109,7 @@ def fold_of(text: Column) -> Column:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Rows (fold, kind, gram, n): how often each trigram and word stands in all texts of (text, fold), counted by batch, then by shards."""
+    """Rows (kind, gram, n1, n2): how often each trigram and word stands in all texts of (text, fold) of folds 1 and 2, counted by batch, then by shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,11 +120,11 @@ def count_grams(rows: DataFrame) -> DataFrame:
                         g, n = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(np.full(len(g), kind, np.int32)), pa.array(g), pa.array(n)], names=["fold", "kind", "gram", "n"])
 
-    return rows.select("text", "fold").mapInArrow(run, "fold int, kind int, gram long, n long").groupBy("fold", "kind", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("text", "fold").mapInArrow(run, "fold int, kind int, gram long, n long").groupBy("kind", "gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (1, 2)])
 
 
-def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Interpolated p of rows (model, context, gram, n, low), and each context's weight of low.
+def _discounted(rows: DataFrame) -> DataFrame:
+    """The rows (model, n) with `off`, the discounts of their model, and `d`, their own.
 
     Discounts for counts of 1, 2 and more come from how many grams of a model have counts 1 to
     4; where these are too few, 0.5 is taken off.
@@ -130,14 +134,19 @@ def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, Data
     off = [F.greatest(F.least(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(float(k))), F.lit(0.0)) for k in (1, 2, 3)]
     off = F.when(F.least("n1", "n2", "n3", "n4") > 0, F.array(*off)).otherwise(F.array(*[F.lit(0.5)] * 3))
     # one row for each of three models
-    rows = rows.join(F.broadcast(per.select("model", off.alias("off"))), "model").withColumn("d", F.element_at("off", F.least("n", F.lit(3)).cast("int")))
+    return rows.join(F.broadcast(per.select("model", off.alias("off"))), "model").withColumn("d", F.element_at("off", F.least("n", F.lit(3)).cast("int")))
+
+
+def _level(rows: DataFrame, few_contexts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Interpolated p of rows (model, context, gram, n, low), and each context's weight of low."""
+    rows = _discounted(rows)
     sums = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
     p = (F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")
     return cut(rows.join(F.broadcast(sums) if few_contexts else sums, ["model", "context"]).select("model", "gram", p.alias("p"))), sums.select("model", "context", "weight")
 
 
 def fit(trusted: DataFrame) -> DataFrame:
-    """Models of all texts given, as rows (kind, key, v0, v1, v2), a value being a logarithm or null.
+    """Models of all texts given, as rows (kind, key, v0, v1, v2), a value being what its kind says or null.
 
     Model 0 is of all texts, model 1 of those of fold 2 and model 2 of those of fold 1. Counts,
     continuation counts, discounts and probabilities are tables, joined by shards of the
@@ -152,24 +161,27 @@ def fit(trusted: DataFrame) -> DataFrame:
 
 def _fit(trusted: DataFrame) -> DataFrame:
     counts = cut(count_grams(trusted.select("text", fold_of(F.col("text")).alias("fold"))))
-    both = counts.select(F.explode(F.array(F.lit(0), F.lit(3) - F.col("fold"))).alias("model"), "kind", "gram", "n")
-    both = cut(both.groupBy("model", "kind", "gram").agg(F.sum("n").alias("n")))
-    c3, words = both.where("kind = 3").drop("kind"), both.where(F.col("kind") == WORD)
+    ns = F.col("n1") + F.col("n2"), F.col("n2"), F.col("n1")
+    of = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), n.alias("n")) for m, n in enumerate(ns)])).alias("of")
+    each = counts.select("kind", "gram", of).select("kind", "gram", "of.*").where("n > 0")
+    c3, words = each.where("kind = 3").drop("kind"), each.where(F.col("kind") == WORD)
     c2 = c3.groupBy("model", F.col("gram").bitwiseAND(TWO).alias("gram")).agg(F.count("*").alias("n"))
     c1 = c2.groupBy("model", F.col("gram").bitwiseAND(ONE).alias("gram")).agg(F.count("*").alias("n"))
-    context, none = F.shiftright("gram", BITS), F.lit(0).cast("long").alias("context")
-    levels = [_level(c1.select("model", none, "gram", "n", F.lit(1.0 / POINTS).alias("low")), True)]
+    context, none = F.shiftright("gram", BITS), F.lit(0).cast("long")
+    levels = [_level(c1.select("model", none.alias("context"), "gram", "n", F.lit(1.0 / POINTS).alias("low")), True)]
     for c, last in ((c2, ONE), (c3, TWO)):
         low = levels[-1][0].select("model", F.col("gram").alias("last"), F.col("p").alias("low"))
         levels.append(_level(c.withColumn("last", F.col("gram").bitwiseAND(last)).join(low, ["model", "last"]).select("model", context.alias("context"), "gram", "n", "low")))
-    # what a word's code points say depends on where it stands, so it is added when texts are scored
-    levels.append(_level(words.select("model", none, "gram", "n", F.lit(0.0).alias("low")), True))
-    out = None
+    log = lambda c: F.log(F.greatest(c, F.lit(1e-12)))
+    # what a word's code points say depends on where it stands, so words keep their counts until texts are scored
+    spare = cut(_discounted(words.select("model", "n")).groupBy("model").agg(F.first("off").alias("off"), F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight")))
+    values = [(LOSS, F.lit(0), F.col("total").cast("double")), *[(LOSS, F.lit(k), F.element_at("off", k)) for k in (1, 2, 3)], (WEIGHT + WORD, F.lit(0), log(F.col("weight")))]
+    rows = [spare.select("model", F.lit(kind).alias("kind"), key.cast("long").alias("key"), value.alias("value")) for kind, key, value in values]
     for k, (p, w) in enumerate(levels, 1):
-        for kind, rows, key, value in ((k, p, "gram", "p"), (WEIGHT + k, w, "context", "weight")):
-            rows = rows.select("model", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(F.greatest(value, F.lit(1e-12))).alias("value"))
-            out = rows if out is None else out.unionByName(rows)
-    return stored(out.groupBy("kind", "key").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(f"v{m}") for m in range(3)]), "model", lasting=True)
+        for kind, own, key, value in ((k, p, "gram", "p"), (WEIGHT + k, w, "context", "weight")):
+            rows.append(own.select("model", F.lit(kind).alias("kind"), F.col(key).alias("key"), log(F.col(value)).alias("value")))
+    spelling = reduce(DataFrame.unionByName, rows).groupBy("kind", "key").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(f"v{m}") for m in range(3)])
+    return stored(spelling.unionByName(counts.where(F.col("kind") == WORD).select("kind", F.col("gram").alias("key"), *[F.when(n > 0, n.cast("double")).alias(f"v{m}") for m, n in enumerate(ns)])), "model", lasting=True)
 
 
 class Known:
@@ -199,13 +211,19 @@ class Known:
 
     def log_word(self, words: np.ndarray, spelt: np.ndarray) -> np.ndarray:
         """Of each word: its own share, and the weight of how it is spelt."""
-        return np.logaddexp(self.look(WORD, words, -np.inf), spelt + self.look(WEIGHT + WORD, np.zeros(1, np.int64), 0.0))
+        n = self.look(WORD, words, 0.0)
+        total, *off = self.look(LOSS, np.arange(4), 0.0)
+        own = np.full(len(words), -np.inf)
+        there = n > 0
+        own[there] = np.log(np.maximum((n[there] - np.array(off)[np.minimum(n[there], 3).astype(int) - 1]) / total, 1e-12))
+        return np.logaddexp(own, spelt + self.look(WEIGHT + WORD, np.zeros(1, np.int64), 0.0))
 
 
 def _asked(grams: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(kind, keys) of all rows that log_p and log_word may look up."""
     for kind in (WEIGHT + 1, WEIGHT + WORD):
         yield kind, np.zeros(1, np.int64)
+    yield LOSS, np.arange(4)
     yield WORD, np.unique(words)
     for k, keys in ((1, grams & ONE), (2, grams & TWO), (3, grams)):
         yield k, np.unique(keys)
@@ -282,14 +300,68 @@ def _rows(blobs: Iterable[bytes]) -> Iterator[pd.DataFrame]:
         yield pa.ipc.open_stream(zstandard.decompress(blob)).read_pandas()
 
 
+def _pack(kind: np.ndarray, key: np.ndarray, values: Sequence[np.ndarray] = ()) -> bytes:
+    """Rows of a model, or what is asked of it, in some ten times fewer bytes than as a table's rows.
+
+    Keys go as differences, and bytes of the same place stand together: in sorted keys, and in
+    counts, most of these are alike.
+    """
+    columns = [np.diff(key, prepend=0), *values]
+    planes = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in map(np.ascontiguousarray, columns)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([kind.astype(np.uint8).tobytes(), *planes]))
+
+
+def _unpack(packed: bytes, n_values: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n = len(raw) // (9 + 8 * n_values)
+    column = lambda i, of: np.ascontiguousarray(raw[n * (1 + 8 * i) : n * (9 + 8 * i)].reshape(8, n).T).view(of).ravel()
+    return raw[:n].astype(np.int64), np.cumsum(column(0, np.int64)), [column(1 + i, np.float64) for i in range(n_values)]
+
+
+#: Shards: how many first bits of a word part them, and a prime that spreads other keys.
+HIGH, PRIME = 24, 1_000_003
+
+
+def _shard(kind: np.ndarray, key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each row: words, which are hashes, by ranges, so that a shard's are close together."""
+    return np.where(kind == WORD, ((key >> (64 - HIGH)) + (1 << HIGH - 1)) * shards >> HIGH, key % PRIME % shards)
+
+
+def _shard_column(shards: int) -> Column:
+    word = F.shiftright((F.shiftright("key", 64 - HIGH) + (1 << HIGH - 1)) * shards, HIGH)
+    return F.when(F.col("kind") == WORD, word).otherwise(F.col("key") % PRIME % shards).cast("int")
+
+
+def _found(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    """What each of the asks (block, asked) finds in a shard's rows of a model, packed."""
+    own = {k: g.sort_values("key") for k, g in rows.groupby("kind")}
+    out = []
+    for block, packed in zip(asks.block, asks.asked):
+        kind, key, _ = _unpack(packed)
+        parts = []
+        for k in np.unique(kind).tolist():
+            if k in own:
+                known_, keys = own[k].key.to_numpy(), key[kind == k]
+                at = np.minimum(np.searchsorted(known_, keys), len(known_) - 1)
+                parts.append(own[k].iloc[at[known_[at] == keys]])
+        if sum(map(len, parts)):
+            got = pd.concat(parts)
+            out.append((block, _pack(got.kind.to_numpy(), got.key.to_numpy(), [got[f"v{m}"].to_numpy(float) for m in range(3)])))
+    return pd.DataFrame(out, columns=["block", "found"])
+
+
 def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
     """score by sharded joins: each block of texts asks for each row of the model once.
 
     Blocks are made where the rows are read, as compressed blobs that are shuffled once; a
-    task holds what a block knows of the model and a blob's texts at a time.
+    task holds what a block knows of the model and a blob's texts at a time. What a block asks
+    of a shard of the model is one packed row, and so is what it finds there.
     """
     # both uses group these rows whole, so that their one shuffle is used twice
     placed = docs.mapInArrow(_blocks, "block long, blob binary").repartition("block")
+    n_rows, *there = models.agg(F.count("*"), *[F.count(f"v{m}") for m in range(3)]).first()
+    present = {m for m in range(3) if there[m]}
+    shards = n_rows // SHARD_ROWS + 1
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         kinds: dict[int, list[np.ndarray]] = {}
@@ -300,17 +372,25 @@ def _by_block(docs: DataFrame, models: DataFrame) -> DataFrame:
                     kinds.setdefault(kind, []).append(keys)
             if len(kinds.get(WORD, ())) > 16:
                 kinds = {k: [np.unique(np.concatenate(v))] for k, v in kinds.items()}
-        own = {kind: np.unique(np.concatenate(keys)) for kind, keys in kinds.items()}
-        parts = [pd.DataFrame({"block": rows.block.iloc[0], "kind": kind, "key": keys}) for kind, keys in own.items()]
-        return pd.concat(parts) if parts else pd.DataFrame({"block": [], "kind": [], "key": []})
-
-    asked = placed.groupBy("block").applyInPandas(ask, "block long, kind int, key long")
-    found = asked.join(models, ["kind", "key"])
-    there = models.agg(*[F.count(f"v{m}") for m in range(3)]).first()
-    present = {m for m in range(3) if there[m]}
+        own = {kind: np.unique(np.concatenate(keys)) for kind, keys in sorted(kinds.items())}
+        if not own:
+            return pd.DataFrame({"shard": [], "block": [], "asked": []})
+        kind, key = np.repeat(list(own), [len(k) for k in own.values()]), np.concatenate(list(own.values()))
+        shard = _shard(kind, key, shards)
+        order = np.argsort(shard, kind="stable")
+        begin = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        asked = [_pack(kind[at], key[at]) for at in np.split(order, begin[1:])]
+        return pd.DataFrame({"shard": shard[order[begin]], "block": rows.block.iloc[0], "asked": asked})
+
+    asked = placed.groupBy("block").applyInPandas(ask, "shard int, block long, asked binary")
+    held = models.withColumn("shard", _shard_column(shards))
+    found = held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_found, "block long, found binary")
 
     def answer(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        own = known(got)
+        parts = [_unpack(p, 3) for p in got.found]
+        kind, key = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in (0, 1))
+        values = {f"v{m}": np.concatenate([p[2][m] for p in parts] or [np.empty(0)]) for m in range(3)}
+        own = known(pd.DataFrame({"kind": kind, "key": key, **values}))
         own |= {m: Known(np.empty(0), np.empty(0), np.empty(0)) for m in present if m not in own}
         out = []
         for frame in _rows(rows.blob):
