@@ -80,12 +80,12 @@ def _stretches(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
         yield own
 
 
-def _words(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(number, first code point) of each word of the stretches; words are numbered by a hash of 64 bits."""
+def _words(own: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the stretches' distinct words, by a hash of 64 bits, and (which of these, first code point) of each word."""
     words = [w for _, t in own for w in WORDS.findall(t, 2)]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     codes, known_ = pd.factorize(np.array(words, object))
-    return _hashed(known_)[codes], np.cumsum(sizes) - sizes
+    return _hashed(known_), codes, np.cumsum(sizes) - sizes
 
 
 def _hashed(words: np.ndarray) -> np.ndarray:
@@ -116,8 +116,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
             folds, texts = b.column("fold").to_pylist(), b.column("text").to_pylist()
             for f in (1, 2):
                 for own in _stretches([t for t, k in zip(texts, folds) if k == f and t]):
-                    for kind, keys in ((3, _joined(own)[1]), (WORD, _words(own)[0])):
-                        g, n = np.unique(keys, return_counts=True)
+                    words, codes, _ = _words(own)
+                    for kind, (g, n) in ((3, np.unique(_joined(own)[1], return_counts=True)), (WORD, (words, np.bincount(codes)))):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(np.full(len(g), kind, np.int32)), pa.array(g), pa.array(n)], names=["fold", "kind", "gram", "n"])
 
     return rows.select("text", "fold").mapInArrow(run, "fold int, kind int, gram long, n long").groupBy("kind", "gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (1, 2)])
@@ -209,14 +209,14 @@ class Known:
             p = self.look(k, keys, p + self.look(WEIGHT + k, context, 0.0))
         return p
 
-    def log_word(self, words: np.ndarray, spelt: np.ndarray) -> np.ndarray:
-        """Of each word: its own share, and the weight of how it is spelt."""
+    def log_word(self, words: np.ndarray, which: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Of each word, one of those given: its own share, and the weight of how it is spelt."""
         n = self.look(WORD, words, 0.0)
         total, *off = self.look(LOSS, np.arange(4), 0.0)
         own = np.full(len(words), -np.inf)
         there = n > 0
         own[there] = np.log(np.maximum((n[there] - np.array(off)[np.minimum(n[there], 3).astype(int) - 1]) / total, 1e-12))
-        return np.logaddexp(own, spelt + self.look(WEIGHT + WORD, np.zeros(1, np.int64), 0.0))
+        return np.logaddexp(own[which], spelt + self.look(WEIGHT + WORD, np.zeros(1, np.int64), 0.0))
 
 
 def _asked(grams: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -244,15 +244,15 @@ def perplexities(models: dict[int, Known], texts: Sequence[str | None], folds: S
     whole = models.get(0) or Known(np.empty(0), np.empty(0), np.empty(0))
     for own in _stretches(texts):
         whose, grams = _joined(own)
-        words, begin = _words(own)
+        words, which, begin = _words(own)
         at, u = pd.factorize(grams)
         n += np.bincount(whose, minlength=len(texts))
-        whose = whose[begin]
-        say = lambda model: model.log_word(words, np.add.reduceat(model.log_p(u)[at], begin))  # noqa: B023, E731
-        total += np.bincount(whose, say(whole), len(texts))
+        total += np.bincount(whose[begin], whole.log_word(words, which, np.add.reduceat(whole.log_p(u)[at], begin)), len(texts))
+        sizes = np.diff(begin, append=len(grams))
         for f in (1, 2):
-            if f in models and (held := folds[whose] == f).any():
-                apart += np.bincount(whose[held], say(models[f])[held], len(texts))
+            if f in models and (held := folds[whose[begin]] == f).any():
+                spelt = np.add.reduceat(models[f].log_p(u)[at[folds[whose] == f]], np.cumsum(sizes[held]) - sizes[held])
+                apart += np.bincount(whose[begin][held], models[f].log_word(words, which[held], spelt), len(texts))
     n[n == 0] = np.nan
     there = np.isin(folds, [f for f in (1, 2) if f in models])
     return pd.DataFrame({"perplexity": np.exp(-total / n), "held_out": np.where(there, np.exp(-apart / n), np.nan)})

@@ -257,6 +257,50 @@ def test_a_large_model_is_joined_with_the_same_results(spark, monkeypatch):
     assert rows() == want and len(want) == docs.count()
 
 
+def test_blocks_ask_a_joined_model_by_few_rows(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = lambda: sorted((r.doc_id, *[f"{x or np.nan:.9f}" for x in r.score]) for r in perplexity.score(rows, model).collect())
+    rows = docs.join(labels.where("quality = 1").select("doc_id").distinct().withColumn("t", F.lit(1)), "doc_id", "left").select("doc_id", "text", F.when(F.col("t") == 1, perplexity.fold_of(F.col("text"))).otherwise(0).alias("fold")).repartition(8)
+    model = perplexity.fit(rows.where("fold > 0").select("text"))
+    want = scored()
+    monkeypatch.setattr(perplexity, "MODEL_ROWS", 10)
+    monkeypatch.setattr(perplexity, "SHARD_ROWS", 2000, raising=False)
+    before = shuffled(spark)
+    assert scored() == want and model.count() > 6000
+    assert 0 < shuffled(spark) - before < model.count() + 10 * docs.count()
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_what_is_asked_of_a_model_is_packed_as_it_is():
+    rng = np.random.default_rng(1)
+    words, grams = np.unique(rng.integers(-(1 << 63), 1 << 63, 20_000)), np.unique(rng.integers(0, 1 << 63, 50))
+    kind, key = np.repeat([3, perplexity.WORD], [len(grams), len(words)]), np.concatenate([grams, words])
+    values = [np.where(rng.random(len(key)) < 0.2, np.nan, rng.geometric(0.5, len(key))) for _ in range(3)]
+    for n in (0, 1, len(key)):
+        packed = perplexity._pack(kind[:n], key[:n], [v[:n] for v in values])
+        got = perplexity._unpack(packed, 3)
+        assert np.array_equal(got[0], kind[:n]) and np.array_equal(got[1], key[:n])
+        assert all(np.array_equal(a, b[:n], equal_nan=True) for a, b in zip(got[2], values))
+    assert len(packed) < 9 * len(key) and len(perplexity._pack(kind, key)) < 7.5 * len(key)
+
+
+def test_python_and_spark_deal_keys_to_the_same_shards(spark):
+    keys = [0, 1, -1, (1 << 63) - 1, -(1 << 63), 1 << 62, -(1 << 62), 97 << 42 | 98 << 21 | 99, perplexity.PRIME]
+    rows = [(k, x) for k in (1, 3, perplexity.WORD, perplexity.LOSS, 13) for x in keys if k == perplexity.WORD or x >= 0]
+    kind, key = (np.array(c, np.int64) for c in zip(*rows))
+    for shards in (1, 7, 4000):
+        got = spark.createDataFrame(rows, "kind int, key long").select("kind", "key", perplexity._shard_column(shards).alias("s")).collect()
+        want = {(k, x): s for (k, x), s in zip(rows, perplexity._shard(kind, key, shards).tolist())}
+        assert {(r.kind, r.key): r.s for r in got} == want and set(want.values()) <= set(range(shards))
+
+
 def test_blocks_hold_all_rows_in_order(monkeypatch):
     class Task:
         get = staticmethod(lambda: Task)
