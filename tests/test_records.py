@@ -162,3 +162,32 @@ def test_large_amounts_of_records_and_payloads(spark):
         out = one(spark, TEXT, [matrix], kind)
         for said in (records._json(out, "data").first().data, records.payload(out, kind).first().payload):
             assert '"thanh_tien":18359500.0' in said and "Bàn 1.0E7" in said
+
+
+def test_json_without_exponents_is_one_part_and_long_json_is_read(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from doclathe.functions import text as tx
+
+    plain = json.dumps({"a": ["x-1", "1E5", 'say \\"2E7\\" -', -3, 0.5] * 20000, "b": None}, ensure_ascii=False)
+    odd = '{"n":[1.2345999E7,-2.5E8,3,-4.5,1.0E-5],"s":"1.0E7 \\"-2E8\\" -","t":-1.0E30}'
+    df = spark.createDataFrame([(plain,), (odd,)], "j string")
+    got = df.select(F.size(F.regexp_extract_all("j", F.lit(tx.JSON_PART), F.lit(0))).alias("n"), tx.plain_numbers(F.col("j")).alias("p")).collect()
+    assert (got[0].n, got[0].p) == (1, plain)
+    assert got[1].n == 9 and got[1].p == '{"n":[12345999.0,-250000000.0,3,-4.5,0.00001],"s":"1.0E7 \\"-2E8\\" -","t":-1e30}'
+
+
+def test_titles_are_found_as_in_upper_case(spark):
+    import sys
+
+    from pyspark.sql import functions as F
+
+    from doclathe.operators import extract as ex
+
+    words = ("hợp đồng", "hop dong", "agreement")
+    signs = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and any(u in "".join(words).upper() for u in chr(c).upper()[:1])]
+    texts = [w[:i] + s + w[i + 1 :] for w in words for i in range(len(w)) for s in signs] + ["HỢP ĐỒNG số 1", "Biên bản", "x Agreement y", "hop  dong"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.rlike("t", F.lit(ex.TITLE)).alias("a"), F.rlike(F.upper("t"), F.lit("HỢP ĐỒNG|HOP DONG|AGREEMENT")).alias("b"))
+    assert [r.t for r in df.collect() if r.a != r.b] == []
